@@ -8,7 +8,7 @@ is keyed by ``order_id`` (or by a small dimension key).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderscope.functions import metrics as M
@@ -157,17 +157,22 @@ def order_fact(
     return fact.select(*ORDER_FACT_COLUMNS)
 
 
+def is_delivered() -> Column:
+    """The delivered-base condition on order-fact columns."""
+    return (
+        (F.col("order_status") == F.lit(DELIVERED_STATUS))
+        & F.col("order_delivered_customer_date").isNotNull()
+        & F.col("merchandise_gmv").isNotNull()
+    )
+
+
 def delivered_fact(fact: DataFrame) -> DataFrame:
     """The delivered base: status delivered, a delivery time, and at least one priced item.
 
     Catalyst turns the GMV test into an inner join with the item aggregate and pushes
     the status / date tests into the orders scan.
     """
-    return fact.where(
-        (F.col("order_status") == F.lit(DELIVERED_STATUS))
-        & F.col("order_delivered_customer_date").isNotNull()
-        & F.col("merchandise_gmv").isNotNull()
-    )
+    return fact.where(is_delivered())
 
 
 def order_outcomes(delivered: DataFrame) -> DataFrame:

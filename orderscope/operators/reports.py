@@ -30,10 +30,21 @@ FINDINGS_TOP_CATEGORIES = 8
 FINDINGS_TOP_STATES = 8
 FINDINGS_TOP_SELLERS = 10
 
+
 def _count() -> Column:
     return F.count(F.lit(1))
 
 
+def _group_total(col: str) -> Column:
+    """Total of ``col`` over all rows of an already grouped report (SUM(SUM(x)) OVER ()).
+
+    Used only on grouped rows whose count is the number of groups of a small domain
+    (states, categories, payment types), so the one window partition is tiny; the
+    alternative, a scalar subquery, would re-run the whole fact pipeline for one number.
+    """
+    return F.sum(col).over(Window.partitionBy())
+
+
 # ---------------------------------------------------------------------------- KPIs
 
 
@@ -65,56 +76,61 @@ def repeat_customers(customer_orders: DataFrame) -> DataFrame:
     )
 
 
-def kpi_extended(fact: DataFrame, delivered: DataFrame) -> DataFrame:
+def kpi_extended(fact: DataFrame) -> DataFrame:
     """One row, seventeen metrics: the headline KPIs as exact fractions plus order
-    coverage, repeat purchase and the purchase-date range."""
-    repeat = F.col("orders") > F.lit(1)
-    cust = (
-        model.customer_orders(delivered)
-        .agg(
-            F.struct(
-                _count().alias("unique"),
-                F.count_if(repeat).alias("repeat"),
-                F.sum(F.when(repeat, F.col("orders")).otherwise(F.lit(0))).alias("repeat_orders"),
-            )
-        )
-        .scalar()
-    )
-    all_orders = fact.select(_count()).scalar()
-    base = delivered.agg(
-        _count().alias("delivered_orders"),
-        F.sum("item_count").alias("delivered_items"),
-        M.money_sum("merchandise_gmv").alias("merchandise_gmv_brl"),
-        M.money_sum("freight_value").alias("freight_value_brl"),
-        M.exact_mean("merchandise_gmv").alias("average_order_gmv_brl"),
-        M.mean_days("delivered_seconds").alias("average_delivery_days"),
-        M.rate("is_late").alias("late_delivery_rate"),
-        F.avg("review_score").alias("average_review_score"),
-        M.rate("low_review").alias("low_review_rate"),
-        M.ratio(F.count("review_score"), _count()).alias("review_coverage"),
-        F.min("order_purchase_timestamp").alias("_pmin"),
-        F.max("order_purchase_timestamp").alias("_pmax"),
+    coverage, repeat purchase and the purchase-date range.
+
+    One pass over the order fact: rows are first combined per customer (every sum
+    restricted to delivered orders with ``when``), then once more globally. All sums
+    are exact integers or decimals, so re-aggregating them gives the same numbers as a
+    direct average, and the per-customer order count yields the repeat metrics without
+    a second job. A customer holding a third of all orders is combined map-side.
+    """
+    ok = model.is_delivered()
+
+    def d(col: str) -> Column:
+        return F.when(ok, F.col(col))
+
+    per_customer = fact.groupBy("customer_unique_id").agg(
+        _count().alias("n_all"),
+        F.count_if(ok).alias("n"),
+        F.sum(d("item_count")).alias("items"),
+        M.money_sum(d("merchandise_gmv")).alias("gmv"),
+        M.money_sum(d("freight_value")).alias("freight"),
+        F.sum(d("delivered_seconds")).alias("secs"),
+        F.count(d("delivered_seconds")).alias("n_secs"),
+        F.sum(d("is_late")).alias("late"),
+        F.sum(d("review_score")).alias("score_sum"),
+        F.count(d("review_score")).alias("n_scored"),
+        F.sum(d("low_review")).alias("low"),
+        F.min(d("order_purchase_timestamp")).alias("pmin"),
+        F.max(d("order_purchase_timestamp")).alias("pmax"),
     )
-    return base.select(
-        all_orders.alias("orders_all_statuses"),
-        "delivered_orders",
-        "delivered_items",
-        "merchandise_gmv_brl",
-        "freight_value_brl",
-        "average_order_gmv_brl",
-        "average_delivery_days",
-        "late_delivery_rate",
-        "average_review_score",
-        "low_review_rate",
-        cust.getField("unique").alias("unique_customers"),
-        cust.getField("repeat").alias("repeat_customers"),
-        M.ratio(cust.getField("repeat"), cust.getField("unique")).alias("repeat_customer_rate"),
-        M.ratio(cust.getField("repeat_orders"), F.col("delivered_orders")).alias(
+    n = F.sum("n")
+    return per_customer.agg(
+        F.sum("n_all").alias("orders_all_statuses"),
+        n.alias("delivered_orders"),
+        F.sum("items").alias("delivered_items"),
+        M.money_sum("gmv").alias("merchandise_gmv_brl"),
+        M.money_sum("freight").alias("freight_value_brl"),
+        M.ratio(F.sum("gmv"), n).alias("average_order_gmv_brl"),
+        (M.ratio(F.sum("secs"), F.sum("n_secs")) / F.lit(M.SECONDS_PER_DAY)).alias(
+            "average_delivery_days"
+        ),
+        M.ratio(F.sum("late"), n).alias("late_delivery_rate"),
+        M.ratio(F.sum("score_sum"), F.sum("n_scored")).alias("average_review_score"),
+        M.ratio(F.sum("low"), n).alias("low_review_rate"),
+        F.count_if(F.col("n") > F.lit(0)).alias("unique_customers"),
+        F.count_if(F.col("n") > F.lit(1)).alias("repeat_customers"),
+        M.ratio(F.count_if(F.col("n") > F.lit(1)), F.count_if(F.col("n") > F.lit(0))).alias(
+            "repeat_customer_rate"
+        ),
+        M.ratio(F.sum(F.when(F.col("n") > F.lit(1), F.col("n"))), n).alias(
             "orders_from_repeat_customers_rate"
         ),
-        "review_coverage",
-        TU.iso_seconds("_pmin").alias("purchase_date_min"),
-        TU.iso_seconds("_pmax").alias("purchase_date_max"),
+        M.ratio(F.sum("n_scored"), n).alias("review_coverage"),
+        TU.iso_seconds(F.min("pmin")).alias("purchase_date_min"),
+        TU.iso_seconds(F.max("pmax")).alias("purchase_date_max"),
     )
 
 
@@ -162,11 +178,10 @@ def state_performance(delivered: DataFrame) -> DataFrame:
         M.rate("is_late").alias("late_delivery_rate"),
         M.mean_days("delivered_seconds").alias("average_delivery_days"),
     )
-    total = g.select(F.sum("merchandise_gmv_brl")).scalar()
     return g.withColumns(
         {
             "freight_burden": M.freight_burden("freight_value_brl", "merchandise_gmv_brl"),
-            "gmv_share": M.share_of_total("merchandise_gmv_brl", total),
+            "gmv_share": M.share_of_total("merchandise_gmv_brl", _group_total("merchandise_gmv_brl")),
         }
     ).orderBy(F.desc("merchandise_gmv_brl"), "customer_state")
 
@@ -203,11 +218,10 @@ def category_performance(order_category: DataFrame) -> DataFrame:
         M.rate("is_late").alias("late_delivery_rate"),
         M.rate("low_review").alias("low_review_rate"),
     )
-    total = g.select(F.sum("merchandise_gmv_brl")).scalar()
     return g.withColumns(
         {
             "freight_burden": M.freight_burden("freight_value_brl", "merchandise_gmv_brl"),
-            "gmv_share": M.share_of_total("merchandise_gmv_brl", total),
+            "gmv_share": M.share_of_total("merchandise_gmv_brl", _group_total("merchandise_gmv_brl")),
         }
     ).orderBy(F.desc("merchandise_gmv_brl"), "category")
 
@@ -240,12 +254,14 @@ def priority_categories(
     """Scaled categories reviewed below the overall average whose GMV is at least the
     median GMV of scaled categories (an interpolated median)."""
     overall_review = delivered.select(F.avg("review_score")).scalar()
-    scaled = categories.where(F.col("orders") >= F.lit(min_orders))
-    median_gmv = scaled.select(F.median(F.col("merchandise_gmv_brl").cast("double"))).scalar()
+    gmv = F.col("merchandise_gmv_brl").cast("double")
+    # the median runs over the grouped category rows only (one row per category)
+    scaled = categories.where(F.col("orders") >= F.lit(min_orders)).withColumn(
+        "_median_gmv", F.median(gmv).over(Window.partitionBy())
+    )
     out = (
         scaled.where(
-            (F.col("average_review") < overall_review)
-            & (F.col("merchandise_gmv_brl").cast("double") >= median_gmv)
+            (F.col("average_review") < overall_review) & (gmv >= F.col("_median_gmv"))
         )
         .orderBy(F.desc("merchandise_gmv_brl"), "category")
         .select("category", "orders", "merchandise_gmv_brl", "average_review", "late_delivery_rate")
@@ -326,8 +342,9 @@ def payment_mix(payments: DataFrame, delivered: DataFrame) -> DataFrame:
             M.money_sum("payment_value").alias("payment_value_brl"),
         )
     )
-    total = g.select(F.sum("payment_value_brl")).scalar()
-    return g.withColumn("value_share", M.share_of_total("payment_value_brl", total)).orderBy(
+    return g.withColumn(
+        "value_share", M.share_of_total("payment_value_brl", _group_total("payment_value_brl"))
+    ).orderBy(
         F.desc("payment_value_brl"), "payment_type"
     )
 
@@ -452,19 +469,24 @@ def findings_summary(
     def at(bucket: int, col: str) -> Column:
         return F.max(F.when(order == F.lit(bucket), F.col(col)))
 
-    top_gmv = (
-        categories.orderBy(F.desc("merchandise_gmv_brl"), "category")
-        .limit(top_n)
-        .select(F.sum("merchandise_gmv_brl"))
+    # rank over the grouped category rows only (one row per category)
+    rank = F.row_number().over(Window.orderBy(F.desc("merchandise_gmv_brl"), "category"))
+    top_share = (
+        categories.withColumn("_rank", rank)
+        .agg(
+            M.ratio(
+                F.sum(F.when(F.col("_rank") <= F.lit(top_n), F.col("merchandise_gmv_brl"))),
+                F.sum("merchandise_gmv_brl"),
+            )
+        )
         .scalar()
     )
-    all_gmv = categories.select(F.sum("merchandise_gmv_brl")).scalar()
     return delay.agg(
         (at(first, "average_review") - at(last, "average_review")).alias("late_delivery_review_gap"),
         M.ratio(at(last, "low_review_rate"), at(first, "low_review_rate")).alias(
             "very_late_low_review_multiplier"
         ),
-    ).withColumn("top_10_category_gmv_share", M.ratio(top_gmv, all_gmv))
+    ).withColumn("top_10_category_gmv_share", top_share)
 
 
 def _ranked_list(df: DataFrame, order: list[Column], cols: list[str], k: int) -> Column:
