@@ -131,31 +131,28 @@ def dq_file_audit(tables: dict[str, DataFrame]) -> DataFrame:
         cols = df.columns
         layout_rows.append((name, "columns", None, len(cols)))
         layout_rows.extend((name, "column", c, i) for i, c in enumerate(cols, start=1))
-        # one aggregate pass gives the row count and every null count; the two branches
-        # below read the same exchange (reused), so the table is scanned once
-        stats = df.agg(
-            F.count(F.lit(1)).alias("__rows__"),
-            *[F.count_if(F.col(c).isNull()).alias(c) for c in cols],
-        )
-        frames.append(
-            stats.select(
-                F.lit(name).alias("table_name"),
-                F.lit("rows").alias("metric"),
-                F.lit(None).cast("string").alias("column_name"),
-                F.col("__rows__").alias("value"),
-            )
-        )
-        frames.append(
+        # One pass: count identical rows (grouping on every column, combined map-side),
+        # then one global aggregate gives the row count, the duplicates, and each column's
+        # NULL count (a group's key is NULL for all rows of the group, so weight by size).
+        n = F.col("__n__")
+        stats = (
             df.groupBy(*cols)
-            .agg(F.count(F.lit(1)).alias("n"))
-            .agg(F.coalesce(F.sum(F.col("n") - F.lit(1)), F.lit(0)).cast("bigint").alias("value"))
-            .select(
-                F.lit(name).alias("table_name"),
-                F.lit("duplicate_rows").alias("metric"),
-                F.lit(None).cast("string").alias("column_name"),
-                "value",
+            .agg(F.count(F.lit(1)).alias("__n__"))
+            .agg(
+                F.sum(n).alias("__rows__"),
+                F.sum(n - F.lit(1)).alias("__dups__"),
+                *[F.sum(F.when(F.col(c).isNull(), n).otherwise(F.lit(0))).alias(c) for c in cols],
             )
         )
+        for metric, col in (("rows", "__rows__"), ("duplicate_rows", "__dups__")):
+            frames.append(
+                stats.select(
+                    F.lit(name).alias("table_name"),
+                    F.lit(metric).alias("metric"),
+                    F.lit(None).cast("string").alias("column_name"),
+                    F.coalesce(F.col(col), F.lit(0)).cast("bigint").alias("value"),
+                )
+            )
         frames.append(
             stats.unpivot([], cols, "column_name", "value")
             .where(F.col("value") > F.lit(0))
@@ -163,7 +160,7 @@ def dq_file_audit(tables: dict[str, DataFrame]) -> DataFrame:
                 F.lit(name).alias("table_name"),
                 F.lit("nulls").alias("metric"),
                 "column_name",
-                "value",
+                F.col("value").cast("bigint").alias("value"),
             )
         )
     if present:

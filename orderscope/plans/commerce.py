@@ -164,19 +164,36 @@ class CommerceModel:
             self.delay_impact(), self.category_performance(), self.params.delay_edges
         )
 
-    def summary_document(self) -> DataFrame:
+    def summary_document(self, store_inputs: bool = True) -> DataFrame:
+        """The nested {kpis, findings} document.
+
+        The category and seller reports each feed two parts of the document (findings
+        and priority list; priority list and risk summary). With ``store_inputs`` they are
+        computed once and written to the shared checkpoint folder, so no scalar subquery
+        re-runs their item-level pipelines; the other inputs are used once and stay lazy.
+        """
+        keep = self.stored if store_inputs else (lambda df, name: df)
+        categories = keep(self.category_performance(), "category_performance")
+        sellers = keep(self.seller_performance(), "seller_performance")
+        findings = reports.findings_summary(self.delay_impact(), categories, self.params.delay_edges)
         return reports.summary_document(
             self.kpi_extended(),
-            self.findings_summary(),
-            self.category_performance(),
+            findings,
+            categories,
             self.state_performance(),
-            self.seller_performance(),
+            sellers,
             self.delivered,
             self.params.min_state_orders,
             self.params.min_category_orders,
             self.params.min_seller_orders,
         )
 
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` once to the shared checkpoint folder and read it back (cuts lineage)."""
+        path = scratch_path(self.spark, name)
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     # ------------------------------------------------------------ data quality
     def dq_row_counts(self) -> DataFrame:
         return quality.dq_row_counts(self.tables)

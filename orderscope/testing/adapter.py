@@ -160,3 +160,21 @@ def adapt_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "sellers": sellers,
         "category_translation": translation,
     }
+
+
+def land_adapted_tables(spark: SparkSession, sf_dir: str, root: str) -> dict[str, DataFrame]:
+    """Write the adapted tables once as Parquet under ``root`` and return them re-read.
+
+    This is the test-data counterpart of the CSV landing job: reports then read typed,
+    landed Parquet instead of re-deriving every column from the source files. The
+    source files hold a single row group each (one scan task), so rows are spread over
+    the session's default parallelism before writing; landed raw data in production
+    arrives as many files already.
+    """
+    n = spark.sparkContext.defaultParallelism
+    out: dict[str, DataFrame] = {}
+    for name, df in adapt_tables(spark, sf_dir).items():
+        path = f"{root.rstrip('/')}/{name}"
+        df.repartition(n).write.mode("overwrite").parquet(path)
+        out[name] = spark.read.schema(df.schema).parquet(path)
+    return out
