@@ -163,3 +163,16 @@ def test_streaming_landing_appends_new_files_once(spark, tmp_dir):
     landed = spark.read.parquet(out)
     assert landed.count() == 6
     assert landed.where("review_id = 'r9'").collect()[0]["review_comment_message"] == "line one\nline two"
+
+
+def test_landed_text_columns_are_coerced(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "landed")
+    spark.createDataFrame(
+        [("o1", "c1", "delivered", "2018-01-01 10:00:00", None, None, "2018-01-03 10:00:00", "oops")],
+        "order_id string, customer_id string, order_status string, order_purchase_timestamp string, "
+        "order_approved_at string, order_delivered_carrier_date string, "
+        "order_delivered_customer_date string, order_estimated_delivery_date string",
+    ).write.parquet(os.path.join(root, "orders"))
+    row = load_tables(spark, root, ("orders",))["orders"].collect()[0]
+    assert str(row["order_purchase_timestamp"]) == "2018-01-01 10:00:00"
+    assert row["order_estimated_delivery_date"] is None
