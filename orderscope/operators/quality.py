@@ -144,23 +144,24 @@ def dq_file_audit(tables: dict[str, DataFrame]) -> DataFrame:
                 *[F.sum(F.when(F.col(c).isNull(), n).otherwise(F.lit(0))).alias(c) for c in cols],
             )
         )
-        for metric, col in (("rows", "__rows__"), ("duplicate_rows", "__dups__")):
-            frames.append(
-                stats.select(
-                    F.lit(name).alias("table_name"),
-                    F.lit(metric).alias("metric"),
-                    F.lit(None).cast("string").alias("column_name"),
-                    F.coalesce(F.col(col), F.lit(0)).cast("bigint").alias("value"),
-                )
+        # the one stats row becomes the long-form rows (a single branch: nothing re-read)
+        def entry(metric: str, column: str | None, value: str):
+            return F.struct(
+                F.lit(metric).alias("metric"),
+                F.lit(column).cast("string").alias("column_name"),
+                F.col(value).alias("value"),
             )
+
+        entries = [entry("rows", None, "__rows__"), entry("duplicate_rows", None, "__dups__")]
+        entries += [entry("nulls", c, c) for c in cols]
         frames.append(
-            stats.unpivot([], cols, "column_name", "value")
-            .where(F.col("value") > F.lit(0))
+            stats.select(F.inline(F.array(*entries)))
+            .where((F.col("metric") != F.lit("nulls")) | (F.col("value") > F.lit(0)))
             .select(
                 F.lit(name).alias("table_name"),
-                F.lit("nulls").alias("metric"),
+                "metric",
                 "column_name",
-                F.col("value").cast("bigint").alias("value"),
+                F.coalesce(F.col("value"), F.lit(0)).cast("bigint").alias("value"),
             )
         )
     if present:
