@@ -74,10 +74,13 @@ ORDER_FACT_COLUMNS = [
     "order_id",
     "customer_id",
     "customer_unique_id",
+    "customer_zip_code_prefix",
     "customer_city",
     "customer_state",
     "order_status",
     "order_purchase_timestamp",
+    "order_approved_at",
+    "order_delivered_carrier_date",
     "order_delivered_customer_date",
     "order_estimated_delivery_date",
     "merchandise_gmv",
@@ -122,10 +125,14 @@ def order_fact(
         "customer_id",
         "order_status",
         "order_purchase_timestamp",
+        "order_approved_at",
+        "order_delivered_carrier_date",
         "order_delivered_customer_date",
         "order_estimated_delivery_date",
     )
-    c = customers.select("customer_id", "customer_unique_id", "customer_city", "customer_state")
+    c = customers.select(
+        "customer_id", "customer_unique_id", "customer_zip_code_prefix", "customer_city", "customer_state"
+    )
     purchased = F.col("order_purchase_timestamp")
     delivered = F.col("order_delivered_customer_date")
     promised = F.col("order_estimated_delivery_date")
