@@ -217,11 +217,15 @@ def order_seller_money(items: DataFrame) -> DataFrame:
     return items.groupBy("order_id", "seller_id").agg(*_item_money())
 
 
+def order_seller_outcomes(items: DataFrame, delivered: DataFrame) -> DataFrame:
+    """(order, seller) money with the order's outcome attached (delivered orders only)."""
+    return order_seller_money(items).join(order_outcomes(delivered), "order_id", "inner")
+
+
 def order_seller(items: DataFrame, sellers: DataFrame, delivered: DataFrame) -> DataFrame:
     """(order, seller) money with the order's outcome and the seller's state."""
     return (
-        order_seller_money(items)
-        .join(order_outcomes(delivered), "order_id", "inner")
+        order_seller_outcomes(items, delivered)
         .join(sellers.select("seller_id", "seller_state"), "seller_id", "left")
         .select(
             "order_id",

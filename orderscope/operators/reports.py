@@ -371,19 +371,19 @@ SELLER_COLUMNS = [
 
 
 def seller_performance(
-    items: DataFrame,
+    pairs: DataFrame,
     sellers: DataFrame,
     delivered: DataFrame,
     min_orders: int = MIN_SELLER_ORDERS,
 ) -> DataFrame:
-    """Per seller over (order, seller) pairs, with risk flags against the overall rates.
+    """Per seller over (order, seller) pairs with outcomes (``model.order_seller_outcomes``
+    or a stored ``order_seller``), with risk flags against the overall rates.
 
     A seller is *scaled* with at least ``min_orders`` orders, a *delay* / *review* risk
     when its late / low-review rate is strictly above the overall delivered rate, and a
     *priority* when all three hold. Sellers are aggregated first and joined to their
     state afterwards (seller_id is the sellers key), so the join sees one row per seller.
     """
-    pairs = model.order_seller_money(items).join(model.order_outcomes(delivered), "order_id", "inner")
     g = pairs.groupBy("seller_id").agg(
         _count().alias("orders"),
         M.money_sum("merchandise_gmv_brl").alias("merchandise_gmv_brl"),

@@ -1,10 +1,11 @@
 """CommerceModel: the nine tables wired into the order model and every report.
 
-Everything is lazy until a report is written. ``materialize()`` writes the delivered
-fact once as Parquet (sorted by purchase time within each file) into the shared checkpoint folder
-(``spark.checkpoint.dir``) and re-reads it: every later report starts from that file
-instead of re-running the star join, lineage is cut, and a lost executor costs a
-re-read, not a recomputation. Nothing here caches in executor memory or on local disk.
+Everything is lazy until a report is written. ``materialize()`` writes the order
+fact and the (order, category) / (order, seller) attribution tables once as Parquet into
+the shared checkpoint folder (``spark.checkpoint.dir``) and re-reads them: every later
+report starts from those files instead of re-running the star join or the item-level
+pipeline, lineage is cut, and a lost executor costs a re-read, not a recomputation.
+Nothing here caches in executor memory or on local disk.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ REQUIRED_TABLES = (
     "category_translation",
 )
 
+# Intermediate tables materialize() writes once, in dependency order.
+MATERIALIZED: tuple[str, ...] = ("order_fact", "order_category", "order_seller")
+
 
 @dataclass
 class ModelParams:
@@ -48,7 +52,8 @@ class ModelParams:
 class CommerceModel:
     tables: dict[str, DataFrame]
     params: ModelParams = field(default_factory=ModelParams)
-    delivered_override: DataFrame | None = None
+    # intermediate tables written by materialize(), read back from the shared folder
+    stored: dict[str, DataFrame] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         missing = [t for t in REQUIRED_TABLES if t not in self.tables]
@@ -87,25 +92,36 @@ class CommerceModel:
         )
 
     def order_fact(self) -> DataFrame:
+        if "order_fact" in self.stored:
+            return self.stored["order_fact"]
         return self.fact
 
     @property
     def delivered(self) -> DataFrame:
-        if self.delivered_override is not None:
-            return self.delivered_override
-        return model.delivered_fact(self.fact)
+        """The delivered base; on a stored fact its filter is pushed into the Parquet scan."""
+        return model.delivered_fact(self.order_fact())
 
     def delivered_fact(self) -> DataFrame:
         return self.delivered
 
     def order_category(self) -> DataFrame:
+        if "order_category" in self.stored:
+            return self.stored["order_category"]
         return model.order_category(
             self.t("order_items"), self.t("products"), self.t("category_translation"), self.delivered
         )
 
     def order_seller(self) -> DataFrame:
+        if "order_seller" in self.stored:
+            return self.stored["order_seller"]
         return model.order_seller(self.t("order_items"), self.t("sellers"), self.delivered)
 
+    def seller_pairs(self) -> DataFrame:
+        """(order, seller) rows with outcomes, without the seller's state."""
+        if "order_seller" in self.stored:
+            return self.stored["order_seller"].drop("seller_state")
+        return model.order_seller_outcomes(self.t("order_items"), self.delivered)
+
     def customer_orders(self) -> DataFrame:
         return model.customer_orders(self.delivered)
 
@@ -114,7 +130,7 @@ class CommerceModel:
         return reports.kpi_summary(self.delivered)
 
     def kpi_extended(self) -> DataFrame:
-        return reports.kpi_extended(self.fact)
+        return reports.kpi_extended(self.order_fact())
 
     def delay_impact(self) -> DataFrame:
         return reports.delay_impact(self.delivered, self.params.delay_edges)
@@ -150,7 +166,7 @@ class CommerceModel:
 
     def seller_performance(self) -> DataFrame:
         return reports.seller_performance(
-            self.t("order_items"), self.t("sellers"), self.delivered, self.params.min_seller_orders
+            self.seller_pairs(), self.t("sellers"), self.delivered, self.params.min_seller_orders
         )
 
     def priority_sellers(self, limit: int | None = None) -> DataFrame:
@@ -172,7 +188,7 @@ class CommerceModel:
         computed once and written to the shared checkpoint folder, so no scalar subquery
         re-runs their item-level pipelines; the other inputs are used once and stay lazy.
         """
-        keep = self.stored if store_inputs else (lambda df, name: df)
+        keep = self.write_once if store_inputs else (lambda df, name: df)
         categories = keep(self.category_performance(), "category_performance")
         sellers = keep(self.seller_performance(), "seller_performance")
         findings = reports.findings_summary(self.delay_impact(), categories, self.params.delay_edges)
@@ -188,7 +204,7 @@ class CommerceModel:
             self.params.min_seller_orders,
         )
 
-    def stored(self, df: DataFrame, name: str) -> DataFrame:
+    def write_once(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once to the shared checkpoint folder and read it back (cuts lineage)."""
         path = scratch_path(self.spark, name)
         df.write.mode("overwrite").parquet(path)
@@ -222,23 +238,32 @@ class CommerceModel:
         return {name: getattr(self, name) for name in OPERATOR_NAMES}
 
     # ------------------------------------------------------------ materialise
-    def materialize(self, path: str | None = None) -> CommerceModel:
-        """Write the delivered fact once (Parquet in the shared checkpoint folder) and
-        return a model whose reports read it back."""
-        path = path or scratch_path(self.spark, "delivered_fact")
-        # No shuffle and no partition folders: each task sorts its rows by purchase time
-        # and writes one file, so Parquet row-group statistics let the month-window
-        # report skip row groups, and a month holding a third of all orders is still
-        # spread over every task. The folder is on shared storage, so it survives the
-        # loss of any executor.
-        (
-            self.delivered.sortWithinPartitions("order_purchase_timestamp")
-            .write.mode("overwrite")
-            .parquet(path)
-        )
-        schema = self.delivered.select(*model.ORDER_FACT_COLUMNS).schema
-        stored = self.spark.read.schema(schema).parquet(path).select(*model.ORDER_FACT_COLUMNS)
-        return CommerceModel(self.tables, self.params, delivered_override=stored)
+    def materialize(
+        self, path: str | None = None, names: tuple[str, ...] = MATERIALIZED
+    ) -> CommerceModel:
+        """Write the order fact and the two attribution tables once and return a model
+        whose reports read them back.
+
+        The order fact (all statuses) feeds every report -- the delivered base is a filter
+        pushed into its scan; ``order_category`` and ``order_seller`` (built from the
+        stored fact) feed the category and seller reports, which would otherwise each
+        re-run the item-level pipeline. No shuffle is added for layout: each task writes
+        its own file, so a month or key holding a third of all rows is still spread over
+        every task. The fact is sorted by purchase time within each file, so Parquet
+        row-group statistics let the month-window report skip row groups. The folder is on
+        shared storage and survives the loss of any executor.
+        """
+        base = path or scratch_path(self.spark, "model")
+        current = self
+        for name in names:
+            df = getattr(current, name)()
+            out = f"{base.rstrip('/')}/{name}"
+            if name == "order_fact":
+                df = df.sortWithinPartitions("order_purchase_timestamp")
+            df.write.mode("overwrite").parquet(out)
+            stored_df = self.spark.read.schema(df.schema).parquet(out).select(*df.columns)
+            current = CommerceModel(self.tables, self.params, {**current.stored, name: stored_df})
+        return current
 
 
 OPERATOR_NAMES: tuple[str, ...] = (

@@ -30,9 +30,13 @@ def test_month_window_reaches_the_parquet_scan(model):
 
 
 def test_reports_read_only_needed_fact_columns(model):
+    # 7 metric inputs + the delivered-base filter columns, out of the fact's 28 columns
     text = plan_text(model.kpi_summary())
     schemas = re.findall(r"ReadSchema: struct<(.*)>", text)
-    assert schemas and all(len(re.findall(r"(\w+):", s)) <= 7 for s in schemas)
+    assert schemas and all(len(re.findall(r"(\w+):", s)) <= 9 for s in schemas)
+    pushed = " ".join(re.findall(r"PushedFilters: \[(.*)\]", text))
+    assert "EqualTo(order_status,delivered)" in pushed
+    assert "IsNotNull(order_delivered_customer_date)" in pushed
 
 
 def test_latest_review_is_an_aggregate_not_a_window(model):
