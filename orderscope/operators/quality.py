@@ -31,6 +31,13 @@ def _present(tables: dict[str, DataFrame]) -> list[tuple[str, DataFrame, TableSp
     return [(name, tables[name], spec) for name, spec in TABLES.items() if name in tables]
 
 
+def _any_tables(tables: dict[str, DataFrame]) -> list[tuple[str, DataFrame, TableSpec | None]]:
+    """Registry tables in registry order, then any other named frames (e.g. files)."""
+    known = _present(tables)
+    names = {n for n, _, _ in known}
+    return known + [(n, df, None) for n, df in tables.items() if n not in names]
+
+
 def dq_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, rows_loaded) for every loaded table."""
     return _union(
@@ -126,7 +133,7 @@ def dq_file_audit(tables: dict[str, DataFrame]) -> DataFrame:
     """
     frames = []
     layout_rows: list[tuple[str, str, str | None, int]] = []
-    present = _present(tables)
+    present = _any_tables(tables)
     for name, df, _ in present:
         cols = df.columns
         layout_rows.append((name, "columns", None, len(cols)))

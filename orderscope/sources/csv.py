@@ -78,3 +78,26 @@ def ingest_csv_dir(
         df.write.mode("overwrite").parquet(os.path.join(out_dir, name))
         written.append(name)
     return written
+
+
+def read_csv_as_text(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file with its own header names and every column as text (for the file audit).
+
+    Only empty fields are NULL; nothing is inferred, so the audit sees the file as it is.
+    """
+    return (
+        spark.read.option("header", True)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("multiLine", True)
+        .option("encoding", "UTF-8")
+        .csv(path)
+    )
+
+
+def list_csv_files(spark: SparkSession, raw_dir: str) -> list[str]:
+    """Paths of the ``*.csv`` files directly in ``raw_dir``, sorted (file metadata only:
+    the binary-file source lists paths without reading contents when only ``path`` is
+    selected)."""
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(raw_dir)
+    return sorted(r["path"] for r in listing.select("path").collect())
