@@ -37,11 +37,13 @@ def run_build(
     landed_dir: str,
     out_dir: str,
     params: ModelParams | None = None,
+    file_names: dict[str, str] | None = None,
 ) -> dict[str, str]:
-    """Land the raw CSV files (when ``raw_dir`` is given), check them, build the model
-    once and write every report, the summary document and the payload tables."""
+    """Land the raw CSV files (when ``raw_dir`` is given; ``<table>.csv`` or the names in
+    ``file_names``), check them, build the model once and write every report, the summary
+    document and the payload tables."""
     if raw_dir:
-        ingest_csv_dir(spark, raw_dir, landed_dir)
+        ingest_csv_dir(spark, raw_dir, landed_dir, file_names=file_names)
     model = CommerceModel(load_tables(spark, landed_dir), params or ModelParams()).materialize()
     written: dict[str, str] = {}
     for name in DQ_REPORTS:

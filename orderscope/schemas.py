@@ -28,8 +28,11 @@ class TableSpec:
     not_null: tuple[str, ...] = ()
     # extra keys some join requires to be unique (one-to-one / many-to-one merges)
     unique_keys: tuple[tuple[str, ...], ...] = field(default_factory=tuple)
-    # raw file name of the public dataset, used by the CSV ingest job
-    file_name: str = ""
+
+    @property
+    def file_name(self) -> str:
+        """Default raw file name, ``<table>.csv``; other layouts pass a name map to the ingest."""
+        return f"{self.name}.csv"
 
     @property
     def columns(self) -> list[str]:
@@ -55,7 +58,6 @@ CUSTOMERS = TableSpec(
     ]),
     primary_key=("customer_id",),
     not_null=("customer_unique_id",),
-    file_name="olist_customers_dataset.csv",
 )
 
 GEOLOCATION = TableSpec(
@@ -67,7 +69,6 @@ GEOLOCATION = TableSpec(
         _f("geolocation_city", T.StringType()),
         _f("geolocation_state", T.StringType()),
     ]),
-    file_name="olist_geolocation_dataset.csv",
 )
 
 ORDER_ITEMS = TableSpec(
@@ -83,7 +84,6 @@ ORDER_ITEMS = TableSpec(
     ]),
     primary_key=("order_id", "order_item_id"),
     not_null=("order_id", "order_item_id", "product_id", "seller_id"),
-    file_name="olist_order_items_dataset.csv",
 )
 
 ORDER_PAYMENTS = TableSpec(
@@ -97,7 +97,6 @@ ORDER_PAYMENTS = TableSpec(
     ]),
     primary_key=("order_id", "payment_sequential"),
     not_null=("order_id", "payment_sequential"),
-    file_name="olist_order_payments_dataset.csv",
 )
 
 ORDER_REVIEWS = TableSpec(
@@ -112,7 +111,6 @@ ORDER_REVIEWS = TableSpec(
         _f("review_answer_timestamp", TS),
     ]),
     not_null=("review_id", "order_id"),
-    file_name="olist_order_reviews_dataset.csv",
 )
 
 ORDERS = TableSpec(
@@ -131,7 +129,6 @@ ORDERS = TableSpec(
     not_null=("customer_id",),
     # orders -> customers is merged one-to-one, so customer_id must be unique too
     unique_keys=(("customer_id",),),
-    file_name="olist_orders_dataset.csv",
 )
 
 PRODUCTS = TableSpec(
@@ -148,7 +145,6 @@ PRODUCTS = TableSpec(
         _f("product_width_cm", MONEY),
     ]),
     primary_key=("product_id",),
-    file_name="olist_products_dataset.csv",
 )
 
 SELLERS = TableSpec(
@@ -160,7 +156,6 @@ SELLERS = TableSpec(
         _f("seller_state", T.StringType()),
     ]),
     primary_key=("seller_id",),
-    file_name="olist_sellers_dataset.csv",
 )
 
 CATEGORY_TRANSLATION = TableSpec(
@@ -170,7 +165,6 @@ CATEGORY_TRANSLATION = TableSpec(
         _f("product_category_name_english", T.StringType()),
     ]),
     primary_key=("product_category_name",),
-    file_name="product_category_name_translation.csv",
 )
 
 # Fixed order: the order in which the row-count report lists the tables.

@@ -55,13 +55,18 @@ MULTI_LINE_TABLES = frozenset({"order_reviews"})
 
 
 def read_raw_dir(
-    spark: SparkSession, raw_dir: str, names: tuple[str, ...] | None = None
+    spark: SparkSession,
+    raw_dir: str,
+    names: tuple[str, ...] | None = None,
+    file_names: dict[str, str] | None = None,
 ) -> dict[str, DataFrame]:
-    """The raw tables of ``raw_dir`` (each under its published file name)."""
+    """The raw tables of ``raw_dir``: ``<table>.csv`` each, or the names in ``file_names``
+    (table -> file name, for a folder laid out differently)."""
+    files = file_names or {}
     return {
         name: read_csv_table(
             spark,
-            os.path.join(raw_dir, TABLES[name].file_name),
+            os.path.join(raw_dir, files.get(name, TABLES[name].file_name)),
             name,
             multi_line=name in MULTI_LINE_TABLES,
         )
@@ -70,11 +75,15 @@ def read_raw_dir(
 
 
 def ingest_csv_dir(
-    spark: SparkSession, raw_dir: str, out_dir: str, names: tuple[str, ...] | None = None
+    spark: SparkSession,
+    raw_dir: str,
+    out_dir: str,
+    names: tuple[str, ...] | None = None,
+    file_names: dict[str, str] | None = None,
 ) -> list[str]:
     """Land raw CSV files of ``raw_dir`` as typed Parquet tables ``out_dir/<table>``."""
     written = []
-    for name, df in read_raw_dir(spark, raw_dir, names).items():
+    for name, df in read_raw_dir(spark, raw_dir, names, file_names).items():
         df.write.mode("overwrite").parquet(os.path.join(out_dir, name))
         written.append(name)
     return written

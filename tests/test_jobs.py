@@ -11,32 +11,32 @@ from orderscope.plans.jobs import run_build, run_file_audit
 from test_quality_io import CSV_PRODUCTS, CSV_REVIEWS
 
 RAW = {
-    "olist_customers_dataset.csv": (
+    "customers.csv": (
         "customer_id,customer_unique_id,customer_zip_code_prefix,customer_city,customer_state\n"
         "c1,u1,1001,sao paulo,SP\nc2,u2,2002,rio,RJ\n"
     ),
-    "olist_orders_dataset.csv": (
+    "orders.csv": (
         "order_id,customer_id,order_status,order_purchase_timestamp,order_approved_at,"
         "order_delivered_carrier_date,order_delivered_customer_date,order_estimated_delivery_date\n"
         "o1,c1,delivered,2018-01-01 10:00:00,2018-01-01 11:00:00,2018-01-02 10:00:00,"
         "2018-01-05 10:00:00,2018-01-10 00:00:00\n"
         "o2,c2,delivered,2018-01-02 10:00:00,,,2018-01-20 10:00:00,2018-01-10 00:00:00\n"
     ),
-    "olist_order_items_dataset.csv": (
+    "order_items.csv": (
         "order_id,order_item_id,product_id,seller_id,shipping_limit_date,price,freight_value\n"
         "o1,1,p1,s1,2018-01-03 00:00:00,10.00,1.50\no2,1,p2,s1,2018-01-03 00:00:00,20.00,2.50\n"
     ),
-    "olist_order_payments_dataset.csv": (
+    "order_payments.csv": (
         "order_id,payment_sequential,payment_type,payment_installments,payment_value\n"
         "o1,1,credit_card,1,11.50\no2,1,boleto,1,22.50\n"
     ),
-    "olist_order_reviews_dataset.csv": CSV_REVIEWS,
-    "olist_products_dataset.csv": CSV_PRODUCTS,
-    "olist_sellers_dataset.csv": "seller_id,seller_zip_code_prefix,seller_city,seller_state\ns1,3003,curitiba,PR\n",
-    "product_category_name_translation.csv": (
+    "order_reviews.csv": CSV_REVIEWS,
+    "products.csv": CSV_PRODUCTS,
+    "sellers.csv": "seller_id,seller_zip_code_prefix,seller_city,seller_state\ns1,3003,curitiba,PR\n",
+    "category_translation.csv": (
         "product_category_name,product_category_name_english\nbeleza,health_beauty\n"
     ),
-    "olist_geolocation_dataset.csv": (
+    "geolocation.csv": (
         "geolocation_zip_code_prefix,geolocation_lat,geolocation_lng,geolocation_city,geolocation_state\n"
         "1001,-23.5,-46.6,sao paulo,SP\n1001,-23.5,-46.6,sao paulo,SP\n"
     ),
@@ -60,11 +60,11 @@ def _read(spark, path):
 def test_file_audit_sees_files_as_they_are(spark, raw_dir, tmp_dir):
     path = run_file_audit(spark, raw_dir, os.path.join(tmp_dir, "out"))
     got = {(r["table_name"], r["metric"], r["column_name"]): int(r["value"]) for r in _read(spark, path).collect()}
-    assert got[("olist_geolocation_dataset.csv", "rows", None)] == 2
-    assert got[("olist_geolocation_dataset.csv", "duplicate_rows", None)] == 1
-    assert got[("olist_products_dataset.csv", "column", "product_name_lenght")] == 3
-    assert got[("olist_products_dataset.csv", "nulls", "product_category_name")] == 1
-    assert got[("olist_orders_dataset.csv", "nulls", "order_approved_at")] == 1
+    assert got[("geolocation.csv", "rows", None)] == 2
+    assert got[("geolocation.csv", "duplicate_rows", None)] == 1
+    assert got[("products.csv", "column", "product_name_lenght")] == 3
+    assert got[("products.csv", "nulls", "product_category_name")] == 1
+    assert got[("orders.csv", "nulls", "order_approved_at")] == 1
     assert len({k[0] for k in got}) == 9
 
 

@@ -101,9 +101,9 @@ def test_csv_reader_quotes_nulls_bad_dates_and_positional_header(spark, tmp_dir)
 def test_csv_ingest_round_trip(spark, tmp_dir):
     raw = os.path.join(tmp_dir, "raw")
     os.makedirs(raw)
-    with open(os.path.join(raw, "olist_order_reviews_dataset.csv"), "w", encoding="utf-8") as fh:
+    with open(os.path.join(raw, "order_reviews.csv"), "w", encoding="utf-8") as fh:
         fh.write(CSV_REVIEWS)
-    with open(os.path.join(raw, "olist_products_dataset.csv"), "w", encoding="utf-8") as fh:
+    with open(os.path.join(raw, "products.csv"), "w", encoding="utf-8") as fh:
         fh.write(CSV_PRODUCTS)
     out = os.path.join(tmp_dir, "landed")
     names = ("order_reviews", "products")
@@ -111,7 +111,7 @@ def test_csv_ingest_round_trip(spark, tmp_dir):
     tables = load_tables(spark, out, names)
     assert tables["order_reviews"].count() == 3
     assert tables["products"].schema == read_csv_table(
-        spark, os.path.join(raw, "olist_products_dataset.csv"), "products"
+        spark, os.path.join(raw, "products.csv"), "products"
     ).schema
 
 
