@@ -2,11 +2,12 @@
 
 ``*_performance`` reports are exact (fractions, unrounded, every group); ``*_report``
 reports are the SQL-style projections (threshold filter, percentages rounded half-up
-to 2 decimals). Scalar benchmarks -- overall late rate, overall low-review rate,
-overall average review, totals for shares, a median -- are uncorrelated scalar
-subqueries (``DataFrame.scalar()``): Spark computes the one value in its own small
-job and the main plan compares against it, so there is no join, no cross product and
-no value pulled through user code on the driver.
+to 2 decimals). Scalar benchmarks over the delivered base -- overall late rate,
+overall low-review rate, overall average review -- are uncorrelated scalar subqueries
+(``DataFrame.scalar()``): Spark computes the one value in its own small job and the
+main plan compares against it, so there is no join, no cross product and no value
+pulled through user code on the driver. Totals for shares, the category median and the
+top-N rank are window aggregates over the grouped report rows (one per group).
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def _group_total(col: str) -> Column:
 
     Used only on grouped rows whose count is the number of groups of a small domain
     (states, categories, payment types), so the one window partition is tiny; the
-    alternative, a scalar subquery, would re-run the whole fact pipeline for one number.
+    alternative, a scalar subquery, would scan the order-level data again for one number.
     """
     return F.sum(col).over(Window.partitionBy())
 
@@ -269,13 +270,6 @@ def priority_categories(
     return out.limit(limit) if limit else out
 
 
-# --------------------------------------------------------------------- customers
-
-
-def customer_orders(delivered: DataFrame) -> DataFrame:
-    return model.customer_orders(delivered)
-
-
 # ------------------------------------------------------------------------ months
 
 

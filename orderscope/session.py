@@ -81,15 +81,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
     fresh scratch folder is created and registered on the session.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
+    if d:
+        return d
+    try:
         d = spark.sparkContext.getCheckpointDir()
+    except Exception:  # a Spark Connect session has no SparkContext
+        d = None
     if not d:
         # spark.checkpoint.dir is a static setting; only the context-level dir can be set now
         d = tempfile.mkdtemp(prefix="orderscope-ckpt-")
-        spark.sparkContext.setCheckpointDir(d)
+        try:
+            spark.sparkContext.setCheckpointDir(d)
+        except Exception:
+            pass
     return d
 
 
+def app_id(spark: SparkSession) -> str:
+    """The application id (classic or Spark Connect session)."""
+    return spark.conf.get("spark.app.id", None) or spark.sparkContext.applicationId
+
+
+def default_parallelism(spark: SparkSession) -> int:
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # Spark Connect
+        return int(spark.conf.get("spark.default.parallelism", "8"))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared checkpoint folder."""
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderscope.session import default_parallelism
+
 SOURCE_TABLES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
@@ -171,7 +173,7 @@ def land_adapted_tables(spark: SparkSession, sf_dir: str, root: str) -> dict[str
     the session's default parallelism before writing; landed raw data in production
     arrives as many files already.
     """
-    n = spark.sparkContext.defaultParallelism
+    n = default_parallelism(spark)
     out: dict[str, DataFrame] = {}
     for name, df in adapt_tables(spark, sf_dir).items():
         path = f"{root.rstrip('/')}/{name}"
