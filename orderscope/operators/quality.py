@@ -50,22 +50,30 @@ def dq_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def _orphans(child: DataFrame, parent: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows of ``child`` whose ``key`` has no row in ``parent``.
+
+    A NULL key never matches, so those rows are counted directly and only non-NULL keys
+    go through the anti join: NULLs (however many) never pile into one join partition.
+    """
+    keys = child.select(key)
+    unmatched = (
+        keys.where(F.col(key).isNotNull())
+        .join(parent.select(key).where(F.col(key).isNotNull()), key, "left_anti")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    null_keys = keys.agg(F.count_if(F.col(key).isNull()).alias("n"))
+    return unmatched.unionByName(null_keys).agg(F.sum("n").cast("bigint").alias(name))
+
+
 def dq_orphan_items(items: DataFrame, orders: DataFrame) -> DataFrame:
     """Items whose order does not exist; expected 0."""
-    return (
-        items.select("order_id")
-        .join(orders.select("order_id"), "order_id", "left_anti")
-        .agg(F.count(F.lit(1)).alias("items_without_orders"))
-    )
+    return _orphans(items, orders, "order_id", "items_without_orders")
 
 
 def dq_orphan_orders(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Orders whose customer does not exist; expected 0."""
-    return (
-        orders.select("customer_id")
-        .join(customers.select("customer_id"), "customer_id", "left_anti")
-        .agg(F.count(F.lit(1)).alias("orders_without_customers"))
-    )
+    return _orphans(orders, customers, "customer_id", "orders_without_customers")
 
 
 def dq_invalid_scores(reviews: DataFrame, low: int = 1, high: int = 5) -> DataFrame:

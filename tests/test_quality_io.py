@@ -176,3 +176,11 @@ def test_landed_text_columns_are_coerced(spark, tmp_dir):
     row = load_tables(spark, root, ("orders",))["orders"].collect()[0]
     assert str(row["order_purchase_timestamp"]) == "2018-01-01 10:00:00"
     assert row["order_estimated_delivery_date"] is None
+
+
+def test_orphans_count_null_keys(spark):
+    from builders import build_tables
+
+    t = build_tables(spark, orders=[order("o1")], items=[item("o1"), item(None, 2), item(None, 3), item("zz")])
+    got = quality.dq_orphan_items(t["order_items"], t["orders"]).collect()[0]["items_without_orders"]
+    assert got == 3
