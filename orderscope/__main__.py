@@ -16,6 +16,7 @@ def main(argv: list[str] | None = None) -> None:
     audit.add_argument("out_dir")
     build = sub.add_parser("build", help="land raw CSV files, build the model, write reports")
     build.add_argument("--raw", default=None, help="folder of raw CSV files to land first")
+    build.add_argument("--strict", action="store_true", help="stop on failed integrity checks")
     build.add_argument("landed_dir")
     build.add_argument("out_dir")
     parser.add_argument("--profile", default="default", choices=["default", "cluster"])
@@ -24,7 +25,7 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "audit":
         print(run_file_audit(spark, args.raw_dir, args.out_dir))
     else:
-        for name, path in run_build(spark, args.raw, args.landed_dir, args.out_dir).items():
+        for name, path in run_build(spark, args.raw, args.landed_dir, args.out_dir, strict=args.strict).items():
             print(f"{name}\t{path}")
 
 

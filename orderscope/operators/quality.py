@@ -183,3 +183,64 @@ def dq_file_audit(tables: dict[str, DataFrame]) -> DataFrame:
         spark = present[0][1].sparkSession
         frames.append(spark.createDataFrame(layout_rows, AUDIT_SCHEMA))
     return _union(frames)
+
+
+class IntegrityError(ValueError):
+    """Raised by ``check_integrity`` when an expected-zero check is not zero."""
+
+
+def integrity_violations(tables: dict[str, DataFrame]) -> DataFrame:
+    """Every expected-zero check as (check, detail, violations), only the failing ones.
+
+    Duplicate keys (the uniqueness the model's one-to-one / many-to-one joins rely on),
+    NULLs in key / NOT NULL columns, orphan items and orders, invalid review scores.
+    """
+    frames = [
+        dq_duplicate_keys(tables).select(
+            F.lit("duplicate_keys").alias("check"),
+            F.concat_ws(".", "table_name", "key_columns").alias("detail"),
+            F.col("duplicate_keys").alias("violations"),
+        ),
+        dq_not_null(tables).select(
+            F.lit("not_null").alias("check"),
+            F.concat_ws(".", "table_name", "column_name").alias("detail"),
+            F.col("null_rows").alias("violations"),
+        ),
+    ]
+    if "order_items" in tables and "orders" in tables:
+        frames.append(
+            dq_orphan_items(tables["order_items"], tables["orders"]).select(
+                F.lit("orphan_items").alias("check"),
+                F.lit("order_items.order_id").alias("detail"),
+                F.col("items_without_orders").alias("violations"),
+            )
+        )
+    if "orders" in tables and "customers" in tables:
+        frames.append(
+            dq_orphan_orders(tables["orders"], tables["customers"]).select(
+                F.lit("orphan_orders").alias("check"),
+                F.lit("orders.customer_id").alias("detail"),
+                F.col("orders_without_customers").alias("violations"),
+            )
+        )
+    if "order_reviews" in tables:
+        frames.append(
+            dq_invalid_scores(tables["order_reviews"]).select(
+                F.lit("invalid_scores").alias("check"),
+                F.lit("order_reviews.review_score").alias("detail"),
+                F.col("invalid_review_scores").alias("violations"),
+            )
+        )
+    return _union(frames).where(F.col("violations") > F.lit(0))
+
+
+def check_integrity(tables: dict[str, DataFrame]) -> None:
+    """Raise ``IntegrityError`` listing every failing expected-zero check.
+
+    The result has at most one row per check (a few dozen), so reading it on the
+    driver is bounded regardless of the data size.
+    """
+    failing = integrity_violations(tables).collect()
+    if failing:
+        lines = ", ".join(f"{r['check']} {r['detail']}={r['violations']}" for r in failing)
+        raise IntegrityError(f"integrity checks failed: {lines}")

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import SparkSession
 
-from orderscope.operators.quality import dq_file_audit
+from orderscope.operators.quality import check_integrity, dq_file_audit
 from orderscope.plans.commerce import CommerceModel, ModelParams
 from orderscope.sources.csv import ingest_csv_dir, list_csv_files, read_csv_as_text
 from orderscope.sources.sinks import write_csv, write_outputs
@@ -38,13 +38,18 @@ def run_build(
     out_dir: str,
     params: ModelParams | None = None,
     file_names: dict[str, str] | None = None,
+    strict: bool = False,
 ) -> dict[str, str]:
     """Land the raw CSV files (when ``raw_dir`` is given; ``<table>.csv`` or the names in
     ``file_names``), check them, build the model once and write every report, the summary
-    document and the payload tables."""
+    document and the payload tables. With ``strict`` the build stops before any report
+    when a key is duplicated or missing, or an item or order is orphaned."""
     if raw_dir:
         ingest_csv_dir(spark, raw_dir, landed_dir, file_names=file_names)
-    model = CommerceModel(load_tables(spark, landed_dir), params or ModelParams()).materialize()
+    tables = load_tables(spark, landed_dir)
+    if strict:
+        check_integrity(tables)
+    model = CommerceModel(tables, params or ModelParams()).materialize()
     written: dict[str, str] = {}
     for name in DQ_REPORTS:
         path = os.path.join(out_dir, "quality", name)

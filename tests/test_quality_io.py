@@ -184,3 +184,23 @@ def test_orphans_count_null_keys(spark):
     t = build_tables(spark, orders=[order("o1")], items=[item("o1"), item(None, 2), item(None, 3), item("zz")])
     got = quality.dq_orphan_items(t["order_items"], t["orders"]).collect()[0]["items_without_orders"]
     assert got == 3
+
+
+def test_integrity_gate_lists_failures(spark):
+    import pytest as _pytest
+    from builders import build_tables
+
+    clean = build_tables(spark, orders=[order("o1"), order("o2")])
+    quality.check_integrity(clean)
+    dirty = build_tables(
+        spark,
+        orders=[order("o1"), order("o1")],
+        items=[item("o1"), item("ghost")],
+        reviews=[review("r1", "o1", 9)],
+    )
+    with _pytest.raises(quality.IntegrityError) as err:
+        quality.check_integrity(dirty)
+    text = str(err.value)
+    assert "duplicate_keys orders.order_id=1" in text
+    assert "orphan_items order_items.order_id=1" in text
+    assert "invalid_scores order_reviews.review_score=1" in text
