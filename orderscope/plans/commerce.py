@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orderscope.functions import buckets as B
 from orderscope.operators import model, quality, reports
-from orderscope.session import scratch_path
+from orderscope.session import scratch_path, write_concurrently
 
 REQUIRED_TABLES = (
     "customers",
@@ -255,14 +255,27 @@ class CommerceModel:
         """
         base = path or scratch_path(self.spark, "model")
         current = self
-        for name in names:
-            df = getattr(current, name)()
-            out = f"{base.rstrip('/')}/{name}"
-            if name == "order_fact":
-                df = df.sortWithinPartitions("order_purchase_timestamp")
-            df.write.mode("overwrite").parquet(out)
-            stored_df = self.spark.read.schema(df.schema).parquet(out).select(*df.columns)
-            current = CommerceModel(self.tables, self.params, {**current.stored, name: stored_df})
+        # the order fact first (the attribution tables are built from the stored fact),
+        # then the remaining tables as concurrent jobs
+        first = [n for n in names if n == "order_fact"]
+        rest = [n for n in names if n != "order_fact"]
+        for group in (first, rest):
+            frames = {}
+            for name in group:
+                df = getattr(current, name)()
+                if name == "order_fact":
+                    df = df.sortWithinPartitions("order_purchase_timestamp")
+                frames[name] = df
+            paths = {name: f"{base.rstrip('/')}/{name}" for name in group}
+            write_concurrently(
+                [lambda df=df, p=paths[name]: df.write.mode("overwrite").parquet(p)
+                 for name, df in frames.items()]
+            )
+            stored = {
+                name: self.spark.read.schema(df.schema).parquet(paths[name]).select(*df.columns)
+                for name, df in frames.items()
+            }
+            current = CommerceModel(self.tables, self.params, {**current.stored, **stored})
         return current
 
 

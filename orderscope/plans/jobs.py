@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 
 from orderscope.operators.quality import check_integrity, dq_file_audit
 from orderscope.plans.commerce import CommerceModel, ModelParams
+from orderscope.session import write_concurrently
 from orderscope.sources.csv import ingest_csv_dir, list_csv_files, read_csv_as_text
 from orderscope.sources.sinks import write_csv, write_outputs
 from orderscope.sources.tables import load_tables
@@ -51,9 +52,11 @@ def run_build(
         check_integrity(tables)
     model = CommerceModel(tables, params or ModelParams()).materialize()
     written: dict[str, str] = {}
+    jobs = []
     for name in DQ_REPORTS:
         path = os.path.join(out_dir, "quality", name)
-        write_csv(getattr(model, name)(), path, single_file=True)
+        jobs.append(lambda df=getattr(model, name)(), p=path: write_csv(df, p, single_file=True))
         written[f"quality/{name}"] = path
+    write_concurrently(jobs)
     written.update(write_outputs(model, out_dir))
     return written

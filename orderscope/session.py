@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
@@ -112,3 +114,20 @@ def default_parallelism(spark: SparkSession) -> int:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared checkpoint folder."""
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def write_concurrently(jobs: list[Callable[[], None]], max_parallel: int = 4) -> None:
+    """Run independent Spark actions (e.g. writes of different tables) as concurrent jobs.
+
+    Each callable submits its own job from a driver thread; Spark schedules the jobs side
+    by side, so small tables do not leave the cluster idle while they run one by one.
+    Any failure is raised after all jobs have finished or failed.
+    """
+    if len(jobs) <= 1:
+        for job in jobs:
+            job()
+        return
+    with ThreadPoolExecutor(max_workers=min(max_parallel, len(jobs))) as pool:
+        futures = [pool.submit(job) for job in jobs]
+    for f in futures:
+        f.result()

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orderscope.session import write_concurrently
+
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     writer = df.write.mode("overwrite")
@@ -81,15 +83,19 @@ def write_outputs(model, out_dir: str) -> dict[str, str]:
     read its (ideally materialised) delivered fact.
     """
     written: dict[str, str] = {}
+    jobs = []
     for name, single in OUTPUT_REPORTS.items():
         path = os.path.join(out_dir, name)
-        write_csv(getattr(model, name)(), path, single_file=single)
+        jobs.append(lambda df=getattr(model, name)(), p=path, one=single: write_csv(df, p, single_file=one))
         written[name] = path
-    path = os.path.join(out_dir, "analysis_summary")
-    write_document(model.summary_document(), path)
-    written["analysis_summary"] = path
     for name in PAYLOAD_REPORTS:
         path = os.path.join(out_dir, "payload", name)
-        write_json_lines(getattr(model, name)(), path, single_file=OUTPUT_REPORTS.get(name, True))
+        one = OUTPUT_REPORTS.get(name, True)
+        jobs.append(lambda df=getattr(model, name)(), p=path, one=one: write_json_lines(df, p, single_file=one))
         written[f"payload/{name}"] = path
+    path = os.path.join(out_dir, "analysis_summary")
+    jobs.append(lambda p=path: write_document(model.summary_document(), p))
+    written["analysis_summary"] = path
+    # independent writes: submitted as concurrent jobs
+    write_concurrently(jobs)
     return written

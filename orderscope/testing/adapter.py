@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderscope.session import default_parallelism
+from orderscope.session import default_parallelism, write_concurrently
 
 SOURCE_TABLES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -174,9 +174,11 @@ def land_adapted_tables(spark: SparkSession, sf_dir: str, root: str) -> dict[str
     arrives as many files already.
     """
     n = default_parallelism(spark)
-    out: dict[str, DataFrame] = {}
-    for name, df in adapt_tables(spark, sf_dir).items():
-        path = f"{root.rstrip('/')}/{name}"
-        df.repartition(n).write.mode("overwrite").parquet(path)
-        out[name] = spark.read.schema(df.schema).parquet(path)
-    return out
+    adapted = adapt_tables(spark, sf_dir)
+    paths = {name: f"{root.rstrip('/')}/{name}" for name in adapted}
+    # the nine writes are independent jobs: submit them together
+    write_concurrently(
+        [lambda df=df, p=paths[name]: df.repartition(n).write.mode("overwrite").parquet(p)
+         for name, df in adapted.items()]
+    )
+    return {name: spark.read.schema(df.schema).parquet(paths[name]) for name, df in adapted.items()}
