@@ -1,23 +1,51 @@
-"""Timestamp helpers for zone-less (TIMESTAMP_NTZ) columns."""
+"""Timestamp helpers for zone-less (TIMESTAMP_NTZ) columns.
+
+All arithmetic is wall-clock arithmetic on the calendar fields, independent of the
+session time zone. (Spark's ``timestamp_diff`` and ``date_format`` read an NTZ value
+through the session zone, which shifts values that fall in a daylight-saving gap.)
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+MICROS_PER_SECOND = 1_000_000
+MICROS_PER_HOUR = 3_600 * MICROS_PER_SECOND
+MICROS_PER_DAY = 86_400 * MICROS_PER_SECOND
+
 
 def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _micros_of_day(ts: Column) -> Column:
+    whole = (F.hour(ts) * 3_600 + F.minute(ts) * 60).cast("long") * F.lit(MICROS_PER_SECOND)
+    seconds = F.date_part(F.lit("SECOND"), ts)  # decimal(8,6): seconds with microseconds
+    return whole + (seconds * F.lit(MICROS_PER_SECOND)).cast("long")
+
+
+def micros_between(start: Column | str, end: Column | str) -> Column:
+    """Exact wall-clock microseconds from start to end."""
+    s, e = _c(start), _c(end)
+    days = F.datediff(F.to_date(e), F.to_date(s)).cast("long")
+    return days * F.lit(MICROS_PER_DAY) + (_micros_of_day(e) - _micros_of_day(s))
+
+
+def _truncate(micros: Column, unit: int) -> Column:
+    """Whole units, truncated toward zero (as TIMESTAMPDIFF does)."""
+    q = micros / F.lit(float(unit))
+    return F.when(micros >= 0, F.floor(q)).otherwise(F.ceil(q)).cast("long")
+
+
 def seconds_between(start: Column | str, end: Column | str) -> Column:
     """Whole seconds from start to end (truncated), as a long."""
-    return F.timestamp_diff("SECOND", _c(start), _c(end))
+    return _truncate(micros_between(start, end), MICROS_PER_SECOND)
 
 
 def hours_between(start: Column | str, end: Column | str) -> Column:
     """Whole hours from start to end, truncated toward zero."""
-    return F.timestamp_diff("HOUR", _c(start), _c(end))
+    return _truncate(micros_between(start, end), MICROS_PER_HOUR)
 
 
 def calendar_days_between(earlier: Column | str, later: Column | str) -> Column:
@@ -27,12 +55,17 @@ def calendar_days_between(earlier: Column | str, later: Column | str) -> Column:
 
 def month_key(ts: Column | str) -> Column:
     """'yyyy-MM' month label."""
-    return F.date_format(_c(ts), "yyyy-MM")
+    t = _c(ts)
+    return F.format_string("%04d-%02d", F.year(t), F.month(t))
 
 
 def iso_seconds(ts: Column | str) -> Column:
     """ISO-8601 text with second precision, e.g. 2018-08-29T15:00:37."""
-    return F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm:ss")
+    t = _c(ts)
+    return F.format_string(
+        "%04d-%02d-%02dT%02d:%02d:%02d",
+        F.year(t), F.month(t), F.dayofmonth(t), F.hour(t), F.minute(t), F.second(t),
+    )
 
 
 def month_start(month: str) -> str:

@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 # Settings every job relies on. AQE re-plans joins from real shuffle sizes (sort-merge
 # to broadcast when a side turns out small), coalesces small shuffle partitions and
 # splits skewed join partitions. Timestamps are zone-less (TIMESTAMP_NTZ) throughout;
-# the session zone is pinned so date_format / to_date never shift values.
+# the session zone is pinned to UTC; the NTZ arithmetic itself does not depend on it.
 DEFAULT_CONF: dict[str, str] = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

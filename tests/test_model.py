@@ -303,3 +303,25 @@ def test_findings_recompute_from_reports(spark):
     assert f["late_delivery_review_gap"] == pytest.approx(3.0 - 1.0)
     assert f["very_late_low_review_multiplier"] == pytest.approx(1.0 / 0.5)
     assert f["top_10_category_gmv_share"] == pytest.approx(1.0)
+
+
+def test_times_do_not_depend_on_the_session_zone(spark):
+    # 00:45 on 1997-10-06 does not exist in Sao Paulo (DST gap); zone-less values must
+    # still give wall-clock differences and labels
+    m = build_model(
+        spark,
+        orders=[order("o1", purchase="1997-10-05 23:30:00", delivered="1997-10-06 00:45:10",
+                      estimated="1997-10-06 00:00:00")],
+    )
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        row = fact_rows(m)["o1"]
+        k = m.kpi_extended().collect()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert row["delivered_seconds"] == 4510
+    assert row["delivered_days_hours"] == 1 / 24
+    assert row["purchase_month"] == "1997-10"
+    assert (row["delay_days"], row["is_late"]) == (0, 0)
+    assert k["purchase_date_min"] == "1997-10-05T23:30:00"
