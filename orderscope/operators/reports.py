@@ -387,7 +387,7 @@ def seller_performance(
         M.rate("low_review").alias("low_review_rate"),
         F.sum("low_review").cast("bigint").alias("low_review_orders"),
     )
-    # both benchmarks from one scan of the delivered fact (one struct-valued subquery)
+    # both benchmarks from one scan of the delivered base (one struct-valued subquery)
     overall = delivered.select(
         F.struct(M.rate("is_late").alias("late"), M.rate("low_review").alias("low"))
     ).scalar()

@@ -1,4 +1,4 @@
-"""Wiring of operators into the full model (and its materialised delivered fact)."""
+"""Wiring of operators into the full model (and its materialised tables), plus SQL views and jobs."""
 
 from orderscope.plans.commerce import OPERATOR_NAMES, CommerceModel, ModelParams
 

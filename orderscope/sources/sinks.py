@@ -80,7 +80,7 @@ def write_outputs(model, out_dir: str) -> dict[str, str]:
 
     CSV reports, the nested summary document (``analysis_summary``), and the payload
     tables as JSON lines (``payload/<report>``). ``model`` is a CommerceModel; reports
-    read its (ideally materialised) delivered fact.
+    read its (ideally materialised) tables.
     """
     written: dict[str, str] = {}
     jobs = []
