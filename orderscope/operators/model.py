@@ -65,6 +65,22 @@ def item_order(items: DataFrame) -> DataFrame:
     )
 
 
+def item_order_from_pairs(pairs: DataFrame) -> DataFrame:
+    """``item_order`` from the (order, seller) pre-aggregate (``order_seller_money``).
+
+    Sums of the per-pair sums are the per-order sums (NULL only when every price is
+    NULL), the item count is the sum of pair counts, and the distinct sellers are the
+    pairs with a seller: the same numbers as ``item_order`` without aggregating the
+    items a second time.
+    """
+    return pairs.groupBy("order_id").agg(
+        M.money_sum("merchandise_gmv_brl").alias("merchandise_gmv"),
+        M.money_sum("freight_value_brl").alias("freight_value"),
+        F.sum("items").alias("item_count"),
+        F.count("seller_id").alias("seller_count"),
+    )
+
+
 def payment_order(payments: DataFrame) -> DataFrame:
     """Customer payment per order."""
     return payments.groupBy("order_id").agg(M.money_sum("payment_value").alias("customer_payment"))
@@ -108,9 +124,13 @@ def order_fact(
     payments: DataFrame,
     reviews: DataFrame,
     low_review_max: int = LOW_REVIEW_MAX,
+    item_orders: DataFrame | None = None,
 ) -> DataFrame:
     """One row per order (any status) with its customer, money, review and delivery outcome.
 
+    ``item_orders`` may supply the per-order item aggregate (e.g. built from a stored
+    (order, seller) pre-aggregate); by default it is ``item_order(items)``.
+
     Orders without a customer row are dropped (inner join); ``dq_orphan_orders`` reports
     them. Derived columns:
       delivered_seconds / delivered_days  exact elapsed time purchase -> delivery
@@ -138,7 +158,7 @@ def order_fact(
     promised = F.col("order_estimated_delivery_date")
     fact = (
         o.join(c, "customer_id", "inner")
-        .join(item_order(items), "order_id", "left")
+        .join(item_orders if item_orders is not None else item_order(items), "order_id", "left")
         .join(payment_order(payments), "order_id", "left")
         .join(latest_review(reviews), "order_id", "left")
         .withColumns(
@@ -217,15 +237,21 @@ def order_seller_money(items: DataFrame) -> DataFrame:
     return items.groupBy("order_id", "seller_id").agg(*_item_money())
 
 
-def order_seller_outcomes(items: DataFrame, delivered: DataFrame) -> DataFrame:
-    """(order, seller) money with the order's outcome attached (delivered orders only)."""
-    return order_seller_money(items).join(order_outcomes(delivered), "order_id", "inner")
+def order_seller_outcomes(pairs: DataFrame, delivered: DataFrame) -> DataFrame:
+    """(order, seller) money (``order_seller_money``) with the order's outcome attached
+    (delivered orders only)."""
+    return pairs.join(order_outcomes(delivered), "order_id", "inner")
 
 
-def order_seller(items: DataFrame, sellers: DataFrame, delivered: DataFrame) -> DataFrame:
-    """(order, seller) money with the order's outcome and the seller's state."""
+def order_seller(items: DataFrame, sellers: DataFrame, delivered: DataFrame,
+                 pairs: DataFrame | None = None) -> DataFrame:
+    """(order, seller) money with the order's outcome and the seller's state.
+
+    ``pairs`` may supply a stored ``order_seller_money``; by default it is computed.
+    """
+    money = pairs if pairs is not None else order_seller_money(items)
     return (
-        order_seller_outcomes(items, delivered)
+        order_seller_outcomes(money, delivered)
         .join(sellers.select("seller_id", "seller_state"), "seller_id", "left")
         .select(
             "order_id",

@@ -31,8 +31,14 @@ REQUIRED_TABLES = (
     "category_translation",
 )
 
-# Intermediate tables materialize() writes once, in dependency order.
-MATERIALIZED: tuple[str, ...] = ("order_fact", "order_category", "order_seller")
+# Intermediate tables materialize() writes once: groups in dependency order, the tables
+# of one group as concurrent jobs.
+MATERIALIZE_STEPS: tuple[tuple[str, ...], ...] = (
+    ("order_seller_money",),
+    ("order_fact",),
+    ("order_category", "order_seller"),
+)
+MATERIALIZED: tuple[str, ...] = tuple(n for step in MATERIALIZE_STEPS for n in step)
 
 
 @dataclass
@@ -75,11 +81,17 @@ class CommerceModel:
         return model.product_category(self.t("products"), self.t("category_translation"))
 
     def item_order(self) -> DataFrame:
-        return model.item_order(self.t("order_items"))
+        return model.item_order_from_pairs(self.order_seller_money())
 
     def payment_order(self) -> DataFrame:
         return model.payment_order(self.t("order_payments"))
 
+    def order_seller_money(self) -> DataFrame:
+        """(order, seller) money of every order: the one aggregation of the item table."""
+        if "order_seller_money" in self.stored:
+            return self.stored["order_seller_money"]
+        return model.order_seller_money(self.t("order_items"))
+
     @cached_property
     def fact(self) -> DataFrame:
         return model.order_fact(
@@ -89,6 +101,7 @@ class CommerceModel:
             self.t("order_payments"),
             self.t("order_reviews"),
             low_review_max=self.params.low_review_max,
+            item_orders=model.item_order_from_pairs(self.order_seller_money()),
         )
 
     def order_fact(self) -> DataFrame:
@@ -114,13 +127,15 @@ class CommerceModel:
     def order_seller(self) -> DataFrame:
         if "order_seller" in self.stored:
             return self.stored["order_seller"]
-        return model.order_seller(self.t("order_items"), self.t("sellers"), self.delivered)
+        return model.order_seller(
+            self.t("order_items"), self.t("sellers"), self.delivered, self.order_seller_money()
+        )
 
     def seller_pairs(self) -> DataFrame:
         """(order, seller) rows with outcomes, without the seller's state."""
         if "order_seller" in self.stored:
             return self.stored["order_seller"].drop("seller_state")
-        return model.order_seller_outcomes(self.t("order_items"), self.delivered)
+        return model.order_seller_outcomes(self.order_seller_money(), self.delivered)
 
     def customer_orders(self) -> DataFrame:
         return model.customer_orders(self.delivered)
@@ -241,13 +256,14 @@ class CommerceModel:
     def materialize(
         self, path: str | None = None, names: tuple[str, ...] = MATERIALIZED
     ) -> CommerceModel:
-        """Write the order fact and the two attribution tables once and return a model
-        whose reports read them back.
-
-        The order fact (all statuses) feeds every report -- the delivered base is a filter
-        pushed into its scan; ``order_category`` and ``order_seller`` (built from the
-        stored fact) feed the category and seller reports, which would otherwise each
-        re-run the item-level pipeline. No shuffle is added for layout: each task writes
+        """Write the model's intermediate tables once and return a model whose reports
+        read them back.
+
+        ``order_seller_money`` is the single aggregation of the item table; the order fact
+        (all statuses) takes its item totals from it and feeds every report -- the
+        delivered base is a filter pushed into its scan; ``order_category`` and
+        ``order_seller`` (built from the stored fact) feed the category and seller
+        reports, which would otherwise each re-run the item-level pipeline. No shuffle is added for layout: each task writes
         its own file, so a month or key holding a third of all rows is still spread over
         every task. The fact is sorted by purchase time within each file, so Parquet
         row-group statistics let the month-window report skip row groups. The folder is on
@@ -255,11 +271,9 @@ class CommerceModel:
         """
         base = path or scratch_path(self.spark, "model")
         current = self
-        # the order fact first (the attribution tables are built from the stored fact),
-        # then the remaining tables as concurrent jobs
-        first = [n for n in names if n == "order_fact"]
-        rest = [n for n in names if n != "order_fact"]
-        for group in (first, rest):
+        wanted = set(names)
+        for step in MATERIALIZE_STEPS:
+            group = [n for n in step if n in wanted]
             frames = {}
             for name in group:
                 df = getattr(current, name)()
