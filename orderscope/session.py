@@ -90,6 +90,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # a Spark Connect session has no SparkContext
         d = None
     if not d:
+        master = spark.conf.get("spark.master", "") or ""
+        if not master.startswith("local"):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: point it at shared storage (HDFS/S3/...) "
+                "so materialised tables survive the loss of an executor"
+            )
+        # local mode only (tests): one machine, so a scratch folder is shared by all tasks.
         # spark.checkpoint.dir is a static setting; only the context-level dir can be set now
         d = tempfile.mkdtemp(prefix="orderscope-ckpt-")
         try:
