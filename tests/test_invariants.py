@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import math
+from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from conftest import SF_CHECK
@@ -88,3 +91,38 @@ def test_repeat_and_windows(model):
     assert model.monthly_report().count() == 20
     assert model.state_report().count() == 15
     assert model.priority_categories().count() == 5
+
+
+def test_summary_document_equals_the_checked_reports(model):
+    doc = json.loads(model.summary_document().collect()[0]["summary_json"])
+
+    def norm(v):
+        return float(v) if isinstance(v, Decimal) else v
+
+    kpi = model.kpi_extended().collect()[0].asDict()
+    assert {k: norm(v) for k, v in kpi.items()} == {k: norm(v) for k, v in doc["kpis"].items()}
+
+    f = model.findings_summary().collect()[0]
+    for key in ("late_delivery_review_gap", "very_late_low_review_multiplier", "top_10_category_gmv_share"):
+        assert doc["findings"][key] == f[key]
+
+    cats = [r.asDict() for r in model.priority_categories(limit=8).collect()]
+    assert [c["category"] for c in cats] == [c["category"] for c in doc["findings"]["priority_categories"]]
+
+    states = [
+        r.asDict()
+        for r in model.state_performance()
+        .where("orders >= 500")
+        .orderBy(F.desc("freight_burden"), "customer_state")
+        .limit(8)
+        .collect()
+    ]
+    got_states = doc["findings"]["high_freight_states"]
+    assert [s["customer_state"] for s in states] == [s["customer_state"] for s in got_states]
+    assert [s["freight_burden"] for s in states] == [s["freight_burden"] for s in got_states]
+
+    sellers = [r.asDict() for r in model.priority_sellers(limit=10).collect()]
+    assert [s["seller_id"] for s in sellers] == [s["seller_id"] for s in doc["findings"]["priority_sellers"]]
+
+    risk = model.seller_risk_summary().collect()[0].asDict()
+    assert {k: norm(v) for k, v in risk.items()} == {k: norm(v) for k, v in doc["findings"]["seller_risk"].items()}
