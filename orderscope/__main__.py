@@ -17,6 +17,13 @@ def main(argv: list[str] | None = None) -> None:
     build = sub.add_parser("build", help="land raw CSV files, build the model, write reports")
     build.add_argument("--raw", default=None, help="folder of raw CSV files to land first")
     build.add_argument("--strict", action="store_true", help="stop on failed integrity checks")
+    build.add_argument(
+        "--file",
+        action="append",
+        default=[],
+        metavar="TABLE=NAME",
+        help="raw file name of a table when it is not <table>.csv (repeatable)",
+    )
     build.add_argument("landed_dir")
     build.add_argument("out_dir")
     parser.add_argument("--profile", default="default", choices=["default", "cluster"])
@@ -25,7 +32,11 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "audit":
         print(run_file_audit(spark, args.raw_dir, args.out_dir))
     else:
-        for name, path in run_build(spark, args.raw, args.landed_dir, args.out_dir, strict=args.strict).items():
+        file_names = dict(item.split("=", 1) for item in args.file)
+        written = run_build(
+            spark, args.raw, args.landed_dir, args.out_dir, strict=args.strict, file_names=file_names
+        )
+        for name, path in written.items():
             print(f"{name}\t{path}")
 
 

@@ -83,3 +83,14 @@ def test_build_lands_checks_and_writes_reports(spark, raw_dir, tmp_dir):
 def test_cli_audit(spark, raw_dir, tmp_dir, capsys):
     cli_main(["audit", raw_dir, os.path.join(tmp_dir, "cli")])
     assert "data_audit" in capsys.readouterr().out
+
+
+def test_cli_build_with_file_name_map(spark, raw_dir, tmp_dir, capsys):
+    os.rename(os.path.join(raw_dir, "sellers.csv"), os.path.join(raw_dir, "vendors_export.csv"))
+    out = os.path.join(tmp_dir, "cli_out")
+    cli_main(["build", "--raw", raw_dir, "--strict", "--file", "sellers=vendors_export.csv",
+              os.path.join(tmp_dir, "cli_landed"), out])
+    printed = capsys.readouterr().out
+    assert "seller_performance" in printed
+    sellers = _read(spark, os.path.join(out, "seller_performance")).collect()
+    assert [r["seller_state"] for r in sellers] == ["PR"]
