@@ -54,3 +54,42 @@ def test_seller_benchmarks_share_one_subquery(model, spark):
     df.collect()
     text = plan_text(df)
     assert "ReusedSubquery" in text
+
+
+NO_BROADCAST = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+}
+
+
+@pytest.fixture()
+def no_broadcast(spark):
+    old = {k: spark.conf.get(k, None) for k in NO_BROADCAST}
+    for k, v in NO_BROADCAST.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        if v is None:
+            spark.conf.unset(k)
+        else:
+            spark.conf.set(k, v)
+
+
+def test_full_scale_shuffle_budget(model, no_broadcast):
+    """Hash shuffles when no join side can be broadcast (the full-scale plan shape)."""
+    from orderscope.plans.commerce import MATERIALIZED, CommerceModel
+
+    def shuffles(df):
+        return summarize(plan_text(df)).shuffles
+
+    jobs = {}
+    for i, name in enumerate(MATERIALIZED):
+        before = {k: model.stored[k] for k in MATERIALIZED[:i]}
+        jobs[name] = shuffles(getattr(CommerceModel(model.tables, model.params, before), name)())
+    # items are aggregated once to (order, seller); the fact adds orders/customers/
+    # payments/reviews and one re-key to order_id; attribution joins outcomes by order_id
+    assert jobs == {"order_seller_money": 1, "order_fact": 6, "order_category": 7, "order_seller": 4}
+    assert shuffles(model.kpi_extended()) == 1
+    assert shuffles(model.kpi_summary()) == 0
+    assert shuffles(model.state_performance()) == 1
+    assert shuffles(model.seller_performance()) <= 3
