@@ -80,7 +80,9 @@ def test_full_scale_shuffle_budget(model, no_broadcast):
     from orderscope.plans.commerce import MATERIALIZED, CommerceModel
 
     def shuffles(df):
-        return summarize(plan_text(df)).shuffles
+        summary = summarize(plan_text(df))
+        assert summary.forbidden == []
+        return summary.shuffles
 
     jobs = {}
     for i, name in enumerate(MATERIALIZED):
