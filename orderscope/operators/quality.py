@@ -94,22 +94,40 @@ def _key_checks(spec: TableSpec) -> list[tuple[str, ...]]:
 def dq_duplicate_keys(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, key_columns, duplicate_keys): key values held by more than one row.
 
-    Covers every primary key and every key a join relies on being unique. The count per
-    key is combined map-side, so a key repeated in a third of the rows stays cheap.
+    Covers every primary key and every key a join relies on being unique. All keys of a
+    table are counted in one scan and one shuffle (grouping sets; ``grouping_id`` tells
+    the sets apart even when key values are NULL). The count per key is combined
+    map-side, so a key repeated in a third of the rows stays cheap.
     """
     frames = []
     for name, df, spec in _present(tables):
-        for key in _key_checks(spec):
-            frames.append(
-                df.groupBy(*key)
-                .agg(F.count(F.lit(1)).alias("n"))
-                .agg(F.count_if(F.col("n") > F.lit(1)).alias("duplicate_keys"))
-                .select(
-                    F.lit(name).alias("table_name"),
-                    F.lit(",".join(key)).alias("key_columns"),
-                    "duplicate_keys",
-                )
-            )
+        keys = _key_checks(spec)
+        if not keys:
+            continue
+        cols: list[str] = []
+        for key in keys:
+            cols.extend(c for c in key if c not in cols)
+        counts = (
+            df.groupingSets([list(k) for k in keys], *cols)
+            .agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"))
+        )
+        # one global aggregate: a conditional count per key set, so every check has a
+        # row (0 on an empty table); grouping_id sets bit (len(cols)-1-i) for every
+        # column i not in the set
+        duplicates = []
+        for j, key in enumerate(keys):
+            gid = sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in key)
+            hit = (F.col("gid") == F.lit(gid)) & (F.col("n") > F.lit(1))
+            duplicates.append(F.count_if(hit).alias(f"_k{j}"))
+        entries = [
+            F.struct(F.lit(",".join(key)).alias("key_columns"), F.col(f"_k{j}").alias("duplicate_keys"))
+            for j, key in enumerate(keys)
+        ]
+        frames.append(
+            counts.agg(*duplicates)
+            .select(F.inline(F.array(*entries)))
+            .select(F.lit(name).alias("table_name"), "key_columns", "duplicate_keys")
+        )
     return _union(frames)
 
 

@@ -204,3 +204,9 @@ def test_integrity_gate_lists_failures(spark):
     assert "duplicate_keys orders.order_id=1" in text
     assert "orphan_items order_items.order_id=1" in text
     assert "invalid_scores order_reviews.review_score=1" in text
+
+
+def test_duplicate_keys_report_every_check_on_empty_tables(spark):
+    empty = {"orders": frame(spark, "orders", []), "sellers": frame(spark, "sellers", [])}
+    got = {(r["table_name"], r["key_columns"]): r["duplicate_keys"] for r in quality.dq_duplicate_keys(empty).collect()}
+    assert got == {("orders", "order_id"): 0, ("orders", "customer_id"): 0, ("sellers", "seller_id"): 0}
