@@ -126,3 +126,14 @@ def test_summary_document_equals_the_checked_reports(model):
 
     risk = model.seller_risk_summary().collect()[0].asDict()
     assert {k: norm(v) for k, v in risk.items()} == {k: norm(v) for k, v in doc["findings"]["seller_risk"].items()}
+
+
+def test_quality_checks_match_fixture_facts(model):
+    dup = {(r["table_name"], r["key_columns"]): r["duplicate_keys"] for r in model.dq_duplicate_keys().collect()}
+    assert dup[("order_items", "order_id,order_item_id")] == 11785
+    assert dup[("orders", "order_id")] == 0 and dup[("orders", "customer_id")] == 0
+    orphans = model.dq_orphan_items().collect()[0]["items_without_orders"]
+    assert orphans == 0 and model.dq_orphan_orders().collect()[0]["orders_without_customers"] == 0
+    assert model.dq_invalid_scores().collect()[0]["invalid_review_scores"] == 0
+    audit = {(r["table_name"], r["metric"]): r["value"] for r in model.dq_file_audit().collect() if r["column_name"] is None}
+    assert audit[("geolocation", "duplicate_rows")] > 0
