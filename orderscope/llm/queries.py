@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from orderscope.llm import decontamination
 from orderscope.llm.common import table, text_bytes
 from orderscope.llm.sharding import histogram_sort
+from orderscope.llm.shingle_join import join_components
 
 SHARDS = 40
 
@@ -34,8 +35,14 @@ def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pigeonhole_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under 3-word shingles and a similarity of 0.9 or more."""
+    return join_components(table(spark, sf_dir, "documents"), 3, 90)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_histogram_sort": op1_histogram_sort,
+    "op8_pigeonhole_join": op8_pigeonhole_join,
     "op10_winnowing": decontamination.op10_winnowing,
 }
 
