@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderscope.session import scratch_path
+import orderscope
+from orderscope.session import app_id, scratch_path
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -22,8 +28,26 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package where PYTHONPATH does not name it already."""
+    root = Path(orderscope.__file__).resolve().parent.parent
+    on_path = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if str(root) in on_path or app_id(spark) in _SHIPPED:
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="orderscope-"), "orderscope.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted((root / "orderscope").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    spark.sparkContext.addPyFile(target)  # Spark serves it to the executors
+    _SHIPPED.add(app_id(spark))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, as Spark reads it."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

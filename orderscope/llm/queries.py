@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderscope.llm import decontamination
+from orderscope.llm import decontamination, mixing, token_counts, toxicity
 from orderscope.llm.common import table, text_bytes
 from orderscope.llm.sharding import histogram_sort
 from orderscope.llm.shingle_join import join_components
@@ -42,8 +42,11 @@ def op8_pigeonhole_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_histogram_sort": op1_histogram_sort,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_whole_tokens": token_counts.op3_token_counts,
+    "op6_raking": mixing.op6_raking,
     "op8_pigeonhole_join": op8_pigeonhole_join,
     "op10_winnowing": decontamination.op10_winnowing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_winnowing": decontamination.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op6_raking": mixing.oracle(), "op10_winnowing": decontamination.ORACLE}
