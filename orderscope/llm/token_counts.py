@@ -50,6 +50,10 @@ def proven_tokens(path: str) -> frozenset[str]:
     )
 
 
+# Units of characters whose case, class and normal form the library and Python agree on.
+PLAIN = regex.compile("[\t\n\r -~\xa1-\u012f\u0131-\u017f]+")
+
+
 class Counter:
     """Counts the tokens of texts; one for each worker task.
 
@@ -63,13 +67,8 @@ class Counter:
         self.units: dict[str, int] = {}
         self.merged: dict[str, int] = {}
 
-    @staticmethod
-    def plain(unit: str) -> bool:
-        """Only characters whose case, class and normal form the library and Python agree on."""
-        return max(unit) < "ƀ" and "İ" not in unit and "<|" not in unit and not any(c < " " and c not in "\n\t\r" or "\x7f" <= c <= "\xa0" for c in unit)
-
     def _new_units(self, new: list[str]) -> None:
-        pieces = {u: self.pattern.findall(u.lower()) for u in new if u and self.plain(u)}
+        pieces = {u: self.pattern.findall(u.lower()) for u in new if PLAIN.fullmatch(u) and "<|" not in u}
         rest = list({p for ps in pieces.values() for p in ps if p not in self.proven and p not in self.merged})
         for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.merged[p] = len(e.ids)

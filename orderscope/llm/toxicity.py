@@ -36,6 +36,7 @@ SYMBOLS = 6
 KINDS = ("aimed", "bare", "threat", "negated", "reported")
 CLAUSE_END = re.compile(r"[.!?;:\n]")
 MAX_LEXICON = 20_000  # learnt words and stems kept, the strongest first: a bound on the model
+CLAUSE_CAP = 2.0  # the weight of the matches of one kind in a clause
 CAP = 4  # clauses of a kind that the calibration tells apart
 
 
@@ -172,7 +173,8 @@ class Reader:
         return out
 
     def __call__(self, text: str | None) -> list[tuple[str, float, str]]:
-        """(kind, weight, clause) of each match; a clause counts once for each kind."""
+        """(kind, weight, clause) for each kind of pattern matched in a clause; matches of one
+        kind add up to CLAUSE_CAP."""
         low = (text or "").lower()
         found = []
         for a, b in self.clauses(low):
@@ -185,7 +187,7 @@ class Reader:
                     threat = weight
                 if out:
                     kind = KINDS[out - 1]
-                    best[kind] = max(best.get(kind, 0.0), weight if symbol == INSULT else threat)
+                    best[kind] = min(CLAUSE_CAP, best.get(kind, 0.0) + (weight if symbol == INSULT else threat))
             found.extend((kind, w, low[a:b]) for kind, w in best.items())
         return found
 
@@ -220,9 +222,9 @@ def learn_lexicon(labelled: DataFrame, min_documents: int = 3, min_contexts: int
     """Words and stems that mark toxic texts, with their log odds, at most MAX_LEXICON.
 
     The evidence of a word (its log likelihood ratio against the share of toxic texts)
-    must exceed what the best of all the words tested would show by chance. A word must
-    also stand beside enough different neighbours in toxic texts: one that only repeats
-    with the same sentence (copies of one text) says nothing.
+    must exceed what the best of all the words tested would show by chance. What counts is
+    the number of different neighbourhoods (words before and after) it has in toxic texts:
+    a word that only repeats with its sentence, in copies of one text, says nothing.
     """
     size = labelled.groupBy().agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     toxic, clean = size["t"] or 0, size["n"] - (size["t"] or 0)
@@ -234,52 +236,63 @@ def learn_lexicon(labelled: DataFrame, min_documents: int = 3, min_contexts: int
     tested = counts.where(F.col("toxic") + F.col("clean") >= min_documents).count()
     chance = float(np.log(max(2, tested)) + 3)
 
-    def part(k: str, p: float):
-        ratio = F.col(k) / (F.col("toxic") + F.col("clean"))
-        return F.when(F.col(k) > 0, F.col(k) * F.log(ratio / p)).otherwise(0.0)
+    def evidence(t: float, c: float) -> float:
+        return sum(k * np.log(k / (t + c) / p) for k, p in ((t, share), (c, 1 - share)) if k)
 
-    def odds(df: DataFrame) -> DataFrame:
-        df = df.where(part("toxic", share) + part("clean", 1 - share) >= chance)
-        rate = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
-        return df.withColumn("odds", rate).where((F.col("odds") >= min_odds) & (F.col("toxic") >= min_documents))
+    def odds(t: float, c: float) -> float:
+        return float(np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1)))
 
+    # Candidates: more toxic documents than min_odds asks for, the most frequent ones first.
+    rate = (F.col("toxic") + 0.5) / (toxic + 1.0) * (clean + 1.0) / (F.col("clean") + 0.5)
+    likely = (F.col("toxic") >= min_documents) & (rate >= float(np.exp(min_odds)))
     stems = counts.where(F.length("word") >= 5).withColumn(
         "stem", F.explode(F.expr("transform(sequence(4, least(6, length(word) - 1)), i -> substring(word, 1, i))"))
     )
     stems = stems.groupBy("stem").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count_if(F.col("toxic") > 0).alias("forms")
     )
-    stems = odds(stems.where("forms >= 3")).select(F.col("stem").alias("word"), F.lit(True).alias("is_stem"), "odds")
-    words = odds(counts).select("word", F.lit(False).alias("is_stem"), "odds")
-    found = words.union(stems).orderBy(F.desc("odds"), "word", "is_stem").limit(4 * MAX_LEXICON).collect()
-    whole = {r["word"]: r["odds"] for r in found if not r["is_stem"]}
-    stem = {r["word"]: r["odds"] for r in found if r["is_stem"]}
+    found = (
+        counts.where(likely)
+        .select("word", F.lit(False).alias("is_stem"), "toxic", "clean")
+        .union(stems.where(likely & (F.col("forms") >= 3)).select(F.col("stem").alias("word"), F.lit(True), "toxic", "clean"))
+        .orderBy(F.desc("toxic"), "word", "is_stem")
+        .limit(4 * MAX_LEXICON)
+        .collect()
+    )
+    clean_of = {(r["word"], r["is_stem"]): r["clean"] for r in found if evidence(r["toxic"], r["clean"]) >= chance}
+    whole = {w for w, s in clean_of if not s}
+    stem = {w for w, s in clean_of if s}
 
     def contexts(frames):
         sizes = sorted({len(s) for s in stem})
         for frame in frames:
             out = set()
             for text in frame["text"]:
-                before = ""
-                for word in _WORD.findall((text or "").lower()):
-                    if word in whole:
-                        out.add((word, False, before[:12]))
-                    for n in sizes:
-                        if word[:n] in stem and len(word) > n:
-                            out.add((word[:n], True, before[:12]))
-                    before = word
-            yield pd.DataFrame(list(out), columns=["word", "is_stem", "before"])
+                words = ["", *_WORD.findall((text or "").lower()), ""]
+                for i in range(1, len(words) - 1):
+                    word = words[i]
+                    hits = [(word, False)] if word in whole else []
+                    hits += [(word[:n], True) for n in sizes if len(word) > n and word[:n] in stem]
+                    if hits:
+                        beside = f"{words[i - 1][:12]} {words[i + 1][:12]}"
+                        out.update((w, s, beside) for w, s in hits)
+            yield pd.DataFrame(list(out), columns=["word", "is_stem", "beside"])
 
     beside = (
         labelled.where("toxic = 1")
-        .mapInPandas(contexts, "word string, is_stem boolean, before string")
+        .mapInPandas(contexts, "word string, is_stem boolean, beside string")
         .distinct()
         .groupBy("word", "is_stem")
         .count()
         .where(F.col("count") >= min_contexts)
         .collect()  # at most as many rows as candidates
     )
-    kept = [(r["word"], r["is_stem"], (stem if r["is_stem"] else whole)[r["word"]]) for r in beside]
+    kept = []
+    for r in beside:
+        key = (r["word"], r["is_stem"])
+        t = min(r["count"], toxic)  # different neighbours stand for independent uses
+        if evidence(t, clean_of[key]) >= chance and odds(t, clean_of[key]) >= min_odds:
+            kept.append((*key, odds(t, clean_of[key])))
     strongest = max((w for *_, w in kept), default=1.0)
     kept = [(w, s, o / strongest) for w, s, o in kept]
     seen = {w for w, s, _ in kept if not s}
