@@ -23,7 +23,7 @@ from math import exp
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderscope.llm.common import save
@@ -229,6 +229,14 @@ def _buckets(batches):
         yield one(last[0], last[1])
 
 
+def _possible(percent: int) -> Column:
+    """Whether sizes and sketches of rows x and y allow the similarity: never false for a link."""
+    bits = sum(F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SKETCH_WORDS))
+    return (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (
+        (100 + percent) * bits <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    )
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, index: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose whole sets reach the similarity."""
     pairs = save(pairs, "pairs")
@@ -268,6 +276,7 @@ def jaccard_groups(
     rough = 1 << max(0, count.bit_length() - 1)  # the cost model needs the magnitude only
     index = save(_index(docs, k, percent, rough, widen).withColumn("id", F.monotonically_increasing_id()), "shingles")
 
+    facts = index.select("id", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)])
     copies = (
         index.where("set_key is not null")
         .groupBy("set_key")
@@ -289,14 +298,20 @@ def jaccard_groups(
     )
     split = met.where("edge").select("sig", "center").distinct()  # two rows for each task
     joined = split.groupBy("sig").agg(F.min("center").alias("a"), F.max("center").alias("z")).where("a != z")
+    # First each set with one other: the first one of most of its buckets. Pairs that this
+    # leaves out are in buckets that stay open below, unless their groups got joined.
     star = (
         met.select(F.col("center").alias("a"), F.col("id").alias("b"))
         .union(split.join(joined, "sig").select("a", F.col("center").alias("b")))
         .where("a != b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+        .groupBy("a", "b")
+        .count()
+        .groupBy("b")
+        .agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
     )
-    links = save(_verified(star, docs, index, k, percent), "links")
+    x, y = facts.alias("x"), facts.alias("y")
+    star = star.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(_possible(percent))
+    links = save(_verified(star.select("a", "b"), docs, index, k, percent), "links")
     labels = components(links, "a", "b")
 
     # Buckets that still hold several groups: pairs between different groups, kept where
@@ -305,17 +320,10 @@ def jaccard_groups(
     member = save(member.select("sig", "id", F.coalesce("root", "id").alias("root")), "members")
     mixed = member.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("sig")
     open_rows = save(member.join(mixed, "sig").distinct(), "open")
-    facts = index.select("id", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)])
     open_rows = save(open_rows.join(facts, "id"), "facts")
     x, y = open_rows.alias("x"), open_rows.alias("y")
-    bits = sum(F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SKETCH_WORDS))
-    possible = (
-        (F.col("x.id") < F.col("y.id"))
-        & (F.col("x.root") != F.col("y.root"))
-        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-        & ((100 + percent) * bits <= (100 - percent) * (F.col("x.n") + F.col("y.n")))
-    )
-    rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & possible).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
+    rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & apart & _possible(percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     more = save(_verified(rest.distinct(), docs, index, k, percent), "links")
     if not more.isEmpty():
         labels = components(links.union(more), "a", "b")
