@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from orderscope.llm.common import table, text_bytes
-from orderscope.llm.token_units import CACHE_UNITS, split_units, text_slices
+from orderscope.llm.token_units import PLAIN, Cache, byte_letters, split_units, text_slices
 
 LIMIT = 2048
 # The pre-token pattern of the vocabulary file, checked against the file when it is loaded.
@@ -50,10 +50,6 @@ def proven_tokens(path: str) -> frozenset[str]:
     )
 
 
-# Units of characters whose case, class and normal form the library and Python agree on.
-PLAIN = regex.compile("[\t\n\r -~\xa1-\u012f\u0131-\u017f]+")
-
-
 class Counter:
     """Counts the tokens of texts; one for each worker task.
 
@@ -62,30 +58,35 @@ class Counter:
 
     def __init__(self, path: str, proven: frozenset[str]):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.proven = proven
         self.pattern = regex.compile(PRETOKEN)
-        self.units: dict[str, int] = {}
-        self.merged: dict[str, int] = {}
+        self.units, self.merged = Cache(), Cache()
+
+    def _merge(self, pieces: list[str]) -> list[int]:
+        return [len(self.model.tokenize(byte_letters(p))) for p in pieces]
 
-    def _new_units(self, new: list[str]) -> None:
+    def _whole(self, texts: list[str]) -> list[int]:
+        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _count_units(self, new: list[str]) -> list[int]:
         pieces = {u: self.pattern.findall(u.lower()) for u in new if PLAIN.fullmatch(u) and "<|" not in u}
-        rest = list({p for ps in pieces.values() for p in ps if p not in self.proven and p not in self.merged})
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.merged[p] = len(e.ids)
-        for u, ps in pieces.items():
-            self.units[u] = sum(1 if p in self.proven else self.merged[p] for p in ps)
+        proven = self.proven
+        self.merged.fill({p for ps in pieces.values() for p in ps if p not in proven}, self._merge)
         odd = [u for u in new if u not in pieces]
-        for u, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            self.units[u] = len(e.ids)
+        count = dict(zip(odd, self._whole(odd), strict=True))
+        for u, ps in pieces.items():
+            n = 0
+            for p in ps:
+                n += 1 if p in proven else self.merged[p]
+            count[u] = n
+        return [count[u] for u in new]
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)
         for first, part in text_slices(texts):
             offsets, codes, units = split_units(part)
-            if len(self.units) > CACHE_UNITS:
-                self.units.clear()
-                self.merged.clear()
-            self._new_units([u for u in units if u not in self.units])
+            self.units.fill(units, self._count_units)
             each = np.fromiter((self.units[u] for u in units), np.int64, len(units))
             out[first : first + len(part)] = np.add.reduceat(each[codes], offsets[:-1])
         return out

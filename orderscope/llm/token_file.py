@@ -17,10 +17,12 @@ import io
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +31,7 @@ from tokenizers import Tokenizer
 
 from orderscope.llm.common import save, shuffle_partitions, table
 from orderscope.llm.token_counts import vocabulary
-from orderscope.llm.token_units import CACHE_UNITS, split_units, text_slices
+from orderscope.llm.token_units import PLAIN, Cache, byte_letters, split_units, text_slices
 from orderscope.session import scratch_path
 
 MAGIC = b"PLN1"
@@ -37,6 +39,8 @@ BLOCK_IDS = 1 << 16
 FOOTER = struct.Struct("<QQQQ4s")  # documents: offset, size; chunk index: offset, size; magic
 CHUNKS = pa.schema([("first", pa.int64()), ("ids", pa.int32()), ("offset", pa.int64()), ("planes", pa.list_(pa.int32()))])
 END_ID = 0
+# The library's byte-level pre-token pattern (it is not written in the vocabulary file).
+PRETOKEN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
 # -- planes -------------------------------------------------------------------------------
@@ -166,16 +170,27 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, np.ndarray] = {}
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _look_up(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.cache) > CACHE_UNITS:
-            self.cache.clear()
-        new = [t for t in dict.fromkeys(texts) if t not in self.cache]
-        self.cache.update(zip(new, self._encode(new), strict=True))
+        self.model = self.tokenizer.model
+        self.cache, self.pieces = Cache(), Cache()
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _merge(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", [t.id for t in self.model.tokenize(byte_letters(p))]).tobytes() for p in pieces]
+
+    def _encode(self, units: list[str]) -> list[bytes]:
+        cut = {u: PRETOKEN.findall(u) for u in units if PLAIN.fullmatch(u) and "<|" not in u}
+        self.pieces.fill({p for ps in cut.values() for p in ps}, self._merge)
+        odd = [u for u in units if u not in cut]
+        ids = dict(zip(odd, self._whole(odd), strict=True))
+        for u, ps in cut.items():
+            ids[u] = self.pieces[ps[0]] if len(ps) == 1 else b"".join([self.pieces[p] for p in ps])
+        return [ids[u] for u in units]
+
+    def _look_up(self, texts: list[str]) -> list[bytes]:
+        self.cache.fill(dict.fromkeys(texts), self._encode)
         return [self.cache[t] for t in texts]
 
     def __call__(self, texts: pa.Array):
@@ -195,9 +210,9 @@ class Encoder:
             item = codes.astype(np.int64).copy()
             item[head] = len(units) + np.arange(len(head))
             whole = np.flatnonzero(broken)
-            ids += self._encode([part[int(i)].as_py() for i in whole])
+            ids += self._whole([part[int(i)].as_py() for i in whole])
             end = len(ids)
-            ids.append(np.array([END_ID], np.uint32))
+            ids.append(array("I", [END_ID]).tobytes())
             # the items of each text in order, with the end id after its last one
             keep = ~np.repeat(broken, np.diff(offsets))
             keep[head[whole]] = True
@@ -207,11 +222,11 @@ class Encoder:
             kept = np.insert(keep, offsets[1:], True)
             owner = np.insert(text_of, offsets[1:], np.arange(len(part)))
             items, owner = items[kept], owner[kept]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             start = np.r_[0, np.cumsum(size)[:-1]]
             each = size[items]
             shift = np.repeat(start[items] - (np.cumsum(each) - each), each)
-            yield first, np.bincount(owner, each, len(part)).astype(np.int64), np.concatenate(ids)[shift + np.arange(len(shift))]
+            yield first, np.bincount(owner, each, len(part)).astype(np.int64), np.frombuffer(b"".join(ids), np.uint32)[shift + np.arange(len(shift))]
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, bits: bool = False) -> DataFrame:
