@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderscope.llm import decontamination, mixing, token_counts, token_file, toxicity
+from orderscope.llm import decontamination, embedding_dedup, mixing, token_counts, token_file, toxicity
 from orderscope.llm.common import table, text_bytes
 from orderscope.llm.sharding import histogram_sort
 from orderscope.llm.shingle_join import join_components
@@ -44,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_histogram_sort": op1_histogram_sort,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_whole_tokens": token_counts.op3_token_counts,
+    "op4_pivot_index": embedding_dedup.op4_pivot_index,
     "op5_bit_planes": token_file.op5_bit_planes,
     "op6_raking": mixing.op6_raking,
     "op8_pigeonhole_join": op8_pigeonhole_join,

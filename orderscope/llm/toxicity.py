@@ -36,6 +36,7 @@ SYMBOLS = 6
 KINDS = ("aimed", "bare", "threat", "negated", "reported")
 CLAUSE_END = re.compile(r"[.!?;:\n]")
 MAX_LEXICON = 20_000  # learnt words and stems kept, the strongest first: a bound on the model
+BROADCAST_LABELS = 2_000_000  # 16 bytes each
 CLAUSE_CAP = 2.0  # the weight of the matches of one kind in a clause
 CAP = 4  # clauses of a kind that the calibration tells apart
 
@@ -386,6 +387,9 @@ def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Several labels of one id count once, as toxic where any is.
     """
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    one = save(one, "labels")
+    if one.count() <= BROADCAST_LABELS:  # else the texts are joined by shuffle
+        one = F.broadcast(one)
     return docs.select("doc_id", "text").where(remainder(F.col("doc_id")) != 0).join(one, "doc_id").select("text", "toxic")
 
 
