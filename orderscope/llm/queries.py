@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderscope.llm import decontamination, embedding_dedup, mixing, token_counts, token_file, toxicity
+from orderscope.llm import (
+    decontamination,
+    embedding_dedup,
+    line_dedup,
+    mixing,
+    token_counts,
+    token_file,
+    toxicity,
+)
 from orderscope.llm.common import table, text_bytes
 from orderscope.llm.sharding import histogram_sort
 from orderscope.llm.shingle_join import join_components
@@ -47,8 +55,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pivot_index": embedding_dedup.op4_pivot_index,
     "op5_bit_planes": token_file.op5_bit_planes,
     "op6_raking": mixing.op6_raking,
+    "op7_site_lines": line_dedup.op7_site_lines,
     "op8_pigeonhole_join": op8_pigeonhole_join,
     "op10_winnowing": decontamination.op10_winnowing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_raking": mixing.oracle(), "op10_winnowing": decontamination.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op6_raking": mixing.oracle(),
+    "op7_site_lines": line_dedup.oracle(),
+    "op10_winnowing": decontamination.ORACLE,
+}
