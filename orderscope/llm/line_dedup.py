@@ -100,7 +100,7 @@ WITH p AS (
   SELECT row_number() OVER () AS r, page_id,
     lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
     list_filter(list_transform(string_split_regex(coalesce(html, ''), '{BREAKS}'),
-      lambda x: trim(regexp_replace(regexp_replace(x, '{TAGS}', ' ', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))), x -> x <> '') AS lines
+      lambda x: trim(regexp_replace(regexp_replace(x, '{TAGS}', ' ', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))), lambda x: x <> '') AS lines
   FROM pages),
 t AS (SELECT host, count(*) AS site_pages FROM p GROUP BY host),
 c AS (SELECT host, line, count(*) AS n FROM (SELECT host, r, unnest(list_distinct(lines)) AS line FROM p) GROUP BY host, line),
