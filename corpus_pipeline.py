@@ -1,10 +1,64 @@
-"""From raw documents to training shards: five stages, each written before the next reads it."""
+"""From raw documents to training shards: five stages, each written before the next reads it.
+
+Toxic documents go; one document of each near-duplicate group stays; documents that share a
+benchmark passage go; the rest is sampled to the target mix of sources, languages and topics
+and put into shards of near equal bytes. Every stage works on all that its predecessor kept.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+
+from orderscope.llm.common import save, ship_package, table
+from orderscope.llm.decontamination import drop_contaminated
+from orderscope.llm.mixing import sample_mix
+from orderscope.llm.sharding import shard_documents
+from orderscope.llm.shingle_join import keep_one_of_each
+from orderscope.llm.toxicity import reject_toxic
+
+SHARDS = 40
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the pattern grammar scores 0.5 or more."""
+    return reject_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group under five-word shingles and a similarity of 0.8 or more."""
+    ship_package(spark)
+    return keep_one_of_each(docs, k=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that share ten consecutive words with a benchmark item."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample in the target mix of sources, languages and topics."""
+    return sample_mix(docs)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All that is left, with its shard and its place there."""
+    return shard_documents(docs, SHARDS)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
+
+ORACLE_SQL = None  # a trained score and a similarity join are not SQL: see tests/llm
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from orderscope.llm import (
     decontamination,
     embedding_dedup,
+    language_model,
     line_dedup,
     mixing,
     token_counts,
@@ -57,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_raking": mixing.op6_raking,
     "op7_site_lines": line_dedup.op7_site_lines,
     "op8_pigeonhole_join": op8_pigeonhole_join,
+    "op9_maxent": language_model.op9_maxent,
     "op10_winnowing": decontamination.op10_winnowing,
 }
 
