@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from orderscope.llm.common import save
 from orderscope.llm.graph import components
 
-BAND_RATIO = 2.0
-SKETCH_WORDS = 8  # 512 parity bits
+BAND_RATIO = 1.5
+SKETCH_WORDS = 8  # words of 64 parity bits of the smallest sketch
+SKETCH_LOAD = 128  # tokens for each word of larger ones
 SIGNATURE_MASK = np.uint64((1 << 48) - 1)
 BROADCAST_ROWS = 1_000_000
 _U = np.uint64
@@ -138,10 +139,14 @@ def signatures(tokens: np.ndarray, percent: int, set_count: int, widen: int | No
 
 
 def parity_sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the token count in each of 512 cells: two sets differ in at least as many
-    tokens as their sketches differ in bits."""
-    cells = np.bincount((tokens >> _U(50)).astype(np.int64) % (64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS)
-    return np.packbits((cells & 1).astype(np.uint8)).view(np.int64)
+    """Parity of the token count in each of 512 cells, or more for a large set: two sets
+    differ in at least as many tokens as their sketches differ in bits. A sketch folds to
+    half its size by xor of its halves."""
+    words = SKETCH_WORDS
+    while words * SKETCH_LOAD < len(tokens):
+        words *= 2
+    cells = np.bincount((tokens >> _U(16)).astype(np.int64) & (64 * words - 1), minlength=64 * words)
+    return np.packbits((cells & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
 _INDEX = "doc_id {}, _rk long, set_key binary, n int, sigs array<long>, sketch array<long>"
@@ -231,9 +236,15 @@ def _buckets(batches):
 
 def _possible(percent: int) -> Column:
     """Whether sizes and sketches of rows x and y allow the similarity: never false for a link."""
+    most = (100 - percent) * (F.col("x.n") + F.col("y.n"))
     bits = sum(F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SKETCH_WORDS))
-    return (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (
-        (100 + percent) * bits <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    m = "least(size(x.sketch), size(y.sketch))"
+    folded = [f"if(size({t}.sketch) > {m}, {t}.sketch[i] ^ {t}.sketch[i + {m}], {t}.sketch[i])" for t in "xy"]
+    all_bits = F.expr(f"aggregate(sequence(0, {m} - 1), 0, (a, i) -> a + bit_count({folded[0]} ^ {folded[1]}))")
+    return (
+        (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+        & ((100 + percent) * bits <= most)
+        & ((F.greatest("x.n", "y.n") <= SKETCH_WORDS * SKETCH_LOAD) | ((100 + percent) * all_bits <= most))
     )
 
 
@@ -276,7 +287,11 @@ def jaccard_groups(
     rough = 1 << max(0, count.bit_length() - 1)  # the cost model needs the magnitude only
     index = save(_index(docs, k, percent, rough, widen).withColumn("id", F.monotonically_increasing_id()), "shingles")
 
-    facts = index.select("id", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)])
+    fold = [
+        F.expr(f"aggregate(sequence({i}, size(sketch) - 1, {SKETCH_WORDS}), 0L, (a, j) -> a ^ sketch[j])").alias(f"s{i}")
+        for i in range(SKETCH_WORDS)
+    ]
+    facts = index.select("id", "n", "sketch", *fold)
     copies = (
         index.where("set_key is not null")
         .groupBy("set_key")
