@@ -17,9 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_CELLS = 100_000
 # Share of each dimension's values: tokens ** exponent, normalised. 1 keeps the corpus as it
 # is, 0 makes all values equal.
-EXPONENTS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
+EXPONENTS = {"source": 0.8, "lang": 0.9, "topic": 0.95}
 SWEEPS = 8
-LEAST_SHARE = 0.001  # cells below it don't hold back the sampling rate of all others
+LEAST_SHARE = 0.01  # cells below it don't hold back the sampling rate of all others
 
 
 def token_count(text: Column) -> Column:
