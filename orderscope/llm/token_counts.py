@@ -9,6 +9,7 @@ are merged.
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +93,12 @@ class Counter:
         return out
 
 
+@lru_cache(maxsize=2)
+def token_counter(path: str, proven: frozenset[str]) -> Counter:
+    """The counter of this process: a reused worker keeps its vocabulary and its cache."""
+    return Counter(path, proven)
+
+
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """``docs`` with n_tokens and over_limit, as the tokenizers library counts whole texts
     (no special tokens added; special strings inside a text are its default).
@@ -103,7 +110,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     proven = proven_tokens(path)
 
     def run(series):
-        counter = Counter(path, proven)
+        counter = token_counter(path, proven)
         for texts in series:
             yield pa.array(counter(texts), pa.int64())
 

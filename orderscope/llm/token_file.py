@@ -18,6 +18,7 @@ import struct
 import uuid
 import zlib
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -229,6 +230,12 @@ class Encoder:
             yield first, np.bincount(owner, each, len(part)).astype(np.int64), np.frombuffer(b"".join(ids), np.uint32)[shift + np.arange(len(shift))]
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The encoder of this process: a reused worker keeps its vocabulary and its cache."""
+    return Encoder(path)
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, bits: bool = False) -> DataFrame:
     """Encode ``docs`` and write its ids in ascending doc_id order to files under ``path``.
 
@@ -256,7 +263,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
                 continue
             if writer is None:
                 fs.create_dir(root, recursive=True)
-                encode, out = Encoder(vocab), fs.open_output_stream(f"{root}/{name}")
+                encode, out = encoder(vocab), fs.open_output_stream(f"{root}/{name}")
                 writer = Writer(out, batch.schema.field("doc_id").type, bits)
             for first, lengths, ids in encode(batch.column("text")):
                 writer.add(batch.column("doc_id").slice(first, len(lengths)), lengths, ids)
