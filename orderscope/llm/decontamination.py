@@ -180,9 +180,10 @@ def same_row_columns(a: str, b: str) -> Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
     """The documents without a hit, all columns as they are."""
-    hit = decontaminate(docs, benchmark, window, k).where("contaminated").select("doc_id", "_rk").distinct()
-    rows = docs.withColumn("_rk", F.xxhash64("text")).alias("a")
-    return rows.join(save(hit, "contaminated").alias("b"), same_row_columns("a", "b"), "left_anti").drop("_rk")
+    hit = decontaminate(docs, benchmark, window, k).where("contaminated")
+    hit = save(hit.select(F.col("doc_id").alias("_dc_id"), F.col("_rk").alias("_dc_hash")).distinct(), "contaminated")
+    same = (F.col("_dc_hash") == F.col("_dc_text")) & F.col("_dc_id").eqNullSafe(F.col("doc_id"))
+    return docs.withColumn("_dc_text", F.xxhash64("text")).join(hit, same, "left_anti").drop("_dc_text")
 
 
 def op10_winnowing(spark, sf_dir):

@@ -297,7 +297,7 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 part = batch.slice(t.first, texts)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("_row"),
+                        part.column("_lm_row"),
                         pa.array(np.diff(t.offsets)),
                         pa.array(np.bincount(text, is_head[t.code], texts).astype(np.int64)),
                         pa.array(np.bincount(text, log_count[t.code], texts)),
@@ -305,21 +305,21 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                         pa.ListArray.from_arrays(place, pa.array(t.hashes[pair % len(t.hashes)].view(np.int64))),
                         pa.ListArray.from_arrays(place, pa.array(times.astype(np.int32))),
                     ],
-                    names=["_row", "tokens", "known", "counted", "gain", "rare", "times"],
+                    names=["_lm_row", "tokens", "known", "counted", "gain", "rare", "times"],
                 )
 
-    numbered = docs.select(*keep).withColumn("_row", F.monotonically_increasing_id())
-    scored = numbered.select("_row", "text").mapInArrow(
-        run, "_row long, tokens long, known long, counted double, gain double, rare array<long>, times array<int>"
+    numbered = docs.select(*keep).withColumn("_lm_row", F.monotonically_increasing_id())
+    scored = numbered.select("_lm_row", "text").mapInArrow(
+        run, "_lm_row long, tokens long, known long, counted double, gain double, rare array<long>, times array<int>"
     )
     scored = save(scored, "scored")
-    rare = scored.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select(
-        "_row", F.col("r.rare").alias("word"), F.col("r.times").alias("times")
+    rare = scored.select("_lm_row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select(
+        "_lm_row", F.col("r.rare").alias("word"), F.col("r.times").alias("times")
     )
     c = F.coalesce(F.col("n"), F.lit(0))
     tail = (
         rare.join(counts, "word", "left")
-        .groupBy("_row")
+        .groupBy("_lm_row")
         .agg(
             F.sum(F.col("times") * F.log10(c + 0.5)).alias("tail"),
             F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("tail_known"),
@@ -327,14 +327,14 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     )
     whole = float(np.log10(model.tokens + 0.5 * (model.words + 1)))
     tail_sum = F.col("counted") + F.coalesce("tail", F.lit(0.0))
-    result = scored.drop("rare", "times").join(tail, "_row", "left").select(
-        "_row",
+    result = scored.drop("rare", "times").join(tail, "_lm_row", "left").select(
+        "_lm_row",
         F.col("tokens").alias("lm_tokens"),
         (F.col("known") + F.coalesce("tail_known", F.lit(0))).cast("long").alias("lm_known"),
         (tail_sum - F.col("tokens") * whole).alias("lm_base"),
         (tail_sum + F.col("gain")).alias("lm_score"),
     )
-    return numbered.join(result, "_row").drop("_row")
+    return numbered.join(result, "_lm_row").drop("_lm_row")
 
 
 def learns_from(doc_id: Column) -> Column:

@@ -106,22 +106,22 @@ def mix_documents(
     whole = cells.agg(F.sum("tokens").alias("_all"))
     share = (F.col("tokens").cast("double") / F.col("_all")).alias("_seen")
     start = save(cells.join(F.broadcast(whole)).select(*dims, share, share.alias("_w")), "cells")
-    fitted = rake(start, goal, "_w", sweeps).withColumn("_ratio", F.col("_w") / F.col("_seen"))
-    top = fitted.agg(F.coalesce(F.max(F.when(F.col("_seen") >= LEAST_SHARE, F.col("_ratio"))), F.max("_ratio")).alias("_top"))
+    fitted = rake(start, goal, "_w", sweeps).withColumn("_mix_ratio", F.col("_w") / F.col("_seen"))
+    top = fitted.agg(F.coalesce(F.max(F.when(F.col("_seen") >= LEAST_SHARE, F.col("_mix_ratio"))), F.max("_mix_ratio")).alias("_mix_top"))
     chance = save(
         fitted.join(F.broadcast(top)).select(
-            *dims, F.round(F.least(F.lit(1.0), F.col("_ratio") / F.col("_top")), 9).alias("_p")
+            *dims, F.round(F.least(F.lit(1.0), F.col("_mix_ratio") / F.col("_mix_top")), 9).alias("_mix_chance")
         ),
         "chances",
     )
     # a value left out of given targets has no fitted cell, and so no chance
-    known = start.select(*dims).join(chance, dims, "left").select(*dims, F.coalesce("_p", F.lit(0.0)).alias("_p"))
+    known = start.select(*dims).join(chance, dims, "left").select(*dims, F.coalesce("_mix_chance", F.lit(0.0)).alias("_mix_chance"))
     known = F.broadcast(known) if start.count() <= BROADCAST_CELLS else known
     return (
         rows.join(known, dims, "left")
-        .withColumn("mix_probability", F.coalesce("_p", F.lit(1.0)))
+        .withColumn("mix_probability", F.coalesce("_mix_chance", F.lit(1.0)))
         .withColumn("mix_kept", unit_draw(F.col("doc_id")) < F.col("mix_probability"))
-        .drop("_p")
+        .drop("_mix_chance")
     )
 
 

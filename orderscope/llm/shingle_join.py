@@ -374,16 +374,18 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     rows = save(jaccard_groups(docs, k, percent), "grouped")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_rk")
     best = rows.where("group is not null").groupBy("group").agg(F.min(order).alias("o"), F.count(F.lit(1)).alias("m"))
-    best = best.where("m > 1").select("group", F.col("o.doc_id").alias("_d"), F.col("o._rk").alias("_k"))
-    same = (F.col("_k") == F.col("_rk")) & F.col("_d").eqNullSafe(F.col("doc_id"))
+    best = best.where("m > 1").select("group", F.col("o.doc_id").alias("_jk_id"), F.col("o._rk").alias("_jk_hash"))
+    def same(text_hash: str) -> Column:
+        return (F.col("_jk_hash") == F.col(text_hash)) & F.col("_jk_id").eqNullSafe(F.col("doc_id"))
+
     in_group = rows.join(best, "group")
-    lost = save(in_group.where(~same).select(F.col("doc_id").alias("_d"), F.col("_rk").alias("_k")).distinct(), "lost")
-    twice = in_group.where(same).groupBy("doc_id", "_rk").count().where("count > 1")
-    hashed = docs.withColumn("_rk", F.xxhash64("text"))
-    kept = hashed.join(lost, same, "left_anti")
+    lost = save(in_group.where(~same("_rk")).select(F.col("doc_id").alias("_jk_id"), F.col("_rk").alias("_jk_hash")).distinct(), "lost")
+    twice = in_group.where(same("_rk")).groupBy("doc_id", "_rk").count().where("count > 1")
+    hashed = docs.withColumn("_jk_text", F.xxhash64("text"))
+    kept = hashed.join(lost, same("_jk_text"), "left_anti")
     if not twice.isEmpty():
-        again = save(twice.select(F.col("doc_id").alias("_d"), F.col("_rk").alias("_k")), "twice")
-        kept = kept.join(again, same, "left_anti").union(
-            hashed.join(again, same, "left_semi").dropDuplicates(["doc_id", "_rk"])
+        again = save(twice.select(F.col("doc_id").alias("_jk_id"), F.col("_rk").alias("_jk_hash")), "twice")
+        kept = kept.join(again, same("_jk_text"), "left_anti").union(
+            hashed.join(again, same("_jk_text"), "left_semi").dropDuplicates(["doc_id", "_jk_text"])
         )
-    return kept.drop("_rk")
+    return kept.drop("_jk_text")

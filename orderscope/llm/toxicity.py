@@ -376,8 +376,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     scored = F.pandas_udf(run, "toxicity double, clauses array<struct<kind: string, weight: double, text: string>>", F.PandasUDFType.SCALAR_ITER)
     return (
-        keep.withColumn("_t", scored(F.col("text")))
-        .select(*keep.columns, "_t.toxicity", F.size("_t.clauses").alias("matches"), "_t.clauses")
+        keep.withColumn("_tox_found", scored(F.col("text")))
+        .select(*keep.columns, "_tox_found.toxicity", F.size("_tox_found.clauses").alias("matches"), "_tox_found.clauses")
     )
 
 
