@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderscope.schemas import TABLES, TableSpec
+from orderscope.sources.csv import is_unparsed, number_pattern
 
 
 AUDIT_SCHEMA = T.StructType([
@@ -150,34 +151,83 @@ def dq_not_null(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+# Keys that a join of the model relies on: a value held twice would multiply money.
+JOIN_KEYS: tuple[tuple[str, str], ...] = (
+    ("customers", "customer_id"),
+    ("orders", "order_id"),
+    ("orders", "customer_id"),
+    ("products", "product_id"),
+    ("sellers", "seller_id"),
+    ("category_translation", "product_category_name"),
+)
+
+
+def dq_join_keys(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, key_columns, duplicate_keys) for every key a join needs to be unique;
+    expected 0. A NULL key joins with nothing and is not counted (``dq_not_null`` does)."""
+    frames = []
+    for name, key in JOIN_KEYS:
+        if name in tables:
+            counts = tables[name].where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+            frames.append(
+                counts.agg(F.count_if(F.col("n") > F.lit(1)).alias("duplicate_keys")).select(
+                    F.lit(name).alias("table_name"), F.lit(key).alias("key_columns"), "duplicate_keys"
+                )
+            )
+    return _union(frames)
+
+
+def dq_unparsed(fields: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, column_name, unparsed_rows) of tables read as text
+    (``sources.csv.read_raw_fields``): number fields whose text cannot be read; expected 0."""
+    frames = []
+    for name, df in fields.items():
+        numbers = [f for f in TABLES[name].schema.fields if f.name in df.columns and number_pattern(f.dataType)]
+        if numbers:
+            wide = df.agg(*[F.count_if(is_unparsed(F.col(f.name), f.dataType)).alias(f.name) for f in numbers])
+            frames.append(
+                wide.unpivot([], [f.name for f in numbers], "column_name", "unparsed_rows").select(
+                    F.lit(name).alias("table_name"), "column_name", "unparsed_rows"
+                )
+            )
+    return _union(frames)
+
+
+def _duplicate_rows(df: DataFrame) -> DataFrame:
+    """One value: the rows identical to an earlier one, NULLs equal.
+
+    Only a 64-bit digest of each row is grouped; whole rows are compared where a digest
+    occurs more than once, so a clash of digests never counts.
+    """
+    marked = df.withColumn("__digest__", F.xxhash64(*df.columns))
+    repeated = marked.groupBy("__digest__").agg(F.count(F.lit(1)).alias("__n__")).where("__n__ > 1")
+    groups = marked.join(repeated.select("__digest__"), "__digest__", "left_semi").groupBy(*df.columns)
+    return groups.agg(F.count(F.lit(1)).alias("__n__")).agg(
+        F.coalesce(F.sum(F.col("__n__") - F.lit(1)), F.lit(0)).cast("bigint").alias("value")
+    )
+
+
 def dq_file_audit(tables: dict[str, DataFrame]) -> DataFrame:
     """Per table, in long form (table_name, metric, column_name, value):
 
     ``rows``; ``columns`` (value = number of columns); ``column`` (one per column,
     value = 1-based position); ``duplicate_rows`` (rows identical to an earlier row,
-    NULLs equal); ``nulls`` per column, only where some value is missing.
+    NULLs equal); ``nulls`` per column, only where some value is missing. No tables give
+    an empty result.
     """
     frames = []
     layout_rows: list[tuple[str, str, str | None, int]] = []
     present = _any_tables(tables)
+    if not present:
+        spark = SparkSession.getActiveSession()
+        if spark is None:
+            raise ValueError("no table to audit and no active session")
+        return spark.createDataFrame([], AUDIT_SCHEMA)
     for name, df, _ in present:
         cols = df.columns
         layout_rows.append((name, "columns", None, len(cols)))
         layout_rows.extend((name, "column", c, i) for i, c in enumerate(cols, start=1))
-        # One pass: count identical rows (grouping on every column, combined map-side),
-        # then one global aggregate gives the row count, the duplicates, and each column's
-        # NULL count (a group's key is NULL for all rows of the group, so weight by size).
-        n = F.col("__n__")
-        stats = (
-            df.groupBy(*cols)
-            .agg(F.count(F.lit(1)).alias("__n__"))
-            .agg(
-                F.sum(n).alias("__rows__"),
-                F.sum(n - F.lit(1)).alias("__dups__"),
-                *[F.sum(F.when(F.col(c).isNull(), n).otherwise(F.lit(0))).alias(c) for c in cols],
-            )
-        )
-        # the one stats row becomes the long-form rows (a single branch: nothing re-read)
+
         def entry(metric: str, column: str | None, value: str):
             return F.struct(
                 F.lit(metric).alias("metric"),
@@ -185,21 +235,22 @@ def dq_file_audit(tables: dict[str, DataFrame]) -> DataFrame:
                 F.col(value).alias("value"),
             )
 
-        entries = [entry("rows", None, "__rows__"), entry("duplicate_rows", None, "__dups__")]
-        entries += [entry("nulls", c, c) for c in cols]
+        stats = df.agg(F.count(F.lit(1)).alias("__rows__"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
+        entries = [entry("rows", None, "__rows__")] + [entry("nulls", c, c) for c in cols]
         frames.append(
             stats.select(F.inline(F.array(*entries)))
             .where((F.col("metric") != F.lit("nulls")) | (F.col("value") > F.lit(0)))
-            .select(
+            .select(F.lit(name).alias("table_name"), "metric", "column_name", "value")
+        )
+        frames.append(
+            _duplicate_rows(df).select(
                 F.lit(name).alias("table_name"),
-                "metric",
-                "column_name",
-                F.coalesce(F.col("value"), F.lit(0)).cast("bigint").alias("value"),
+                F.lit("duplicate_rows").alias("metric"),
+                F.lit(None).cast("string").alias("column_name"),
+                "value",
             )
         )
-    if present:
-        spark = present[0][1].sparkSession
-        frames.append(spark.createDataFrame(layout_rows, AUDIT_SCHEMA))
+    frames.append(present[0][1].sparkSession.createDataFrame(layout_rows, AUDIT_SCHEMA))
     return _union(frames)
 
 
@@ -207,8 +258,9 @@ class IntegrityError(ValueError):
     """Raised by ``check_integrity`` when an expected-zero check is not zero."""
 
 
-def integrity_violations(tables: dict[str, DataFrame]) -> DataFrame:
-    """Every expected-zero check as (check, detail, violations), only the failing ones.
+def integrity_violations(tables: dict[str, DataFrame], fields: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Every expected-zero check as (check, detail, violations), only the failing ones;
+    with ``fields``, the raw tables as text, also the numbers that cannot be read.
 
     Duplicate keys (the uniqueness the model's one-to-one / many-to-one joins rely on),
     NULLs in key / NOT NULL columns, orphan items and orders, invalid review scores.
@@ -225,6 +277,14 @@ def integrity_violations(tables: dict[str, DataFrame]) -> DataFrame:
             F.col("null_rows").alias("violations"),
         ),
     ]
+    if fields:
+        frames.append(
+            dq_unparsed(fields).select(
+                F.lit("unparsed").alias("check"),
+                F.concat_ws(".", "table_name", "column_name").alias("detail"),
+                F.col("unparsed_rows").alias("violations"),
+            )
+        )
     if "order_items" in tables and "orders" in tables:
         frames.append(
             dq_orphan_items(tables["order_items"], tables["orders"]).select(
@@ -252,13 +312,29 @@ def integrity_violations(tables: dict[str, DataFrame]) -> DataFrame:
     return _union(frames).where(F.col("violations") > F.lit(0))
 
 
-def check_integrity(tables: dict[str, DataFrame]) -> None:
+def _raise_failing(failing: list) -> None:
+    if failing:
+        lines = ", ".join(f"{r['check']} {r['detail']}={r['violations']}" for r in failing)
+        raise IntegrityError(f"integrity checks failed: {lines}")
+
+
+def check_integrity(tables: dict[str, DataFrame], fields: dict[str, DataFrame] | None = None) -> None:
     """Raise ``IntegrityError`` listing every failing expected-zero check.
 
     The result has at most one row per check (a few dozen), so reading it on the
     driver is bounded regardless of the data size.
     """
-    failing = integrity_violations(tables).collect()
-    if failing:
-        lines = ", ".join(f"{r['check']} {r['detail']}={r['violations']}" for r in failing)
-        raise IntegrityError(f"integrity checks failed: {lines}")
+    _raise_failing(integrity_violations(tables, fields).collect())
+
+
+def check_join_keys(tables: dict[str, DataFrame]) -> None:
+    """Raise ``IntegrityError`` where a key that a join relies on is held by several rows
+    (one row for each key reaches the driver)."""
+    failing = dq_join_keys(tables).where(F.col("duplicate_keys") > F.lit(0))
+    _raise_failing(
+        failing.select(
+            F.lit("join_keys").alias("check"),
+            F.concat_ws(".", "table_name", "key_columns").alias("detail"),
+            F.col("duplicate_keys").alias("violations"),
+        ).collect()
+    )

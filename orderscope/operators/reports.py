@@ -46,6 +46,11 @@ def _group_total(col: str) -> Column:
     return F.sum(col).over(Window.partitionBy())
 
 
+def _rank(*order: Column) -> Column:
+    """Position in ``order`` from 1, over an already grouped report of a small domain."""
+    return F.row_number().over(Window.orderBy(*order))
+
+
 # ---------------------------------------------------------------------------- KPIs
 
 
@@ -77,7 +82,7 @@ def repeat_customers(customer_orders: DataFrame) -> DataFrame:
     )
 
 
-def kpi_extended(fact: DataFrame) -> DataFrame:
+def kpi_extended(fact: DataFrame, orders: DataFrame) -> DataFrame:
     """One row, seventeen metrics: the headline KPIs as exact fractions plus order
     coverage, repeat purchase and the purchase-date range.
 
@@ -86,6 +91,8 @@ def kpi_extended(fact: DataFrame) -> DataFrame:
     are exact integers or decimals, so re-aggregating them gives the same numbers as a
     direct average, and the per-customer order count yields the repeat metrics without
     a second job. A customer holding a third of all orders is combined map-side.
+    ``orders_all_statuses`` counts the orders table: the fact has lost orders without a
+    customer.
     """
     ok = model.is_delivered()
 
@@ -93,7 +100,6 @@ def kpi_extended(fact: DataFrame) -> DataFrame:
         return F.when(ok, F.col(col))
 
     per_customer = fact.groupBy("customer_unique_id").agg(
-        _count().alias("n_all"),
         F.count_if(ok).alias("n"),
         F.sum(d("item_count")).alias("items"),
         M.money_sum(d("merchandise_gmv")).alias("gmv"),
@@ -109,7 +115,7 @@ def kpi_extended(fact: DataFrame) -> DataFrame:
     )
     n = F.sum("n")
     return per_customer.agg(
-        F.sum("n_all").alias("orders_all_statuses"),
+        orders.agg(_count()).scalar().alias("orders_all_statuses"),
         n.alias("delivered_orders"),
         F.sum("items").alias("delivered_items"),
         M.money_sum("gmv").alias("merchandise_gmv_brl"),
@@ -190,11 +196,14 @@ def state_performance(delivered: DataFrame) -> DataFrame:
 def state_report(
     states: DataFrame, min_orders: int = MIN_STATE_ORDERS, limit: int | None = None
 ) -> DataFrame:
-    """States with at least ``min_orders`` delivered orders, highest freight burden first."""
+    """States with at least ``min_orders`` delivered orders, highest freight burden first
+    (``rank`` from 1)."""
     out = (
         states.where(F.col("orders") >= F.lit(min_orders))
-        .orderBy(F.desc("freight_burden"), "customer_state")
+        .withColumn("rank", _rank(F.desc("freight_burden"), F.asc("customer_state")))
+        .orderBy("rank")
         .select(
+            "rank",
             "customer_state",
             "orders",
             "merchandise_gmv_brl",
@@ -203,7 +212,7 @@ def state_report(
             M.round_half_up("average_review").alias("average_review"),
         )
     )
-    return out.limit(limit) if limit else out
+    return out.limit(limit) if limit is not None else out
 
 
 # -------------------------------------------------------------------- categories
@@ -230,11 +239,13 @@ def category_performance(order_category: DataFrame) -> DataFrame:
 def category_report(
     categories: DataFrame, min_orders: int = MIN_CATEGORY_ORDERS
 ) -> DataFrame:
-    """Categories with at least ``min_orders`` orders, by GMV (SQL-style projection)."""
+    """Categories with at least ``min_orders`` orders, by GMV (``rank`` from 1)."""
     return (
         categories.where(F.col("orders") >= F.lit(min_orders))
-        .orderBy(F.desc("merchandise_gmv_brl"), "category")
+        .withColumn("rank", _rank(F.desc("merchandise_gmv_brl"), F.asc("category")))
+        .orderBy("rank")
         .select(
+            "rank",
             "category",
             "orders",
             "merchandise_gmv_brl",
@@ -267,7 +278,7 @@ def priority_categories(
         .orderBy(F.desc("merchandise_gmv_brl"), "category")
         .select("category", "orders", "merchandise_gmv_brl", "average_review", "late_delivery_rate")
     )
-    return out.limit(limit) if limit else out
+    return out.limit(limit) if limit is not None else out
 
 
 # ------------------------------------------------------------------------ months
@@ -410,6 +421,29 @@ def seller_performance(
     )
 
 
+def seller_report(sellers_perf: DataFrame) -> DataFrame:
+    """All sellers, flagged ones first, then by low-review orders and orders, with ``rank``.
+
+    Sellers are unbounded, so their rank is not one sort in one task: the few different
+    (flag, low-review orders, orders) values are counted and accumulated, and sellers are
+    numbered inside their own value.
+    """
+    value = ["priority_flag", "low_review_orders", "orders"]
+    order = [F.desc(c) for c in value]
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    counts = sellers_perf.groupBy(*value).agg(_count().alias("_n"))
+    offsets = counts.select(*value, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*value).orderBy("seller_id"))
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"o.{c}")) for c in value]
+    return (
+        sellers_perf.withColumn("_inside", inside)
+        .alias("s")
+        .join(offsets.alias("o"), same)
+        .select((F.col("_before") + F.col("_inside")).cast("bigint").alias("rank"), *[f"s.{c}" for c in SELLER_COLUMNS])
+        .orderBy("rank")
+    )
+
+
 def priority_sellers(sellers_perf: DataFrame, limit: int | None = None) -> DataFrame:
     """Flagged sellers, most low-review orders first."""
     out = (
@@ -426,7 +460,7 @@ def priority_sellers(sellers_perf: DataFrame, limit: int | None = None) -> DataF
             "low_review_orders",
         )
     )
-    return out.limit(limit) if limit else out
+    return out.limit(limit) if limit is not None else out
 
 
 def seller_risk_summary(sellers_perf: DataFrame, min_orders: int = MIN_SELLER_ORDERS) -> DataFrame:
@@ -517,6 +551,78 @@ KPI_DOCUMENT_FIELDS = [
 ]
 
 
+def summary_rows(
+    kpis: DataFrame,
+    findings: DataFrame,
+    categories: DataFrame,
+    states: DataFrame,
+    sellers_perf: DataFrame,
+    delivered: DataFrame,
+    min_state_orders: int = MIN_STATE_ORDERS,
+    min_category_orders: int = MIN_CATEGORY_ORDERS,
+    min_seller_orders: int = MIN_SELLER_ORDERS,
+    top: tuple[int, int, int] = (FINDINGS_TOP_CATEGORIES, FINDINGS_TOP_STATES, FINDINGS_TOP_SELLERS),
+) -> DataFrame:
+    """The content of ``summary_document`` in flat form: (section, rank, key, metric, value).
+
+    Lists have their order in ``rank`` (from 1); single values have rank 0 and no key. Dates
+    are seconds since 1970. ``top`` are the lengths of the three lists.
+    """
+
+    def flat(df: DataFrame, section: str, key: Column, metrics: list[str]) -> DataFrame:
+        values = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+        rank = F.col("rank") if "rank" in df.columns else F.lit(0)
+        return df.select(
+            F.lit(section).alias("section"), rank.cast("int").alias("rank"), key.cast("string").alias("key"), F.inline(values)
+        )
+
+    def first(df: DataFrame, n: int, *order: Column) -> DataFrame:
+        return df.orderBy(*order).limit(n).withColumn("rank", _rank(*order))
+
+    def seconds(c: str) -> Column:
+        return F.unix_timestamp(F.to_timestamp(c, "yyyy-MM-dd'T'HH:mm:ss"))
+
+    none = F.lit("")
+    dated = kpis.withColumns({c: seconds(c) for c in ("purchase_date_min", "purchase_date_max")})
+    risk = seller_risk_summary(sellers_perf, min_seller_orders)
+    urgent = first(
+        priority_categories(categories, delivered, min_category_orders), top[0], F.desc("merchandise_gmv_brl"), F.asc("category")
+    )
+    costly = first(
+        states.where(F.col("orders") >= F.lit(min_state_orders)), top[1], F.desc("freight_burden"), F.asc("customer_state")
+    )
+    flagged = first(
+        priority_sellers(sellers_perf), top[2], F.desc("low_review_orders"), F.desc("orders"), F.asc("seller_id")
+    )
+    frames = [
+        flat(dated, "kpis", none, KPI_DOCUMENT_FIELDS),
+        flat(findings, "findings", none, findings.columns),
+        flat(risk, "seller_risk", none, risk.columns),
+        flat(
+            urgent,
+            "priority_categories",
+            F.col("category"),
+            ["orders", "merchandise_gmv_brl", "average_review", "late_delivery_rate"],
+        ),
+        flat(
+            costly,
+            "high_freight_states",
+            F.col("customer_state"),
+            ["orders", "freight_burden", "late_delivery_rate", "average_review"],
+        ),
+        flat(
+            flagged,
+            "priority_sellers",
+            F.col("seller_id"),
+            ["orders", "merchandise_gmv_brl", "average_review", "late_delivery_rate", "low_review_rate", "low_review_orders"],
+        ),
+    ]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def summary_document(
     kpis: DataFrame,
     findings: DataFrame,

@@ -1,6 +1,7 @@
 """CommerceModel: the nine tables wired into the order model and every report.
 
-Everything is lazy until a report is written. ``materialize()`` writes the order
+Everything is lazy until a report is written. A field of text counts (``dq_unparsed``) takes the
+raw files and is not part of the model. ``materialize()`` writes the order
 fact and the (order, category) / (order, seller) attribution tables once as Parquet into
 the shared checkpoint folder (``spark.checkpoint.dir``) and re-reads them: every later
 report starts from those files instead of re-running the star join or the item-level
@@ -145,7 +146,7 @@ class CommerceModel:
         return reports.kpi_summary(self.delivered)
 
     def kpi_extended(self) -> DataFrame:
-        return reports.kpi_extended(self.order_fact())
+        return reports.kpi_extended(self.order_fact(), self.t("orders"))
 
     def delay_impact(self) -> DataFrame:
         return reports.delay_impact(self.delivered, self.params.delay_edges)
@@ -195,35 +196,30 @@ class CommerceModel:
             self.delay_impact(), self.category_performance(), self.params.delay_edges
         )
 
-    def summary_document(self, store_inputs: bool = True) -> DataFrame:
-        """The nested {kpis, findings} document.
-
-        The category and seller reports each feed two parts of the document (findings
-        and priority list; priority list and risk summary). With ``store_inputs`` they are
-        computed once and written to the shared checkpoint folder, so no scalar subquery
-        re-runs their item-level pipelines; the other inputs are used once and stay lazy.
-        """
-        keep = self.write_once if store_inputs else (lambda df, name: df)
-        categories = keep(self.category_performance(), "category_performance")
-        sellers = keep(self.seller_performance(), "seller_performance")
-        findings = reports.findings_summary(self.delay_impact(), categories, self.params.delay_edges)
-        return reports.summary_document(
+    def _summary_inputs(self) -> tuple[DataFrame, ...]:
+        categories = self.category_performance()
+        return (
             self.kpi_extended(),
-            findings,
+            reports.findings_summary(self.delay_impact(), categories, self.params.delay_edges),
             categories,
             self.state_performance(),
-            sellers,
+            self.seller_performance(),
             self.delivered,
             self.params.min_state_orders,
             self.params.min_category_orders,
             self.params.min_seller_orders,
         )
 
-    def write_once(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` once to the shared checkpoint folder and read it back (cuts lineage)."""
-        path = scratch_path(self.spark, name)
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+    def summary_document(self) -> DataFrame:
+        """The nested {kpis, findings} document; nothing runs until it is used."""
+        return reports.summary_document(*self._summary_inputs())
+
+    def summary_rows(self) -> DataFrame:
+        """The same content as (section, rank, key, metric, value) rows."""
+        return reports.summary_rows(*self._summary_inputs())
+
+    def seller_report(self) -> DataFrame:
+        return reports.seller_report(self.seller_performance())
 
     # ------------------------------------------------------------ data quality
     def dq_row_counts(self) -> DataFrame:
@@ -241,6 +237,9 @@ class CommerceModel:
     def dq_duplicate_keys(self) -> DataFrame:
         return quality.dq_duplicate_keys(self.tables)
 
+    def dq_join_keys(self) -> DataFrame:
+        return quality.dq_join_keys(self.tables)
+
     def dq_not_null(self) -> DataFrame:
         return quality.dq_not_null(self.tables)
 
@@ -257,7 +256,9 @@ class CommerceModel:
         self, path: str | None = None, names: tuple[str, ...] = MATERIALIZED
     ) -> CommerceModel:
         """Write the model's intermediate tables once and return a model whose reports
-        read them back.
+        read them back. Tables already stored are kept. Before anything is written, a key
+        that a join relies on and that several rows hold raises ``IntegrityError``: it
+        would multiply money.
 
         ``order_seller_money`` is the single aggregation of the item table; the order fact
         (all statuses) takes its item totals from it and feeds every report -- the
@@ -269,9 +270,11 @@ class CommerceModel:
         row-group statistics let the month-window report skip row groups. The folder is on
         shared storage and survives the loss of any executor.
         """
+        if not self.stored:
+            quality.check_join_keys(self.tables)
         base = path or scratch_path(self.spark, "model")
         current = self
-        wanted = set(names)
+        wanted = set(names) - set(self.stored)
         for step in MATERIALIZE_STEPS:
             group = [n for n in step if n in wanted]
             frames = {}
@@ -293,6 +296,26 @@ class CommerceModel:
         return current
 
 
+# The stored tables that make a report cheap, by name; all other operators read the raw tables.
+STORED_FOR: dict[str, tuple[str, ...]] = {
+    **dict.fromkeys(
+        (
+            "order_fact", "delivered_fact", "customer_orders", "kpi_summary", "kpi_extended", "delay_impact",
+            "state_performance", "state_report", "repeat_customers", "monthly_performance", "monthly_report", "payment_mix",
+        ),
+        ("order_seller_money", "order_fact"),
+    ),
+    **dict.fromkeys(
+        ("order_category", "category_performance", "category_report", "priority_categories", "findings_summary"),
+        ("order_seller_money", "order_fact", "order_category"),
+    ),
+    **dict.fromkeys(
+        ("order_seller", "seller_performance", "seller_report", "priority_sellers", "seller_risk_summary"),
+        ("order_seller_money", "order_fact", "order_seller"),
+    ),
+    **dict.fromkeys(("summary_document", "summary_rows"), MATERIALIZED),
+}
+
 OPERATOR_NAMES: tuple[str, ...] = (
     # data quality
     "dq_row_counts",
@@ -300,6 +323,7 @@ OPERATOR_NAMES: tuple[str, ...] = (
     "dq_orphan_orders",
     "dq_invalid_scores",
     "dq_duplicate_keys",
+    "dq_join_keys",
     "dq_not_null",
     "dq_file_audit",
     # model
@@ -326,8 +350,10 @@ OPERATOR_NAMES: tuple[str, ...] = (
     "monthly_report",
     "payment_mix",
     "seller_performance",
+    "seller_report",
     "priority_sellers",
     "seller_risk_summary",
     "findings_summary",
+    "summary_rows",
     "summary_document",
 )

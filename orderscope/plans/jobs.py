@@ -6,10 +6,10 @@ import os
 
 from pyspark.sql import SparkSession
 
-from orderscope.operators.quality import check_integrity, dq_file_audit
+from orderscope.operators.quality import check_integrity, dq_file_audit, dq_unparsed
 from orderscope.plans.commerce import CommerceModel, ModelParams
 from orderscope.session import write_concurrently
-from orderscope.sources.csv import ingest_csv_dir, list_csv_files, read_csv_as_text
+from orderscope.sources.csv import ingest_csv_dir, list_csv_files, read_csv_as_text, read_raw_fields
 from orderscope.sources.sinks import write_csv, write_outputs
 from orderscope.sources.tables import load_tables
 
@@ -19,6 +19,7 @@ DQ_REPORTS = (
     "dq_orphan_orders",
     "dq_invalid_scores",
     "dq_duplicate_keys",
+    "dq_join_keys",
     "dq_not_null",
 )
 
@@ -44,14 +45,20 @@ def run_build(
     """Land the raw CSV files (when ``raw_dir`` is given; ``<table>.csv`` or the names in
     ``file_names``), check them, build the model once and write every report, the summary
     document and the payload tables. With ``strict`` the build stops before any report
-    when a key is duplicated or missing, or an item or order is orphaned."""
+    when a key is duplicated or missing, an item or order is orphaned, or a number in a raw
+    file cannot be read; such numbers are counted in ``quality/dq_unparsed`` in any case."""
+    written: dict[str, str] = {}
+    fields = None
     if raw_dir:
+        fields = read_raw_fields(spark, raw_dir, file_names=file_names)
+        path = os.path.join(out_dir, "quality", "dq_unparsed")
+        write_csv(dq_unparsed(fields), path, single_file=True)
+        written["quality/dq_unparsed"] = path
         ingest_csv_dir(spark, raw_dir, landed_dir, file_names=file_names)
     tables = load_tables(spark, landed_dir)
     if strict:
-        check_integrity(tables)
+        check_integrity(tables, fields)
     model = CommerceModel(tables, params or ModelParams()).materialize()
-    written: dict[str, str] = {}
     jobs = []
     for name in DQ_REPORTS:
         path = os.path.join(out_dir, "quality", name)

@@ -1,235 +1,48 @@
-"""The SQL face of the model: temp views plus the SQL-dialect reports as Spark SQL.
+"""The SQL face of the model: its tables, views and reports as temp views for ``spark.sql``.
 
-``register_views`` publishes the raw tables under their own names and the five model
-views; ``sql_report`` runs one report through ``spark.sql``. Catalyst plans the text
-exactly like the DataFrame operators (same pushdown, same joins), and the tests check
-that both faces return the same rows. Percentages are rounded half-up as in
-``functions.metrics``.
+A view is the lazy DataFrame of the operator, so a query over it is planned with the
+operator's own plan: filters and column pruning reach the files as usual.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-
-from orderscope.functions.buckets import DEFAULT_EDGES, bucket_labels
-
-VIEW_NAMES = (
-    "v_latest_review",
-    "v_item_order",
-    "v_payment_order",
-    "v_order_fact",
-    "v_delivered_order_fact",
-)
+MODEL_VIEWS = {
+    "v_latest_review": "latest_review",
+    "v_item_order": "item_order",
+    "v_payment_order": "payment_order",
+    "v_order_fact": "order_fact",
+    "v_delivered_order_fact": "delivered_fact",
+}
+REPORT_VIEWS = {
+    f"r_{name}": name
+    for name in (
+        "kpi_summary",
+        "kpi_extended",
+        "delay_impact",
+        "state_performance",
+        "state_report",
+        "category_performance",
+        "category_report",
+        "priority_categories",
+        "repeat_customers",
+        "monthly_performance",
+        "monthly_report",
+        "payment_mix",
+        "seller_performance",
+        "seller_report",
+        "priority_sellers",
+        "seller_risk_summary",
+        "findings_summary",
+        "summary_rows",
+    )
+}
 
 
 def register_views(model) -> list[str]:
-    """Register the model's tables and views as session temp views; returns their names."""
-    names = []
-    for name, df in model.tables.items():
+    """Register the raw tables under their own names, the model views (``v_``) and the
+    reports (``r_``) as session temp views; returns their names."""
+    frames = dict(model.tables)
+    frames |= {view: getattr(model, name)() for view, name in (MODEL_VIEWS | REPORT_VIEWS).items()}
+    for name, df in frames.items():
         df.createOrReplaceTempView(name)
-        names.append(name)
-    views = {
-        "v_latest_review": model.latest_review(),
-        "v_item_order": model.item_order(),
-        "v_payment_order": model.payment_order(),
-        "v_order_fact": model.order_fact(),
-        "v_delivered_order_fact": model.delivered_fact(),
-    }
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-        names.append(name)
-    return names
-
-
-def _r2(x: str) -> str:
-    return f"CAST(round(CAST(({x}) AS DECIMAL(38,10)), 2) AS DOUBLE)"
-
-
-def _pct(x: str) -> str:
-    return _r2(f"({x}) * 100.0D")
-
-
-def _div(a: str, b: str) -> str:
-    return f"try_divide(CAST(({a}) AS DOUBLE), CAST(({b}) AS DOUBLE))"
-
-
-def _money(x: str) -> str:
-    return f"CAST(sum({x}) AS DECIMAL(38,2))"
-
-
-def _bucket_case(edges: tuple[int, ...]) -> str:
-    whens = " ".join(f"WHEN delay_days <= {e} THEN {i}" for i, e in enumerate(edges, start=1))
-    return f"CASE WHEN delay_days IS NULL THEN {len(edges) + 2} {whens} ELSE {len(edges) + 1} END"
-
-
-def report_sql(
-    name: str,
-    min_state_orders: int = 500,
-    min_category_orders: int = 500,
-    min_seller_orders: int = 100,
-    month_from: str = "2017-01",
-    month_to: str = "2018-08",
-    edges: tuple[int, ...] = DEFAULT_EDGES,
-) -> str:
-    """Spark SQL text of one report over the registered views."""
-    labels = bucket_labels(edges)
-    label_rows = ", ".join(f"({i}, '{lab}')" for i, lab in enumerate(labels, start=1))
-    y, m = (int(v) for v in month_to.split("-"))
-    y, m = (y + 1, 1) if m == 12 else (y, m + 1)
-    month_end = f"{y:04d}-{m:02d}-01 00:00:00"
-    texts = {
-        "kpi_summary": f"""
-            SELECT count(*) AS delivered_orders,
-                   sum(item_count) AS delivered_items,
-                   {_money('merchandise_gmv')} AS merchandise_gmv_brl,
-                   {_money('freight_value')} AS freight_value_brl,
-                   {_r2(_div('sum(merchandise_gmv)', 'count(merchandise_gmv)'))} AS average_order_gmv_brl,
-                   {_r2(_div('sum(delivered_seconds)', 'count(delivered_seconds)') + ' / 86400.0D')}
-                       AS average_delivery_days,
-                   {_pct('avg(is_late)')} AS late_delivery_rate_pct,
-                   {_r2('avg(review_score)')} AS average_review_score,
-                   {_pct('avg(low_review)')} AS low_review_rate_pct
-            FROM v_delivered_order_fact""",
-        "delay_impact": f"""
-            WITH grouped AS (
-              SELECT {_bucket_case(edges)} AS bucket_order,
-                     count(*) AS orders,
-                     avg(review_score) AS average_review,
-                     avg(low_review) AS low_review_rate,
-                     {_div('sum(delivered_seconds)', 'count(delivered_seconds)')} / 86400.0D
-                         AS average_delivery_days
-              FROM v_delivered_order_fact
-              GROUP BY 1
-            ),
-            buckets AS (SELECT * FROM VALUES {label_rows} AS b(bucket_order, delay_bucket))
-            SELECT coalesce(b.delay_bucket, 'unknown') AS delay_bucket,
-                   coalesce(b.bucket_order, g.bucket_order) AS bucket_order,
-                   coalesce(g.orders, 0L) AS orders,
-                   g.average_review, g.low_review_rate, g.average_delivery_days
-            FROM buckets b FULL OUTER JOIN grouped g ON g.bucket_order = b.bucket_order
-            ORDER BY bucket_order""",
-        "state_report": f"""
-            SELECT customer_state,
-                   count(*) AS orders,
-                   {_money('merchandise_gmv')} AS merchandise_gmv_brl,
-                   {_pct(_div('sum(freight_value)', 'sum(merchandise_gmv) + sum(freight_value)'))}
-                       AS freight_burden_pct,
-                   {_pct('avg(is_late)')} AS late_delivery_rate_pct,
-                   {_r2('avg(review_score)')} AS average_review
-            FROM v_delivered_order_fact
-            GROUP BY customer_state
-            HAVING count(*) >= {min_state_orders}
-            ORDER BY freight_burden_pct DESC, customer_state""",
-        "category_report": f"""
-            WITH category_dim AS (
-              SELECT p.product_id,
-                     coalesce(t.product_category_name_english, 'unknown') AS category
-              FROM products p
-              LEFT JOIN category_translation t ON t.product_category_name = p.product_category_name
-            ),
-            per_order AS (
-              SELECT i.order_id,
-                     coalesce(d.category, 'unknown') AS category,
-                     sum(i.price) AS gmv,
-                     sum(i.freight_value) AS freight
-              FROM order_items i LEFT JOIN category_dim d ON d.product_id = i.product_id
-              GROUP BY 1, 2
-            )
-            SELECT o.category,
-                   count(*) AS orders,
-                   {_money('o.gmv')} AS merchandise_gmv_brl,
-                   {_r2('avg(f.review_score)')} AS average_review,
-                   {_pct('avg(f.is_late)')} AS late_delivery_rate_pct,
-                   {_pct('avg(f.low_review)')} AS low_review_rate_pct,
-                   {_pct(_div('sum(o.freight)', 'sum(o.gmv) + sum(o.freight)'))} AS freight_burden_pct
-            FROM per_order o JOIN v_delivered_order_fact f ON f.order_id = o.order_id
-            GROUP BY o.category
-            HAVING count(*) >= {min_category_orders}
-            ORDER BY merchandise_gmv_brl DESC, category""",
-        "repeat_customers": f"""
-            WITH per_customer AS (
-              SELECT customer_unique_id, count(*) AS orders
-              FROM v_delivered_order_fact GROUP BY customer_unique_id
-            )
-            SELECT count(*) AS unique_customers,
-                   count_if(orders > 1) AS repeat_customers,
-                   avg(CASE WHEN orders > 1 THEN 1 ELSE 0 END) AS repeat_customer_rate,
-                   {_div('sum(CASE WHEN orders > 1 THEN orders ELSE 0 END)', 'sum(orders)')}
-                       AS orders_from_repeat_customers_rate
-            FROM per_customer""",
-        "monthly_report": f"""
-            SELECT purchase_month,
-                   count(*) AS orders,
-                   {_money('merchandise_gmv')} AS merchandise_gmv_brl,
-                   {_r2(_div('sum(merchandise_gmv)', 'count(merchandise_gmv)'))} AS average_order_gmv_brl,
-                   {_pct('avg(is_late)')} AS late_delivery_rate_pct,
-                   {_r2('avg(review_score)')} AS average_review
-            FROM v_delivered_order_fact
-            WHERE order_purchase_timestamp >= TIMESTAMP_NTZ '{month_from}-01 00:00:00'
-              AND order_purchase_timestamp < TIMESTAMP_NTZ '{month_end}'
-              AND purchase_month BETWEEN '{month_from}' AND '{month_to}'
-            GROUP BY purchase_month
-            ORDER BY purchase_month""",
-        "payment_mix": f"""
-            SELECT payment_type, payment_records, payment_value_brl,
-                   {_div('payment_value_brl', 'sum(payment_value_brl) OVER ()')} AS value_share
-            FROM (
-              SELECT p.payment_type,
-                     count(*) AS payment_records,
-                     {_money('p.payment_value')} AS payment_value_brl
-              FROM order_payments p LEFT SEMI JOIN v_delivered_order_fact f ON f.order_id = p.order_id
-              GROUP BY p.payment_type
-            ) t
-            ORDER BY payment_value_brl DESC, payment_type""",
-        "priority_sellers": f"""
-            WITH pairs AS (
-              SELECT order_id, seller_id, sum(price) AS gmv
-              FROM order_items GROUP BY order_id, seller_id
-            ),
-            per_seller AS (
-              SELECT p.seller_id,
-                     count(*) AS orders,
-                     {_money('p.gmv')} AS merchandise_gmv_brl,
-                     avg(f.review_score) AS average_review,
-                     avg(f.is_late) AS late_delivery_rate,
-                     avg(f.low_review) AS low_review_rate,
-                     sum(f.low_review) AS low_review_orders
-              FROM pairs p JOIN v_delivered_order_fact f ON f.order_id = p.order_id
-              GROUP BY p.seller_id
-            )
-            SELECT s.seller_id, d.seller_state, s.orders, s.merchandise_gmv_brl, s.average_review,
-                   s.late_delivery_rate, s.low_review_rate, s.low_review_orders
-            FROM per_seller s LEFT JOIN sellers d ON d.seller_id = s.seller_id
-            WHERE s.orders >= {min_seller_orders}
-              AND s.late_delivery_rate > (SELECT avg(is_late) FROM v_delivered_order_fact)
-              AND s.low_review_rate > (SELECT avg(low_review) FROM v_delivered_order_fact)
-            ORDER BY s.low_review_orders DESC, s.orders DESC, s.seller_id""",
-    }
-    return texts[name]
-
-
-SQL_REPORT_NAMES = (
-    "kpi_summary",
-    "delay_impact",
-    "state_report",
-    "category_report",
-    "repeat_customers",
-    "monthly_report",
-    "payment_mix",
-    "priority_sellers",
-)
-
-
-def sql_report(model, name: str) -> DataFrame:
-    """Run one SQL-dialect report through ``spark.sql`` (views must be registered)."""
-    p = model.params
-    text = report_sql(
-        name,
-        min_state_orders=p.min_state_orders,
-        min_category_orders=p.min_category_orders,
-        min_seller_orders=p.min_seller_orders,
-        month_from=p.month_from,
-        month_to=p.month_to,
-        edges=p.delay_edges,
-    )
-    return model.spark.sql(text)
+    return list(frames)

@@ -3,48 +3,96 @@
 Columns are mapped by position onto the registry schema (``enforceSchema``), so a
 misspelt header (``product_name_lenght``) is harmless. Quoted fields may hold commas,
 doubled quotes and newlines (``multiLine``). An empty field -- quoted or not -- reads
-as NULL; any other text, including ``NA``, stays text. A value that does not parse as
-its column type (a bad timestamp) becomes NULL and the row is kept.
+as NULL; any other text, including ``NA``, stays text. Every field is read as text and
+converted by rule: a timestamp that does not parse becomes NULL (that is its defined
+coercion); a number must match its column's form exactly, so ``abc``, ``10,00``, a third
+decimal or too many digits are never read as some other amount. Such a field is NULL in
+the typed row, which is kept, and is counted by ``dq_unparsed``; strict builds stop on it.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orderscope.schemas import TABLES, TableSpec
 
-TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
-
-
 def _spec(table: TableSpec | str) -> TableSpec:
     return TABLES[table] if isinstance(table, str) else table
 
 
+def text_schema(spec: TableSpec) -> T.StructType:
+    """The table's columns, all as text."""
+    return T.StructType([T.StructField(c, T.StringType()) for c in spec.columns])
+
+
+def number_pattern(dtype: T.DataType) -> str | None:
+    """The form a number of this type must have in a file; None for text and timestamps."""
+    if isinstance(dtype, T.DecimalType):
+        whole = dtype.precision - dtype.scale
+        # money has its scale at most; coordinates carry more digits than are kept
+        decimals = f"{{1,{dtype.scale}}}" if dtype.scale <= 2 else "+"
+        return rf"^[+-]?[0-9]{{1,{whole}}}([.][0-9]{decimals})?$"
+    if isinstance(dtype, T.IntegralType):
+        return r"^[+-]?[0-9]+$"
+    return None
+
+
+def typed_value(text: Column, dtype: T.DataType) -> Column:
+    """A text field as its type; NULL where it cannot be read."""
+    pattern = number_pattern(dtype)
+    if pattern:
+        return F.when(text.rlike(pattern), text.try_cast(dtype))
+    if isinstance(dtype, T.TimestampNTZType):
+        return text.try_cast(dtype)
+    return text.cast(dtype)
+
+
+def is_unparsed(text: Column, dtype: T.DataType) -> Column:
+    """Whether a number field holds text that cannot be read (empty is missing, not bad)."""
+    return text.isNotNull() & (text != "") & typed_value(text, dtype).isNull()
+
+
+def typed_rows(text: DataFrame, table: TableSpec | str, fail: bool = False) -> DataFrame:
+    """Text rows in the table's types. ``fail`` raises on the first number that cannot be read."""
+    columns = []
+    for f in _spec(table).schema.fields:
+        value = typed_value(F.col(f.name), f.dataType)
+        if fail and number_pattern(f.dataType):
+            message = F.concat(F.lit(f"{f.name}: cannot read "), F.col(f.name))
+            value = F.when(is_unparsed(F.col(f.name), f.dataType), F.raise_error(message)).otherwise(value)
+        columns.append(value.cast(f.dataType).alias(f.name))
+    return text.select(*columns)
+
+
 def read_csv_table(
     spark: SparkSession,
     path: str,
     table: TableSpec | str,
     multi_line: bool = True,
-    timestamp_format: str = TIMESTAMP_FORMAT,
 ) -> DataFrame:
-    """Read one raw table (a file, a directory or a glob) with its fixed schema.
+    """Read one raw table (a file, a directory or a glob) with its fixed schema."""
+    return typed_rows(read_csv_fields(spark, path, table, multi_line), table)
+
+
+def read_csv_fields(spark: SparkSession, path: str, table: TableSpec | str, multi_line: bool = True) -> DataFrame:
+    """One raw table with its own column names and every field as text.
 
     ``multi_line`` is needed only for files with quoted newlines (the reviews); it
     makes each file one split, so keep the other tables at ``multi_line=False`` when
     they are large and newline-free.
     """
-    spec = _spec(table)
     return (
-        spark.read.schema(spec.schema)
+        spark.read.schema(text_schema(_spec(table)))
         .option("header", True)
         .option("enforceSchema", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multi_line)
         .option("mode", "PERMISSIVE")
-        .option("timestampNTZFormat", timestamp_format)
         .option("encoding", "UTF-8")
         .csv(path)
     )
@@ -54,17 +102,17 @@ def read_csv_table(
 MULTI_LINE_TABLES = frozenset({"order_reviews"})
 
 
-def read_raw_dir(
+def read_raw_fields(
     spark: SparkSession,
     raw_dir: str,
     names: tuple[str, ...] | None = None,
     file_names: dict[str, str] | None = None,
 ) -> dict[str, DataFrame]:
-    """The raw tables of ``raw_dir``: ``<table>.csv`` each, or the names in ``file_names``
-    (table -> file name, for a folder laid out differently)."""
+    """The raw tables of ``raw_dir`` as text: ``<table>.csv`` each, or the names in
+    ``file_names`` (table -> file name, for a folder laid out differently)."""
     files = file_names or {}
     return {
-        name: read_csv_table(
+        name: read_csv_fields(
             spark,
             os.path.join(raw_dir, files.get(name, TABLES[name].file_name)),
             name,
@@ -74,6 +122,16 @@ def read_raw_dir(
     }
 
 
+def read_raw_dir(
+    spark: SparkSession,
+    raw_dir: str,
+    names: tuple[str, ...] | None = None,
+    file_names: dict[str, str] | None = None,
+) -> dict[str, DataFrame]:
+    """The raw tables of ``raw_dir`` in their types."""
+    return {name: typed_rows(df, name) for name, df in read_raw_fields(spark, raw_dir, names, file_names).items()}
+
+
 def ingest_csv_dir(
     spark: SparkSession,
     raw_dir: str,

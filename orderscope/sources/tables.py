@@ -7,18 +7,23 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderscope.schemas import TABLES
+from orderscope.schemas import TABLES, TS
 
 
 def load_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One landed table, projected onto its registry schema (column order fixed).
 
-    Columns landed as text are converted with ``try_cast``: a value that does not parse
-    (a malformed timestamp) becomes NULL instead of failing the job.
+    A timestamp landed as text that does not parse becomes NULL; any other value that does
+    not fit its type fails the job (amounts are never dropped silently).
     """
     spec = TABLES[name]
     df = spark.read.parquet(os.path.join(root, name))
-    return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in spec.schema.fields])
+    return df.select(
+        *[
+            (F.col(f.name).try_cast(f.dataType) if f.dataType == TS else F.col(f.name).cast(f.dataType)).alias(f.name)
+            for f in spec.schema.fields
+        ]
+    )
 
 
 def load_tables(spark: SparkSession, root: str, names: tuple[str, ...] | None = None) -> dict[str, DataFrame]:

@@ -16,23 +16,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from orderscope.schemas import TABLES
-from orderscope.sources.csv import MULTI_LINE_TABLES, TIMESTAMP_FORMAT
+from orderscope.sources.csv import MULTI_LINE_TABLES, text_schema, typed_rows
 
 
 def csv_stream(spark: SparkSession, landing_dir: str, table: str) -> DataFrame:
-    """A streaming DataFrame over the CSV files dropped in ``landing_dir``."""
-    spec = TABLES[table]
-    return (
-        spark.readStream.schema(spec.schema)
+    """A streaming DataFrame over the CSV files dropped in ``landing_dir``. A number that
+    cannot be read stops the stream: there is no later check of what it appended."""
+    text = (
+        spark.readStream.schema(text_schema(TABLES[table]))
         .option("header", True)
         .option("enforceSchema", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", table in MULTI_LINE_TABLES)
         .option("mode", "PERMISSIVE")
-        .option("timestampNTZFormat", TIMESTAMP_FORMAT)
         .csv(landing_dir)
     )
+    return typed_rows(text, table, fail=True)
 
 
 def land_table(

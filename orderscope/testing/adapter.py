@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderscope.session import default_parallelism, write_concurrently
-
 SOURCE_TABLES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
@@ -34,7 +32,7 @@ def adapt_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
     orders = o.select(
         key.alias("order_id"),
-        key.alias("customer_id"),
+        F.when(key % 499 != 0, key).alias("customer_id"),
         F.when((F.col("o_orderstatus") == F.lit("P")) & (key % 4 == 0), F.lit("shipped"))
         .otherwise(F.lit("delivered"))
         .alias("order_status"),
@@ -48,13 +46,13 @@ def adapt_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             )
         )
         .alias("order_delivered_customer_date"),
-        F.timestamp_add("DAY", F.lit(24), day).alias("order_estimated_delivery_date"),
+        F.when(key % 61 != 0, F.timestamp_add("DAY", F.lit(24), day)).alias("order_estimated_delivery_date"),
     )
 
     cust_nation = src["customer"].select("c_custkey", "c_nationkey").join(
         nation, F.col("c_nationkey") == F.col("n_nationkey"), "left"
     )
-    customers = o.select("o_orderkey", "o_custkey").join(
+    customers = o.where(key % 211 != 0).select("o_orderkey", "o_custkey").join(
         cust_nation, F.col("o_custkey") == F.col("c_custkey"), "left"
     ).select(
         F.col("o_orderkey").alias("customer_id"),
@@ -75,14 +73,21 @@ def adapt_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     )
 
     price = F.col("l_extendedprice").cast("decimal(12,2)")
+    line, number = F.col("l_orderkey"), F.col("l_linenumber")
     items = src["lineitem"].select(
-        F.col("l_orderkey").alias("order_id"),
+        F.when((line % 401 == 0) & (number == 1), _null("long"))
+        .when(line % 307 == 0, -line)
+        .otherwise(line)
+        .alias("order_id"),
         F.col("l_linenumber").alias("order_item_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_suppkey").alias("seller_id"),
         F.col("l_shipdate").alias("shipping_limit_date"),
-        price.alias("price"),
-        (price * F.col("l_tax").cast("decimal(3,2)")).cast("decimal(12,2)").alias("freight_value"),
+        F.when(line % 43 != 0, price).alias("price"),
+        F.when(
+            (line % 47 != 0) & ~((line % 53 == 0) & (number == 1)),
+            (price * F.col("l_tax").cast("decimal(3,2)")).cast("decimal(12,2)"),
+        ).alias("freight_value"),
     )
 
     first = o.select(
@@ -106,7 +111,10 @@ def adapt_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     reviews = ev.select(
         eid.alias("review_id"),
         F.when(eid % 10 == 9, eid - 1).otherwise(eid).alias("order_id"),
-        (F.lit(1) + F.floor("value") % 5).cast("int").alias("review_score"),
+        F.when(eid % 113 == 0, F.lit(0))
+        .when(eid % 127 == 0, F.lit(6))
+        .when(eid % 131 != 0, (F.lit(1) + F.floor("value") % 5).cast("int"))
+        .alias("review_score"),
         _null("string").alias("review_comment_title"),
         _null("string").alias("review_comment_message"),
         F.col("ts").alias("review_creation_date"),
@@ -164,21 +172,11 @@ def adapt_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def land_adapted_tables(spark: SparkSession, sf_dir: str, root: str) -> dict[str, DataFrame]:
-    """Write the adapted tables once as Parquet under ``root`` and return them re-read.
-
-    This is the test-data counterpart of the CSV landing job: reports then read typed,
-    landed Parquet instead of re-deriving every column from the source files. The
-    source files hold a single row group each (one scan task), so rows are spread over
-    the session's default parallelism before writing; landed raw data in production
-    arrives as many files already.
-    """
-    n = default_parallelism(spark)
-    adapted = adapt_tables(spark, sf_dir)
-    paths = {name: f"{root.rstrip('/')}/{name}" for name in adapted}
-    # the nine writes are independent jobs: submit them together
-    write_concurrently(
-        [lambda df=df, p=paths[name]: df.repartition(n).write.mode("overwrite").parquet(p)
-         for name, df in adapted.items()]
-    )
-    return {name: spark.read.schema(df.schema).parquet(paths[name]) for name, df in adapted.items()}
+def adapted_raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The item lines' money columns as text, with values no file should hold: words, a comma
+    for the decimal point, more digits than the column has, a third decimal, empty fields."""
+    line = read_source(spark, sf_dir, "lineitem")
+    last = F.col("l_orderkey") % 10
+    price = F.when(last == 0, "abc").when(last == 1, "10,00").when(last == 2, "99999999999.00").when(last == 3, "")
+    freight = F.when(F.col("l_linenumber") == 2, F.lit(None)).when(F.col("l_linenumber") == 3, "1.005").otherwise("7")
+    return line.select(price.otherwise("12.50").alias("price"), freight.alias("freight_value"))

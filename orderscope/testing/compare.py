@@ -9,26 +9,17 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from pathlib import Path
 
 import duckdb
 from pyspark.sql import DataFrame
 
-SOURCE_VIEWS = (
-    "region",
-    "nation",
-    "customer",
-    "supplier",
-    "part",
-    "orders",
-    "lineitem",
-    "events",
-)
-
-
 def duckdb_connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    """A connection with every table of the folder as a view."""
     con = duckdb.connect()
-    for t in SOURCE_VIEWS:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    for path in sorted(Path(sf_dir).glob("*.parquet")):
+        files = f"{path}/*" if path.is_dir() else path
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{files}')")
     return con
 
 
