@@ -310,9 +310,8 @@ def monthly_report(
 ) -> DataFrame:
     """Complete months only (SQL-style projection).
 
-    The window is applied twice on purpose: as a half-open timestamp range (Parquet
-    row-group skipping) and on ``purchase_month`` (partition pruning when the fact is
-    stored partitioned by month).
+    The window is applied twice on purpose: as a half-open timestamp range and on
+    ``purchase_month``, by which a stored fact is partitioned (only its folders are read).
     """
     ts = F.col("order_purchase_timestamp")
     window = delivered.where(

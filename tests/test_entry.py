@@ -19,7 +19,7 @@ def test_entry_runs_on_smoke_data(spark):
         "average_delivery_days",
     ]
     rows = df.collect()
-    assert [r["bucket_order"] for r in rows] == [1, 2, 3, 4]
+    assert [r["bucket_order"] for r in rows] == [1, 2, 3, 4, 5]
 
 
 def test_every_operator_registered_with_oracle():
@@ -28,7 +28,7 @@ def test_every_operator_registered_with_oracle():
     own = set(OPERATOR_NAMES)
     assert own <= set(q)
     assert set(sql) & own == own - {"summary_document"}
-    assert set(q) - own == set(entry.LLM_QUERIES)
+    assert set(q) - own == {"dq_unparsed"} | set(entry.LLM_QUERIES)
 
 
 def test_summary_document_on_test_tables(spark):

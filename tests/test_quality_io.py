@@ -6,7 +6,7 @@ import glob
 import json
 import os
 
-from builders import build_model, frame, item, order, review
+from builders import build_model, customer, frame, item, order, review
 from orderscope.operators import quality
 from orderscope.sources import sinks
 from orderscope.sources.csv import ingest_csv_dir, read_csv_table
@@ -210,3 +210,69 @@ def test_duplicate_keys_report_every_check_on_empty_tables(spark):
     empty = {"orders": frame(spark, "orders", []), "sellers": frame(spark, "sellers", [])}
     got = {(r["table_name"], r["key_columns"]): r["duplicate_keys"] for r in quality.dq_duplicate_keys(empty).collect()}
     assert got == {("orders", "order_id"): 0, ("orders", "customer_id"): 0, ("sellers", "seller_id"): 0}
+
+
+def test_numbers_that_cannot_be_read_are_counted_not_guessed(spark, tmp_dir):
+    from decimal import Decimal
+
+    import pytest as _pytest
+    from orderscope.plans.jobs import run_build
+    from orderscope.sources.csv import read_csv_fields, typed_rows
+    from test_jobs import RAW
+
+    raw = os.path.join(tmp_dir, "raw")
+    os.makedirs(raw)
+    for name, text in RAW.items():
+        with open(os.path.join(raw, name), "w", encoding="utf-8") as fh:
+            fh.write(text)
+    rows = ["abc,1", '"10,00",2', "99999999999.00,3", "1.005,", ",4", "12.50,bad", "+7,1e3"]
+    with open(os.path.join(raw, "order_items.csv"), "w", encoding="utf-8") as fh:
+        fh.write("order_id,order_item_id,product_id,seller_id,shipping_limit_date,price,freight_value\n")
+        fh.writelines(f"o1,{i},p1,s1,not a date,{r}\n" for i, r in enumerate(rows, start=1))
+    path = os.path.join(raw, "order_items.csv")
+    typed = read_csv_table(spark, path, "order_items").orderBy("order_item_id").collect()
+    assert [r["price"] for r in typed] == [None, None, None, None, None, Decimal("12.50"), Decimal("7.00")]
+    assert [r["freight_value"] for r in typed] == [1, 2, 3, None, 4, None, None]
+    assert {r["shipping_limit_date"] for r in typed} == {None}
+    fields = read_csv_fields(spark, path, "order_items")
+    bad = {r["column_name"]: r["unparsed_rows"] for r in quality.dq_unparsed({"order_items": fields}).collect()}
+    assert bad == {"order_item_id": 0, "price": 4, "freight_value": 2}
+    with _pytest.raises(Exception, match="cannot read"):
+        typed_rows(fields, "order_items", fail=True).collect()
+    with _pytest.raises(quality.IntegrityError, match="unparsed order_items.price=4"):
+        run_build(spark, raw, os.path.join(tmp_dir, "landed"), os.path.join(tmp_dir, "out"), strict=True)
+
+
+def test_duplicate_join_keys_raise_before_anything_is_written(spark):
+    import pytest as _pytest
+    from builders import build_tables
+
+    tables = build_tables(spark, orders=[order("o1")], translation=[
+        {"product_category_name": "x", "product_category_name_english": "a"},
+        {"product_category_name": "x", "product_category_name_english": "b"},
+    ])
+    from orderscope.plans.commerce import CommerceModel
+
+    with _pytest.raises(quality.IntegrityError, match="category_translation.product_category_name=1"):
+        CommerceModel(tables).materialize()
+
+
+def test_audit_of_an_empty_folder(spark, tmp_dir):
+    from orderscope.plans.jobs import run_file_audit
+
+    raw = os.path.join(tmp_dir, "none")
+    os.makedirs(raw)
+    assert quality.dq_file_audit({}).count() == 0
+    run_file_audit(spark, raw, os.path.join(tmp_dir, "out"))
+
+
+def test_all_statuses_and_null_freight(spark):
+    """An order without a customer still counts, and NULL freight leaves the GMV in the burden."""
+    model = build_model(
+        spark,
+        orders=[order("o1"), order("o2"), order("o3")],
+        customers=[customer("c_o1"), customer("c_o2")],
+        items=[item("o1", price="10.00", freight="2.00"), item("o2", price="30.00", freight=None), item("o3")],
+    )
+    assert model.kpi_extended().first()["orders_all_statuses"] == 3
+    assert abs(model.state_performance().first()["freight_burden"] - 2 / 42) < 1e-12
