@@ -234,17 +234,27 @@ def _buckets(batches):
         yield one(last[0], last[1])
 
 
-def _possible(percent: int) -> Column:
-    """Whether sizes and sketches of rows x and y allow the similarity: never false for a link."""
-    most = (100 - percent) * (F.col("x.n") + F.col("y.n"))
+def _may_link(percent: int) -> Column:
+    """Whether sizes and folded sketches of rows x and y allow the similarity: never false for
+    a link. Bit operations on plain columns only, so that a join evaluates it in compiled code."""
     bits = sum(F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SKETCH_WORDS))
+    return (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (
+        (100 + percent) * bits <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    )
+
+
+def _still_possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and whole sketches allow the similarity."""
     m = "least(size(x.sketch), size(y.sketch))"
     folded = [f"if(size({t}.sketch) > {m}, {t}.sketch[i] ^ {t}.sketch[i + {m}], {t}.sketch[i])" for t in "xy"]
-    all_bits = F.expr(f"aggregate(sequence(0, {m} - 1), 0, (a, i) -> a + bit_count({folded[0]} ^ {folded[1]}))")
+    bits = F.expr(f"aggregate(sequence(0, {m} - 1), 0, (a, i) -> a + bit_count({folded[0]} ^ {folded[1]}))")
+    most = (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    large = F.greatest("x.n", "y.n") > SKETCH_WORDS * SKETCH_LOAD
     return (
-        (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-        & ((100 + percent) * bits <= most)
-        & ((F.greatest("x.n", "y.n") <= SKETCH_WORDS * SKETCH_LOAD) | ((100 + percent) * all_bits <= most))
+        pairs.join(facts.alias("x"), F.col("a") == F.col("x.id"))
+        .join(facts.alias("y"), F.col("b") == F.col("y.id"))
+        .where(_may_link(percent) & (~large | ((100 + percent) * bits <= most)))
+        .select("a", "b")
     )
 
 
@@ -324,9 +334,8 @@ def jaccard_groups(
         .groupBy("b")
         .agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
     )
-    x, y = facts.alias("x"), facts.alias("y")
-    star = star.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(_possible(percent))
-    links = save(_verified(star.select("a", "b"), docs, index, k, percent), "links")
+    star = _still_possible(star.select("a", "b"), facts, percent)
+    links = save(_verified(star, docs, index, k, percent), "links")
     labels = components(links, "a", "b")
 
     # Buckets that still hold several groups: pairs between different groups, kept where
@@ -335,11 +344,12 @@ def jaccard_groups(
     member = save(member.select("sig", "id", F.coalesce("root", "id").alias("root")), "members")
     mixed = member.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("sig")
     open_rows = save(member.join(mixed, "sig").distinct(), "open")
-    open_rows = save(open_rows.join(facts, "id"), "facts")
+    open_rows = save(open_rows.join(facts.drop("sketch"), "id"), "facts")
     x, y = open_rows.alias("x"), open_rows.alias("y")
     apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
-    rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & apart & _possible(percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    more = save(_verified(rest.distinct(), docs, index, k, percent), "links")
+    rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & apart & _may_link(percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    rest = _still_possible(save(rest.distinct(), "rest"), facts, percent)
+    more = save(_verified(rest, docs, index, k, percent), "links")
     if not more.isEmpty():
         labels = components(links.union(more), "a", "b")
     of_copies = copies.join(labels, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
@@ -375,6 +385,7 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_rk")
     best = rows.where("group is not null").groupBy("group").agg(F.min(order).alias("o"), F.count(F.lit(1)).alias("m"))
     best = best.where("m > 1").select("group", F.col("o.doc_id").alias("_jk_id"), F.col("o._rk").alias("_jk_hash"))
+
     def same(text_hash: str) -> Column:
         return (F.col("_jk_hash") == F.col(text_hash)) & F.col("_jk_id").eqNullSafe(F.col("doc_id"))
 
