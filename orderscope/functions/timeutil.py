@@ -34,8 +34,7 @@ def micros_between(start: Column | str, end: Column | str) -> Column:
 
 def _truncate(micros: Column, unit: int) -> Column:
     """Whole units, truncated toward zero (as TIMESTAMPDIFF does)."""
-    q = micros / F.lit(float(unit))
-    return F.when(micros >= 0, F.floor(q)).otherwise(F.ceil(q)).cast("long")
+    return F.call_function("div", micros, F.lit(unit).cast("long"))
 
 
 def seconds_between(start: Column | str, end: Column | str) -> Column:
@@ -55,17 +54,12 @@ def calendar_days_between(earlier: Column | str, later: Column | str) -> Column:
 
 def month_key(ts: Column | str) -> Column:
     """'yyyy-MM' month label."""
-    t = _c(ts)
-    return F.format_string("%04d-%02d", F.year(t), F.month(t))
+    return F.substring(_c(ts).cast("string"), 1, 7)
 
 
 def iso_seconds(ts: Column | str) -> Column:
     """ISO-8601 text with second precision, e.g. 2018-08-29T15:00:37."""
-    t = _c(ts)
-    return F.format_string(
-        "%04d-%02d-%02dT%02d:%02d:%02d",
-        F.year(t), F.month(t), F.dayofmonth(t), F.hour(t), F.minute(t), F.second(t),
-    )
+    return F.translate(F.substring(_c(ts).cast("string"), 1, 19), " ", "T")
 
 
 def month_start(month: str) -> str:

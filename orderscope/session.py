@@ -28,8 +28,9 @@ DEFAULT_CONF: dict[str, str] = {
 
 # Starting point for a large cluster (hundreds of TB of input, ~1000 executors).
 # Scans: 512 MB splits of the columnar files (only the needed columns are read).
-# Shuffles: many initial partitions, coalesced by AQE towards 256 MB each; a partition
-# 5x the median and over 1 GB is split (skew join). Broadcast only what measures under
+# Shuffles: many initial partitions, coalesced by AQE towards 256 MB each where a shuffle
+# holds more than that for every core (parallelismFirst stays on, so smaller ones stay
+# finer); a partition 5x the median and over 1 GB is split (skew join). Broadcast only what measures under
 # 64 MB, statically or at runtime. Decommissioning migrates shuffle blocks off leaving
 # executors so a lost node does not force recomputation of finished stages.
 CLUSTER_CONF: dict[str, str] = {
@@ -111,18 +112,17 @@ def app_id(spark: SparkSession) -> str:
     return spark.conf.get("spark.app.id", None) or spark.sparkContext.applicationId
 
 
-def default_parallelism(spark: SparkSession) -> int:
-    try:
-        return spark.sparkContext.defaultParallelism
-    except Exception:  # Spark Connect
-        return int(spark.conf.get("spark.default.parallelism", "8"))
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared checkpoint folder."""
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder, wherever Spark keeps it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def write_concurrently(jobs: list[Callable[[], None]], max_parallel: int = 4) -> None:
     """Run independent Spark actions (e.g. writes of different tables) as concurrent jobs.
 

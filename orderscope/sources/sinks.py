@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderscope.session import write_concurrently
+from orderscope.session import remove_path, scratch_path, write_concurrently
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -79,23 +79,33 @@ def write_outputs(model, out_dir: str) -> dict[str, str]:
     """Write the model's published outputs under ``out_dir``.
 
     CSV reports, the nested summary document (``analysis_summary``), and the payload
-    tables as JSON lines (``payload/<report>``). ``model`` is a CommerceModel; reports
-    read its (ideally materialised) tables.
+    tables as JSON lines (``payload/<report>``). Each report runs once: its rows are
+    written to the shared scratch folder, exported to both formats from there, and the
+    scratch folder is removed. ``model`` is a CommerceModel, ideally materialised.
     """
+    spark = model.spark
+    scratch = scratch_path(spark, "outputs")
+    frames = {name: getattr(model, name)() for name in OUTPUT_REPORTS}
+    paths = {name: f"{scratch}/{name}" for name in frames}
     written: dict[str, str] = {}
-    jobs = []
-    for name, single in OUTPUT_REPORTS.items():
-        path = os.path.join(out_dir, name)
-        jobs.append(lambda df=getattr(model, name)(), p=path, one=single: write_csv(df, p, single_file=one))
-        written[name] = path
-    for name in PAYLOAD_REPORTS:
-        path = os.path.join(out_dir, "payload", name)
-        one = OUTPUT_REPORTS.get(name, True)
-        jobs.append(lambda df=getattr(model, name)(), p=path, one=one: write_json_lines(df, p, single_file=one))
-        written[f"payload/{name}"] = path
-    path = os.path.join(out_dir, "analysis_summary")
-    jobs.append(lambda p=path: write_document(model.summary_document(), p))
-    written["analysis_summary"] = path
-    # independent writes: submitted as concurrent jobs
-    write_concurrently(jobs)
+    try:
+        write_concurrently([lambda df=df, p=paths[name]: df.write.parquet(p) for name, df in frames.items()])
+        jobs = []
+        for name, df in frames.items():
+            rows = spark.read.schema(df.schema).parquet(paths[name])
+            if OUTPUT_REPORTS[name]:  # small, and ordered
+                rows = rows.coalesce(1)
+            path = os.path.join(out_dir, name)
+            jobs.append(lambda df=rows, p=path: write_csv(df, p))
+            written[name] = path
+            if name in PAYLOAD_REPORTS:
+                path = os.path.join(out_dir, "payload", name)
+                jobs.append(lambda df=rows, p=path: write_json_lines(df, p))
+                written[f"payload/{name}"] = path
+        path = os.path.join(out_dir, "analysis_summary")
+        jobs.append(lambda p=path: write_document(model.summary_document(), p))
+        written["analysis_summary"] = path
+        write_concurrently(jobs)
+    finally:
+        remove_path(spark, scratch)
     return written

@@ -1,4 +1,4 @@
-"""The batch jobs end to end on a tiny raw CSV folder (published file names)."""
+"""The batch jobs end to end on a tiny raw CSV folder."""
 
 from __future__ import annotations
 
