@@ -34,6 +34,8 @@ SKETCH_WORDS = 8  # words of 64 parity bits of the smallest sketch
 SKETCH_LOAD = 128  # tokens for each word of larger ones
 SIGNATURE_MASK = np.uint64((1 << 48) - 1)
 BROADCAST_ROWS = 1_000_000
+SLICE_ROWS = 512  # texts turned into sets at once
+PICK_ROUNDS = 3  # in which each group tries its likeliest link before all others are tried
 _U = np.uint64
 
 
@@ -156,7 +158,7 @@ def _index(docs: DataFrame, k: int, percent: int, set_count: int, widen: int | N
     """For each document its set's key, size, signatures and sketch."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             key, size, sigs, sketch = [], [], [], []
             for text in batch.column("text").to_pylist():
                 tokens = shingle_set(text, k)
@@ -184,7 +186,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     """(id, tokens) of documents that carry an ``id``."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             tokens = [shingle_set(t, k).view(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(tokens, pa.list_(pa.int64()))], names=["id", "tokens"]
@@ -244,7 +246,8 @@ def _may_link(percent: int) -> Column:
 
 
 def _still_possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and whole sketches allow the similarity."""
+    """The pairs (a, b) whose sizes and whole sketches allow the similarity, with ``apart``:
+    the share of the tokens by which the sketches differ at least."""
     m = "least(size(x.sketch), size(y.sketch))"
     folded = [f"if(size({t}.sketch) > {m}, {t}.sketch[i] ^ {t}.sketch[i + {m}], {t}.sketch[i])" for t in "xy"]
     bits = F.expr(f"aggregate(sequence(0, {m} - 1), 0, (a, i) -> a + bit_count({folded[0]} ^ {folded[1]}))")
@@ -254,7 +257,7 @@ def _still_possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFra
         pairs.join(facts.alias("x"), F.col("a") == F.col("x.id"))
         .join(facts.alias("y"), F.col("b") == F.col("y.id"))
         .where(_may_link(percent) & (~large | ((100 + percent) * bits <= most)))
-        .select("a", "b")
+        .select("a", "b", (bits / (F.col("x.n") + F.col("y.n"))).alias("apart"))
     )
 
 
@@ -334,7 +337,7 @@ def jaccard_groups(
         .groupBy("b")
         .agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
     )
-    star = _still_possible(star.select("a", "b"), facts, percent)
+    star = _still_possible(star.select("a", "b"), facts, percent).select("a", "b")
     links = save(_verified(star, docs, index, k, percent), "links")
     labels = components(links, "a", "b")
 
@@ -348,10 +351,33 @@ def jaccard_groups(
     x, y = open_rows.alias("x"), open_rows.alias("y")
     apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
     rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & apart & _may_link(percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    rest = _still_possible(save(rest.distinct(), "rest"), facts, percent)
-    more = save(_verified(rest, docs, index, k, percent), "links")
-    if not more.isEmpty():
-        labels = components(links.union(more), "a", "b")
+    rest = save(_still_possible(save(rest.distinct(), "rest"), facts, percent), "possible")
+    # Groups need one link to become one: in a few rounds each tries its likeliest pair, then
+    # whatever still lies between different groups is verified in full.
+    for turn in range(PICK_ROUNDS + 1):
+        root_a = labels.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+        root_b = labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        rest = (
+            rest.select("a", "b", "apart")
+            .join(root_a, "a", "left")
+            .join(root_b, "b", "left")
+            .select("a", "b", "apart", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
+        )
+        rest = save(rest.where("ra != rb"), "between")
+        if rest.isEmpty():
+            break
+        pick = rest.select("a", "b")
+        if turn < PICK_ROUNDS:
+            best = F.min(F.struct("apart", "a", "b")).alias("p")
+            pick = rest.groupBy("ra").agg(best).union(rest.groupBy("rb").agg(best)).select("p.a", "p.b").distinct()
+            pick = save(pick, "picked")
+            rest = rest.join(pick, ["a", "b"], "left_anti")
+        more = save(_verified(pick, docs, index, k, percent), "links")
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = components(links, "a", "b")
+        if turn == PICK_ROUNDS:
+            break
     of_copies = copies.join(labels, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
     of_rest = labels.select(F.col("node").alias("id"), "root")
     group = save(of_rest.join(copies, "id", "left_anti").union(of_copies), "groups")
