@@ -72,7 +72,7 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
 class Writer:
     """Writes one file; holds at most a block of ids, and one index row for each document."""
 
-    def __init__(self, out, doc_type: pa.DataType, bits: bool = False, level: int = 3):
+    def __init__(self, out, doc_type: pa.DataType, bits: bool = False, level: int = 1):
         self.out, self.bits, self.doc_type = out, bits, doc_type
         self.zstd = zstandard.ZstdCompressor(level=level)
         self.held: list[np.ndarray] = []
@@ -198,13 +198,18 @@ class Encoder:
         """(first, lengths, ids) for slices of the texts; each text ends with END_ID."""
         for first, part in text_slices(texts):
             offsets, codes, units = split_units(part)
-            opens = np.array([bool(u) and not u[0].isspace() for u in units])
-            closes = np.array([bool(u) and not u[-1].isspace() for u in units])
+            ends = "".join([u[0] + u[-1] if u else "  " for u in units])
+            letter = np.frombuffer(ends.encode("utf-32-le", "surrogatepass"), np.uint32)
+            plain = (letter > 0x20) & (letter < 0x7F)
+            rare = np.flatnonzero(~plain)
+            plain[rare] = [not ends[i].isspace() for i in rare]
+            opens, closes = plain[::2], plain[1::2]
+            empty = np.fromiter(map(len, units), np.int64, len(units)) == 0
             head = offsets[:-1]
             is_head = np.zeros(len(codes) + 1, bool)
             is_head[head] = True
             # the cut between part i and i + 1 of one text; before an empty first part it is at the start
-            sound = closes[codes[:-1]] | opens[codes[1:]] | is_head[1:-1] | (is_head[:-2] & np.array([not u for u in units])[codes[:-1]])
+            sound = closes[codes[:-1]] | opens[codes[1:]] | is_head[1:-1] | (is_head[:-2] & empty[codes[:-1]])
             broken = np.add.reduceat(np.r_[~sound, False].astype(np.int64), head) > 0
             heads = [units[c] for c in codes[head]]
             ids = self._look_up([" " + u for u in units]) + self._look_up(heads)
