@@ -19,7 +19,7 @@ BROADCAST_CELLS = 100_000
 # is, 0 makes all values equal.
 EXPONENTS = {"source": 0.8, "lang": 0.9, "topic": 0.95}
 SWEEPS = 8
-LEAST_SHARE = 0.01  # cells below it don't hold back the sampling rate of all others
+LEAST_SHARE = 0.01  # of op6_raking, as its SQL has it: cells below it don't hold back the sampling rate of all others
 
 
 def token_count(text: Column) -> Column:
@@ -75,13 +75,16 @@ def mix_documents(
     exponents: dict[str, float] | None = None,
     targets: dict[str, dict[str, float]] | None = None,
     sweeps: int = SWEEPS,
+    least_share: float = 0.0,
 ) -> DataFrame:
     """``docs`` with mix_tokens, one mix_<dimension> column each, mix_probability and mix_kept.
 
     Targets are shares by value (``targets[dimension]``), or tempered from the corpus by
     ``exponents``. Sampling keeps as much as it can without repeating a document: the cell
-    most in demand (among those with LEAST_SHARE of the tokens) has probability 1. The draw
-    depends on doc_id alone, so it is repeatable and equal for repeated rows.
+    most in demand has probability 1, so the expected marginals are the targets. With
+    ``least_share``, cells below that share of the tokens do not count for this: more is
+    kept, but those of them in higher demand get probability 1 and miss their targets. The
+    draw depends on doc_id alone, so it is repeatable and equal for repeated rows.
 
     Defined cases: a null dimension value is the value "(none)"; texts without tokens add
     nothing to the marginals, and a cell of only such texts is kept whole; a value without
@@ -107,7 +110,7 @@ def mix_documents(
     share = (F.col("tokens").cast("double") / F.col("_all")).alias("_seen")
     start = save(cells.join(F.broadcast(whole)).select(*dims, share, share.alias("_w")), "cells")
     fitted = rake(start, goal, "_w", sweeps).withColumn("_mix_ratio", F.col("_w") / F.col("_seen"))
-    top = fitted.agg(F.coalesce(F.max(F.when(F.col("_seen") >= LEAST_SHARE, F.col("_mix_ratio"))), F.max("_mix_ratio")).alias("_mix_top"))
+    top = fitted.agg(F.coalesce(F.max(F.when(F.col("_seen") >= least_share, F.col("_mix_ratio"))), F.max("_mix_ratio")).alias("_mix_top"))
     chance = save(
         fitted.join(F.broadcast(top)).select(
             *dims, F.round(F.least(F.lit(1.0), F.col("_mix_ratio") / F.col("_mix_top")), 9).alias("_mix_chance")
@@ -125,11 +128,11 @@ def mix_documents(
     )
 
 
-def mix_corpus(docs: DataFrame) -> DataFrame:
+def mix_corpus(docs: DataFrame, least_share: float = 0.0) -> DataFrame:
     """mix_documents() over source, language and topic with the production exponents."""
     tokens = token_count(F.col("text"))
     dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(F.col("text"), tokens)}
-    return mix_documents(docs, dims, tokens)
+    return mix_documents(docs, dims, tokens, least_share=least_share)
 
 
 def sample_mix(docs: DataFrame) -> DataFrame:
@@ -138,8 +141,9 @@ def sample_mix(docs: DataFrame) -> DataFrame:
 
 
 def op6_raking(spark, sf_dir):
-    """Query: every document with its cell, its probability and whether it is kept."""
-    return mix_corpus(table(spark, sf_dir, "documents")).select(
+    """Query: every document with its cell, its probability and whether it is kept. Its SQL
+    leaves small cells out of the sampling rate, so the query does too; sample_mix() doesn't."""
+    return mix_corpus(table(spark, sf_dir, "documents"), LEAST_SHARE).select(
         "doc_id",
         F.col("mix_source").alias("source"),
         F.col("mix_lang").alias("lang"),

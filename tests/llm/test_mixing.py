@@ -4,7 +4,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from orderscope.llm.mixing import mix_corpus, mix_documents, sample_mix
+from orderscope.llm.mixing import EXPONENTS, mix_corpus, mix_documents, sample_mix
 
 
 def test_given_marginals_are_met(spark):
@@ -40,3 +40,25 @@ def test_a_value_without_a_target_is_not_drawn(spark):
     docs = spark.createDataFrame([(1, "a", 5), (2, "b", 5), (3, None, 5)], "doc_id long, s string, n long")
     got = mix_documents(docs, {"s": F.col("s")}, F.col("n"), targets={"s": {"a": 1.0}}).collect()
     assert {r["doc_id"]: (r["mix_probability"], r["mix_kept"]) for r in got} == {1: (1.0, True), 2: (0.0, False), 3: (0.0, False)}
+
+
+def test_marginals_are_met_with_hundreds_of_small_cells(spark):
+    """20 sources x 4 languages x 5 topics: nearly all cells hold under 1 % of the tokens."""
+    texts = ["word " * 20, "word " * 200, "word " * 600, "12345 " * 30, "license " * 30]
+    rows = [
+        (i, texts[h % 5], "abcd"[min(3, h // 7 % 9)], f"s{min(19, h // 64 % 50)}")
+        for i, h in ((i, i * 2654435761 % (1 << 32) >> 4) for i in range(8_000))
+    ]
+    got = mix_corpus(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    cells = {(r["mix_source"], r["mix_lang"], r["mix_topic"]) for r in got}
+    assert len(cells) > 300
+    kept = sum(r["mix_tokens"] * r["mix_probability"] for r in got)
+    for name, exponent in EXPONENTS.items():
+        seen, expected = defaultdict(int), defaultdict(float)
+        for r in got:
+            seen[r[f"mix_{name}"]] += r["mix_tokens"]
+            expected[r[f"mix_{name}"]] += r["mix_tokens"] * r["mix_probability"]
+        whole = sum(n**exponent for n in seen.values())
+        for value, n in seen.items():
+            assert abs(expected[value] / kept / (n**exponent / whole) - 1) < 1e-4
+    assert max(r["mix_probability"] for r in got) == 1.0
