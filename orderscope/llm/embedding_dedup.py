@@ -4,7 +4,9 @@ Every vector is described by its nearest reference points (pivots), in order. Tw
 are compared when they share enough of them: an inverted list for each pivot holds the
 vectors that posted it, shared pivots are counted on bit sets, and candidates are verified
 by cosine in double precision. Posting only the first ``near - shared + 1`` pivots of a
-vector, in one global order, loses no pair that shares ``shared`` of them.
+vector, in one global order, loses no pair that shares ``shared`` of them. The more pivots,
+the fewer of them two vectors at the threshold share, so the number of nearest pivots is
+widened until pairs made at the threshold are found.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ from orderscope.llm.common import save, table
 from orderscope.llm.graph import components
 
 THRESHOLD = 0.9
-NEAR = 10  # pivots that describe a vector
+NEAR = 10  # pivots that describe a vector, at least
 SHARED = 3  # of them that a candidate pair has in common
 MAX_PIVOTS = 65_536  # the bound on the sample that the index is fitted on
 APART = 0.8  # pivots have cosines below it with one another
+RECALL = 0.97  # of pairs right at the threshold, for which the number of near pivots is widened
+TRIALS = 1024  # such pairs
 BLOCK = 256  # vectors of one list that are compared with one another at once
 
 
@@ -44,12 +48,17 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def _sample(vectors: DataFrame, count: int, dim: int, seed: int) -> np.ndarray:
+    """The unit vectors with the smallest hashes."""
+    rows = vectors.select("v").orderBy(F.xxhash64("v", F.lit(seed))).limit(count).toArrow()
+    return _unit(_matrix(rows.column("v").combine_chunks(), dim))
+
+
 def _pivots(vectors: DataFrame, count: int, dim: int) -> np.ndarray:
     """At most MAX_PIVOTS vectors, the ones with the smallest hashes, no two of them closer
     than APART: pivots that crowd in one cluster would order its vectors by noise."""
     wanted = min(MAX_PIVOTS, max(64, int(8 * sqrt(count))))
-    rows = vectors.select("v").orderBy(F.xxhash64("v", F.lit(17))).limit(wanted).toArrow()
-    sample = _unit(_matrix(rows.column("v").combine_chunks(), dim)).astype(np.float32)
+    sample = _sample(vectors, wanted, dim, 17).astype(np.float32)
     kept = sample[:0]
     for at in range(0, len(sample), 512):
         part = sample[at : at + 512]
@@ -62,6 +71,47 @@ def _pivots(vectors: DataFrame, count: int, dim: int) -> np.ndarray:
     return kept
 
 
+def _nearest(unit: np.ndarray, pivots: np.ndarray, near: int) -> np.ndarray:
+    """For each row the ``near`` closest pivots, in order."""
+    close = unit.astype(np.float32) @ pivots.T
+    top = np.argpartition(-close, near - 1, axis=1)[:, :near]
+    order = np.argsort(-np.take_along_axis(close, top, axis=1), axis=1, kind="stable")
+    return np.take_along_axis(top, order, axis=1).astype(np.int32)
+
+
+def _widened(sample: np.ndarray, pivots: np.ndarray, near: int, shared: int, threshold: float) -> int:
+    """The least number of near pivots, from ``near`` up, with which RECALL of the pairs at
+    the threshold share ``shared`` of them. A pair is a row of ``sample`` (unit vectors) and
+    that row turned towards another one, as far as the threshold allows."""
+    if len(sample) < 2 or len(pivots) <= near or not 0 < threshold < 1:
+        return near
+    pick = np.arange(TRIALS)
+    x = sample[pick % len(sample)]
+    y = sample[(pick + 1 + pick // len(sample)) % len(sample)]
+    y = y - (x * y).sum(axis=1, keepdims=True) * x
+    length = np.linalg.norm(y, axis=1)
+    x, y = x[length > 1e-6], y[length > 1e-6] / length[length > 1e-6, None]
+    if not len(x):
+        return near
+    pair = np.stack([x, threshold * x + sqrt(1 - threshold**2) * y], axis=1)
+    wide = near
+    while wide < len(pivots):
+        most = min(len(pivots), 2 * wide)
+        need = []  # near pivots from which on a pair shares enough
+        for at in range(0, len(pair), 64):
+            part = pair[at : at + 64]
+            found = _nearest(part.reshape(-1, part.shape[2]), pivots, most).reshape(len(part), 2, most)
+            for a, b in found:
+                _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+                both = np.sort(np.maximum(i, j)) + 1
+                need.append(both[shared - 1] if len(both) >= shared else most + 1)
+        enough = int(np.quantile(need, RECALL, method="higher"))
+        if enough <= most:
+            return max(near, enough)
+        wide = most
+    return len(pivots)
+
+
 def _describe(vectors: DataFrame, pivots: np.ndarray, dim: int, near: int, posts: int) -> DataFrame:
     """(id, v, w, nearest: pivots by closeness, posted: those under which it is listed)."""
     near = min(near, len(pivots))
@@ -70,10 +120,7 @@ def _describe(vectors: DataFrame, pivots: np.ndarray, dim: int, near: int, posts
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                close = _unit(_matrix(part.column("v"), dim)).astype(np.float32) @ pivots.T
-                top = np.argpartition(-close, near - 1, axis=1)[:, :near]
-                order = np.argsort(-np.take_along_axis(close, top, axis=1), axis=1, kind="stable")
-                nearest = np.take_along_axis(top, order, axis=1).astype(np.int32)
+                nearest = _nearest(_unit(_matrix(part.column("v"), dim)), pivots, near)
                 posted = np.sort(nearest, axis=1)[:, :posts]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), part.column("v"), part.column("w"), pa.array(list(nearest), pa.list_(pa.int32())), pa.array(list(posted), pa.list_(pa.int32()))],
@@ -154,7 +201,8 @@ def embedding_links(
 
     n_links counts other vectors linked directly, component_id is the smallest id reachable
     by links, kept marks the row that bears it. Equal vectors are compared once, as one of
-    their number. All rows are indexed; only the pivots are a sample.
+    their number. All rows are indexed; only the pivots are a sample. ``near`` grows with the
+    pivots, see _widened().
 
     Defined cases: vectors that are null, empty, all zero or hold null or non-finite
     components link with nothing and are kept; a vector shorter than the longest counts as
@@ -180,6 +228,7 @@ def embedding_links(
     member = save(member.select("vec", "row", "id", "w"), "members")
     if count:
         pivots = _pivots(classes, count, dim)
+        near = _widened(_sample(classes, TRIALS, dim, 18), pivots, near, shared, threshold)
         described = save(_describe(classes, pivots, dim, near, max(1, near - shared + 1)), "described")
         posts = described.select("id", "v", "w", "nearest", F.explode("posted").alias("pivot"))
         sizes = described.select(F.explode("posted").alias("pivot")).groupBy("pivot").count()

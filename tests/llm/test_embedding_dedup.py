@@ -54,3 +54,20 @@ def test_awkward_vectors(spark):
     )
     assert embedding_links(df.limit(0)).count() == 0
     assert embedding_links(df.where("vec_id < 7")).count() == 6
+
+
+def test_recall_with_as_many_pivots_as_a_large_table_has(spark, monkeypatch):
+    """Pairs just above the threshold, described by 25,000 pivots (about 10 M rows)."""
+    rng = np.random.default_rng(5)
+
+    def unit(m):
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+    pivots = unit(rng.normal(size=(25_000, 64))).astype(np.float32)
+    monkeypatch.setattr(embedding_dedup, "_pivots", lambda *_: pivots)
+    a, b = unit(rng.normal(size=(600, 64))), rng.normal(size=(600, 64))
+    b = unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    vectors = np.stack([a, 0.901 * a + np.sqrt(1 - 0.901**2) * b], axis=1).reshape(-1, 64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = embedding_links(df).where("n_links > 0").count()
+    assert found >= 0.94 * len(vectors)
