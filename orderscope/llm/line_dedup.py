@@ -14,7 +14,8 @@ from orderscope.llm.common import save, table
 
 RATIO = 0.2
 BROADCAST_BYTES = 64 << 20  # of hosts and their boilerplate, sent to every executor at most
-MIN_PAGES = 5  # pages with the line, below which nothing is called boilerplate
+LEAST_PAGES = 2  # pages with the line: one page alone says nothing about its site
+MIN_PAGES = 5  # of op7_site_lines, as its SQL has it
 # Where a page's source breaks into lines: line ends and the tags that end a block.
 BREAKS = r"(?i)\r?\n|<br\s*/?>|</?(?:p|div|li|ul|ol|h[1-6]|tr|table|td|th|nav|header|footer|article|section|title|script|style|body|head|html|blockquote|pre)(?:\s[^>]*)?>"
 TAGS = r"<[^>]*>"
@@ -38,13 +39,13 @@ def drop_boilerplate(
     host: Column,
     lines: Column,
     ratio: float = RATIO,
-    min_pages: int = MIN_PAGES,
+    min_pages: int = LEAST_PAGES,
 ) -> DataFrame:
     """``pages`` with site (the host), site_pages, lines (all) and kept_lines.
 
     A line counts once for a page however often it is on it. It is dropped, everywhere on
     the host's pages, where pages with it / pages of the host > ratio and at least
-    ``min_pages`` pages have it. Counts are partial sums by (host, line), so neither a host
+    ``min_pages`` pages have it; a larger floor overrides the ratio on small hosts. Counts are partial sums by (host, line), so neither a host
     nor a line that a third of all pages have meets in one task; frequent lines are matched
     to pages on (page, line) hashes, not by collecting a host.
 
@@ -80,9 +81,10 @@ def drop_boilerplate(
 
 
 def op7_site_lines(spark, sf_dir):
-    """Query: every page with its lines counted before and after, and a digest of what stays."""
+    """Query: every page with its lines counted before and after, and a digest of what stays.
+    Its SQL calls nothing boilerplate below MIN_PAGES pages, so the query doesn't either."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    found = drop_boilerplate(pages, host_of(F.col("url")), lines_of(F.col("html")))
+    found = drop_boilerplate(pages, host_of(F.col("url")), lines_of(F.col("html")), min_pages=MIN_PAGES)
     return found.select(
         "page_id",
         F.col("site").alias("host"),

@@ -24,6 +24,16 @@ def test_against_brute_force(spark):
     assert [r["kept_lines"] for r in got] == brute(pages, 0.25, 3)
 
 
+def test_small_hosts_lose_their_menus(spark):
+    """Hosts of 1 to 12 pages, with a menu on all pages and a line on two of them."""
+    pages = [(f"h{n}", ["menu", f"own{n}-{i}"] + ["twice"] * (i < 2)) for n in range(1, 13) for i in range(n)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, host string, body array<string>")
+    got = drop_boilerplate(df, F.col("host"), F.col("body")).orderBy("page_id").collect()
+    assert [r["kept_lines"] for r in got] == brute(pages, 0.2, 2)
+    assert {r["site"] for r in got if "menu" in r["kept_lines"]} == {"h1"}
+    assert {r["site"] for r in got if "twice" in r["kept_lines"]} == {"h1", "h10", "h11", "h12"}
+
+
 def test_hosts_and_lines(spark):
     row = spark.createDataFrame(
         [("HTTPS://user@WWW.Example.org:8080/a?b#c", "<html><p>One  <b>two</b></p>\r\nthree<br/>four<div class='x'>five</div></html>")],
