@@ -101,7 +101,8 @@ def allot(largest: int, percent: int, set_count: int) -> tuple[int, int, int] |
 
 
 def signatures(tokens: np.ndarray, percent: int, set_count: int, widen: int | None = None) -> np.ndarray:
-    """The signatures of one set, in its own band and as a smaller partner in the next one."""
+    """The signatures of one set, in its own band and as a smaller partner in all larger ones
+    where a set can be similar enough: with percent over 67 that is at most the next one."""
     n = len(tokens)
     if n == 0:
         return np.empty(0, np.int64)
@@ -110,9 +111,9 @@ def signatures(tokens: np.ndarray, percent: int, set_count: int, widen: int | No
     out = []
     weight = _mix(tokens ^ _U(0xA5A5A5A5A5A5A5A5))
     with np.errstate(over="ignore"):
-        for b in (band, band + 1):
+        for b in range(band, len(starts) - 1):
             if b > band and 100 * n < percent * starts[b]:
-                continue
+                break
             plan = allot(starts[b + 1] - 1, percent, set_count)
             if plan is None:
                 continue

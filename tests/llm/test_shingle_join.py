@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from orderscope.llm.shingle_join import allot, join_components, keep_one_of_each, shingle_set
+from orderscope.llm.shingle_join import allot, join_components, keep_one_of_each, shingle_set, signatures
 
 
 def brute(docs, k, percent):
@@ -56,6 +56,21 @@ def test_a_band_is_allotted_enough_segments():
     assert allot(5000, 80, 10**10)[1] > 0  # very many sets: deletions pay
 
 
+def test_linked_sets_two_bands_apart():
+    """93 and 186 tokens, bands 63-93 and 141-210: the smaller set is half of the larger one."""
+    for seed in range(40):
+        words = [f"s{seed}w{i}" for i in range(186)]
+        few, many = (signatures(shingle_set(" ".join(x), 1), 50, 1000) for x in (words[:93], words))
+        assert set(few.tolist()) & set(many.tolist())
+
+
+def test_low_similarity_against_brute_force(spark):
+    words = [f"w{i}" for i in range(400)]
+    docs = [(n, " ".join(words[:n])) for n in (20, 45, 93, 186, 371, 400)]
+    got = join_components(spark.createDataFrame(docs, "doc_id long, text string"), 1, 50)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute(docs, 1, 50)
+
+
 def test_one_large_group_of_near_copies(spark):
     words = [f"c{i}" for i in range(300)]
     docs = [(i, " ".join([*words[:150], f"e{i}", *words[151:]])) for i in range(400)]
