@@ -243,9 +243,14 @@ def learn_lexicon(labelled: DataFrame, min_documents: int = 3, min_contexts: int
     def odds(t: float, c: float) -> float:
         return float(np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1)))
 
-    # Candidates: more toxic documents than min_odds asks for, the most frequent ones first.
+    # Candidates: more toxic documents than min_odds asks for, on evidence beyond chance; the
+    # ones with the most evidence first.
     rate = (F.col("toxic") + 0.5) / (toxic + 1.0) * (clean + 1.0) / (F.col("clean") + 0.5)
     likely = (F.col("toxic") >= min_documents) & (rate >= float(np.exp(min_odds)))
+    parts = [
+        F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (F.col("toxic") + F.col("clean")) / F.lit(float(p)))).otherwise(0.0)
+        for k, p in (("toxic", share), ("clean", 1 - share))
+    ]
     stems = counts.where(F.length("word") >= 5).withColumn(
         "stem", F.explode(F.expr("transform(sequence(4, least(6, length(word) - 1)), i -> substring(word, 1, i))"))
     )
@@ -256,11 +261,13 @@ def learn_lexicon(labelled: DataFrame, min_documents: int = 3, min_contexts: int
         counts.where(likely)
         .select("word", F.lit(False).alias("is_stem"), "toxic", "clean")
         .union(stems.where(likely & (F.col("forms") >= 3)).select(F.col("stem").alias("word"), F.lit(True), "toxic", "clean"))
-        .orderBy(F.desc("toxic"), "word", "is_stem")
+        .withColumn("evidence", parts[0] + parts[1])
+        .where(F.col("evidence") >= chance)
+        .orderBy(F.desc("evidence"), "word", "is_stem")
         .limit(4 * MAX_LEXICON)
         .collect()
     )
-    clean_of = {(r["word"], r["is_stem"]): r["clean"] for r in found if evidence(r["toxic"], r["clean"]) >= chance}
+    clean_of = {(r["word"], r["is_stem"]): r["clean"] for r in found}
     whole = {w for w, s in clean_of if not s}
     stem = {w for w, s in clean_of if s}
 

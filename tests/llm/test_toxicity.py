@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from orderscope.llm import toxicity
 from orderscope.llm.queries import QUERIES
 from orderscope.llm.toxicity import KINDS, PRIOR, Model, Reader, learn_lexicon, reject_toxic, score_documents, train
 
@@ -52,6 +53,19 @@ def test_reader_equals_a_scan_of_every_clause():
         assert sorted(reader(text)) == sorted(slow(text))
 
 
+def test_a_bounded_lexicon_keeps_the_words_with_most_evidence(spark, monkeypatch):
+    """Five frequent words that clean texts use too, and a rarer one that they never use."""
+    monkeypatch.setattr(toxicity, "MAX_LEXICON", 1)
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("bcdefgh", k=8))
+    texts = [(w, 1, 60) for w in ("weakb", "weakc", "weakd", "weake", "weakf")] + [("aaargle", 1, 40)]
+    texts += [(w, 0, 40) for w in ("weakb", "weakc", "weakd", "weake", "weakf")]
+    rows = [(f"{word()} {w} {word()}", toxic) for w, toxic, n in texts for _ in range(n)]
+    rows += [(f"{word()} {word()}", 0) for _ in range(3000)]
+    words = [w for w, _, _ in learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))]
+    assert words == ["aaargle"]
+
+
 def test_lexicon_ignores_words_of_copied_sentences(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choices("abcdefgh", k=6))
