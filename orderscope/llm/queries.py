@@ -17,26 +17,20 @@ from orderscope.llm import (
     token_file,
     toxicity,
 )
-from orderscope.llm.common import table, text_bytes
-from orderscope.llm.sharding import histogram_sort
+from orderscope.llm.common import save, table, text_bytes
+from orderscope.llm.sharding import shard_documents
 from orderscope.llm.shingle_join import join_components
 
 SHARDS = 40
 
 
 def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in shards of near equal bytes. Only the digests are moved."""
-    docs = table(spark, sf_dir, "documents").select(
+    """All documents, whole, in shards of near equal bytes; digests of what was written."""
+    placed = save(shard_documents(table(spark, sf_dir, "documents"), SHARDS), "sharded")
+    return placed.select(
         "doc_id",
         (text_bytes(F.col("text")) + 16).alias("size"),
         F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"),
-        F.xxhash64("text").alias("text_hash"),
-    )
-    placed = histogram_sort(docs, SHARDS, F.col("size"), [F.col("text_hash")], [F.col("doc_id")])
-    return placed.select(
-        "doc_id",
-        "size",
-        "text_crc32",
         F.lit("bytes").alias("law"),
         F.col("shard").cast("int").alias("shard"),
         "slot",

@@ -4,6 +4,8 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from orderscope.llm import queries
+from orderscope.llm.common import save
 from orderscope.llm.queries import QUERIES
 from orderscope.llm.sharding import histogram_sort, shard_documents
 
@@ -65,3 +67,16 @@ def test_query(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
     assert {r["law"] for r in rows} == {"bytes"} and {r["grown_shard"] for r in rows} == {None}
+
+
+def test_query_shards_whole_documents(spark, monkeypatch):
+    """What the query reports is what shard_documents() wrote, texts included."""
+    written = []
+    monkeypatch.setattr(queries, "save", lambda df, name: written.append(save(df, name)) or written[-1], raising=False)
+    rows = QUERIES["op1_histogram_sort"](spark, SF_SMALL).collect()
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    (out,) = written
+    assert set(out.columns) == {*docs.columns, "shard", "slot"}
+    assert sorted(out.select(*docs.columns).collect(), key=str) == sorted(docs.collect(), key=str)
+    place = lambda rows: sorted((r["doc_id"], r["shard"], r["slot"]) for r in rows)
+    assert place(rows) == place(out.collect())
