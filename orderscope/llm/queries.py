@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderscope.llm import (
+    conversation_repair,
     decontamination,
     embedding_dedup,
     language_model,
+    lexical_search,
     line_dedup,
     mixing,
+    quality,
     token_counts,
     token_file,
     toxicity,
@@ -54,10 +57,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pigeonhole_join": op8_pigeonhole_join,
     "op9_maxent": language_model.op9_maxent,
     "op10_winnowing": decontamination.op10_winnowing,
+    "op11_run_length": conversation_repair.op11_run_length,
+    "op12_best_position": lexical_search.op12_best_position,
+    "op13_positive_unlabelled": quality.op13_positive_unlabelled,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_raking": mixing.oracle(),
     "op7_site_lines": line_dedup.oracle(),
     "op10_winnowing": decontamination.ORACLE,
+    "op12_best_position": lexical_search.ORACLE,
 }
