@@ -10,12 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderscope.llm.common import save, table
+from orderscope.llm.common import save, table, unused
 
 RATIO = 0.2
 BROADCAST_BYTES = 64 << 20  # of hosts and their boilerplate, sent to every executor at most
 LEAST_PAGES = 2  # pages with the line: one page alone says nothing about its site
-MIN_PAGES = 5  # of op7_site_lines, as its SQL has it
 # Where a page's source breaks into lines: line ends and the tags that end a block.
 BREAKS = r"(?i)\r?\n|<br\s*/?>|</?(?:p|div|li|ul|ol|h[1-6]|tr|table|td|th|nav|header|footer|article|section|title|script|style|body|head|html|blockquote|pre)(?:\s[^>]*)?>"
 TAGS = r"<[^>]*>"
@@ -34,6 +33,11 @@ def lines_of(html: Column) -> Column:
     return F.filter(clean, lambda x: x != "")
 
 
+def _line_hash(line: Column) -> Column:
+    """128 bits of a line."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
+
+
 def drop_boilerplate(
     pages: DataFrame,
     host: Column,
@@ -45,46 +49,51 @@ def drop_boilerplate(
 
     A line counts once for a page however often it is on it. It is dropped, everywhere on
     the host's pages, where pages with it / pages of the host > ratio and at least
-    ``min_pages`` pages have it; a larger floor overrides the ratio on small hosts. Counts are partial sums by (host, line), so neither a host
-    nor a line that a third of all pages have meets in one task; frequent lines are matched
-    to pages on (page, line) hashes, not by collecting a host.
+    ``min_pages`` pages have it; a floor above two overrides the ratio on small hosts. Pages
+    are cut into lines once and written; 128-bit hashes of the lines are counted, as partial
+    sums by (host, hash), so neither a host nor a line that a third of all pages have meets
+    in one task. A page is matched to its host's boilerplate by hash sets.
 
     Defined cases: null lines mean a page without lines; a null host is the host "";
     empty pages count for the host's total; repeated rows are pages of their own; an empty
     table gives no rows; columns of these names are replaced.
     """
-    rows = pages.drop("site", "site_pages", "lines", "kept_lines")
+    rows = pages.drop("site_pages", "kept_lines")
     rows = rows.withColumns({"site": F.coalesce(host, F.lit("")), "lines": F.coalesce(lines, F.array().cast("array<string>"))})
-    narrow = rows.select("site", F.array_distinct("lines").alias("lines"))
-    totals = save(narrow.groupBy("site").agg(F.count(F.lit(1)).alias("site_pages")), "sites")
-    counted = narrow.select("site", F.explode("lines").alias("line")).groupBy("site", "line").agg(F.count(F.lit(1)).alias("n"))
+    rows = save(rows, "lines")
+    totals = save(rows.groupBy("site").agg(F.count(F.lit(1)).alias("site_pages")), "sites")
+    hashes = F.transform("lines", _line_hash)
+    counted = rows.select("site", F.explode(F.array_distinct(hashes)).alias("h")).groupBy("site", "h").agg(F.count(F.lit(1)).alias("n"))
+    boilerplate = unused(rows, "boilerplate")
     common = (
         counted.where(F.col("n") >= min_pages)
         .join(totals, "site")
         .where(F.col("n") > F.lit(ratio) * F.col("site_pages"))
         .groupBy("site")
-        .agg(F.collect_list("line").alias("boilerplate"))
+        .agg(F.collect_list("h").alias(boilerplate))
     )
     # A host has few lines above the ratio: each page holds its own lines only, so there are
     # at most (mean lines of a page) / ratio of them.
     sites = save(totals.join(common, "site", "left"), "boilerplate")
-    size = sites.agg(F.sum(64 + F.coalesce(F.length(F.array_join("boilerplate", "")), F.lit(0)))).first()[0] or 0
+    size = sites.agg(F.sum(64 + 16 * F.greatest(F.size(boilerplate), F.lit(0)))).first()[0] or 0
     if size <= BROADCAST_BYTES:  # else the pages are joined by shuffle
         sites = F.broadcast(sites)
+    on_page = F.array_intersect(hashes, boilerplate)  # few, and by hash: long pages and lists stay linear
     return (
         rows.join(sites, "site")
-        .withColumn("kept_lines", F.when(F.col("boilerplate").isNull(), F.col("lines")).otherwise(
-            F.filter("lines", lambda x: ~F.array_contains("boilerplate", x))
+        .withColumn(boilerplate, F.when(F.col(boilerplate).isNotNull(), on_page))
+        .withColumn("kept_lines", F.when(F.coalesce(F.size(boilerplate) <= 0, F.lit(True)), F.col("lines")).otherwise(
+            F.filter("lines", lambda x: ~F.array_contains(boilerplate, _line_hash(x)))
         ))
-        .drop("boilerplate")
+        .drop(boilerplate)
     )
 
 
 def op7_site_lines(spark, sf_dir):
-    """Query: every page with its lines counted before and after, and a digest of what stays.
-    Its SQL calls nothing boilerplate below MIN_PAGES pages, so the query doesn't either."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    found = drop_boilerplate(pages, host_of(F.col("url")), lines_of(F.col("html")), min_pages=MIN_PAGES)
+    """Query: every page with its lines counted before and after, and a digest of what stays."""
+    pages = table(spark, sf_dir, "pages")
+    pages = pages.select("page_id", host_of(F.col("url")).alias("site"), lines_of(F.col("html")).alias("lines"))
+    found = drop_boilerplate(pages, F.col("site"), F.col("lines"))
     return found.select(
         "page_id",
         F.col("site").alias("host"),
@@ -108,7 +117,7 @@ t AS (SELECT host, count(*) AS site_pages FROM p GROUP BY host),
 c AS (SELECT host, line, count(*) AS n FROM (SELECT host, r, unnest(list_distinct(lines)) AS line FROM p) GROUP BY host, line),
 b AS (
   SELECT host, list(line) AS boilerplate FROM c JOIN t USING (host)
-  WHERE n >= {MIN_PAGES} AND n > {RATIO} * site_pages GROUP BY host),
+  WHERE n >= {LEAST_PAGES} AND n > {RATIO} * site_pages GROUP BY host),
 k AS (
   SELECT page_id, host, site_pages, lines,
     CASE WHEN boilerplate IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(boilerplate, x)) END AS kept

@@ -2,9 +2,12 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 
-from pyspark.sql import functions as F
-
+import duckdb
+from conftest import SF_SMALL
+from orderscope.llm import line_dedup
 from orderscope.llm.line_dedup import drop_boilerplate, host_of, lines_of
+from orderscope.llm.queries import ORACLE_SQL, QUERIES
+from pyspark.sql import functions as F
 
 
 def brute(pages, ratio, least):
@@ -52,3 +55,23 @@ def test_awkward_rows(awkward, nothing):
     assert by[10]["site"] == "" and by[10]["site_pages"] == 1
     assert by[1]["lines"] == [] and by[1]["kept_lines"] == [] and by[1]["site_pages"] == 11
     assert drop_boilerplate(nothing, F.col("source"), lines).count() == 0
+
+
+def test_clashing_names_and_shuffled_hosts(spark, monkeypatch):
+    pages = [(f"h{i % 3}", ["menu", f"own{i}"], "user's") for i in range(30)]
+    df = spark.createDataFrame(pages, "host string, body array<string>, boilerplate string")
+    want = [[line] for _, (_, line), _ in pages]
+    for bound in (line_dedup.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", bound)
+        got = drop_boilerplate(df, F.col("host"), F.col("body")).collect()
+        assert sorted(r["kept_lines"] for r in got) == sorted(want)
+        assert {r["boilerplate"] for r in got} == {"user's"}
+
+
+def test_query(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF_SMALL}/pages.parquet'")
+    rows = sorted(tuple(r) for r in QUERIES["op7_site_lines"](spark, SF_SMALL).collect())
+    assert rows == sorted(con.execute(ORACLE_SQL["op7_site_lines"]).fetchall())
+    small = [r for r in rows if 2 <= r[2] <= 4]
+    assert small and any(r[4] < r[3] for r in small)  # hosts of two to four pages lose lines too
