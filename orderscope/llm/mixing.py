@@ -7,31 +7,48 @@ kept with the probability that its cell's fitted share over its observed share a
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderscope.llm.common import save, table
+from orderscope.llm.common import save, table, unused
 
 NONE = "(none)"  # the cell of rows without a value
-WORD = r"[^\x20\x09-\x0D]+"
+SPACES = "\t\n\x0b\x0c\r"  # these and U+0020 part words
+LEGAL = ("license", "licence", "copyright", "warranty")
 BROADCAST_CELLS = 100_000
+SALTS = 16  # parts of a cell's documents where cells are joined by shuffle
 # Share of each dimension's values: tokens ** exponent, normalised. 1 keeps the corpus as it
 # is, 0 makes all values equal.
 EXPONENTS = {"source": 0.8, "lang": 0.9, "topic": 0.95}
-SWEEPS = 8
-LEAST_SHARE = 0.01  # of op6_raking, as its SQL has it: cells below it don't hold back the sampling rate of all others
+RESIDUAL = 1e-10  # raking ends when no marginal is off by more, as a share of its target
+MOST_SWEEPS = 100  # to targets that are given and must be met
+TEMPERED_SWEEPS = 12  # at most to tempered targets: in a tiny corpus those may contradict one another
+
+
+def _without(text: Column, parts) -> Column:
+    return reduce(lambda t, part: F.replace(t, F.lit(part), F.lit("")), parts, text)
 
 
 def token_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """Words between spaces, by plain replacements: runs of spaces become one space, and there is
+    a word more than there are spaces between words."""
+    # U+0001 marks the spaces to squeeze; as a character of the text it is part of a word
+    plain = F.replace(F.coalesce(text, F.lit("")), F.lit("\x01"), F.lit("x"))
+    spaced = F.trim(reduce(lambda t, space: F.replace(t, F.lit(space), F.lit(" ")), SPACES, plain))
+    squeezed = F.replace(F.replace(F.replace(spaced, F.lit(" "), F.lit(" \x01")), F.lit("\x01 "), F.lit("")), F.lit("\x01"), F.lit(""))
+    spaces = F.octet_length(squeezed) - F.octet_length(F.replace(squeezed, F.lit(" "), F.lit("")))
+    return F.when(squeezed == "", 0).otherwise(spaces + 1).cast("long")
 
 
 def topic_of(text: Column, tokens: Column) -> Column:
     """A plain topic for corpora that carry none: legal, data, note, article or essay."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    digits = F.length(F.regexp_replace(low, "[^0-9]", ""))
+    digits = F.octet_length(low) - F.octet_length(_without(low, "0123456789"))
     return (
-        F.when(low.rlike("license|licence|copyright|warranty"), "legal")
+        F.when(reduce(lambda a, b: a | b, [low.contains(w) for w in LEGAL]), "legal")
         .when(digits * 20 > F.length(low), "data")
         .when(tokens < 100, "note")
         .when(tokens < 500, "article")
@@ -45,27 +62,49 @@ def unit_draw(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], weight: str, sweeps: int) -> DataFrame:
+def _off(cells: DataFrame, targets: dict[str, DataFrame], weight: str) -> float:
+    """By how much the marginals are off, as a share of their targets at most."""
+    found = [
+        cells.groupBy(name).agg(F.sum(weight).alias("have")).join(target, name).where("target > 0").agg(F.max(F.abs(F.col("have") / F.col("target") - 1)).alias("off"))
+        for name, target in list(targets.items())[: max(1, len(targets) - 1)]  # the last one was scaled last, so it is met
+    ]
+    return reduce(DataFrame.unionByName, found).agg(F.max("off")).first()[0] or 0.0
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], weight: str, residual: float, most_sweeps: int) -> tuple[DataFrame, float]:
     """``cells`` with ``weight`` scaled to the target shares (column ``target``) of each
-    dimension in turn. Each step is a partial sum over the cells and a join; it is written
-    out, so the plan stays short however many sweeps there are."""
-    for _ in range(sweeps):
+    dimension in turn, until no marginal is off by more than ``residual`` or ``most_sweeps``
+    are over; and by how much a marginal is off at most. Targets may contradict the cells: a
+    value's only cell may be another's only one.
+
+    Each step is a partial sum over the cells and a join; a sweep is written out, so the plan
+    stays short however many there are.
+    """
+    off = 0.0
+    for _ in range(most_sweeps):
         for name, target in targets.items():
             total = cells.groupBy(name).agg(F.sum(weight).alias("_sum")).join(target, name)
-            cells = save(
-                cells.join(total, name)
-                .withColumn(weight, F.col(weight) * F.col("target") / F.col("_sum"))
-                .drop("_sum", "target"),
-                "raked",
-            )
-    return cells
+            cells = cells.join(total, name).withColumn(weight, F.col(weight) * F.col("target") / F.col("_sum")).drop("_sum", "target")
+        cells = save(cells, "raked")
+        off = _off(cells, targets, weight)
+        if off <= residual:
+            break
+    return cells, off
 
 
 def tempered(cells: DataFrame, name: str, exponent: float) -> DataFrame:
     """(value, target): shares in proportion to tokens ** exponent."""
-    sums = cells.groupBy(name).agg(F.pow(F.sum("tokens").cast("double"), F.lit(exponent)).alias("_t"))
-    whole = sums.agg(F.sum("_t").alias("_all"))
-    return save(sums.join(F.broadcast(whole)).select(name, (F.col("_t") / F.col("_all")).alias("target")), "targets")
+    sums = save(cells.groupBy(name).agg(F.pow(F.sum("tokens").cast("double"), F.lit(exponent)).alias("_t")), "sums")
+    return save(sums.select(name, (F.col("_t") / sums.select(F.sum("_t")).scalar()).alias("target")), "targets")
+
+
+def checked_targets(shares: dict[str, float]) -> dict[str, float]:
+    """Shares that add up to 1. Raises ValueError for negative, non-finite or all-zero ones."""
+    shares = {str(k): float(v) for k, v in shares.items()}
+    if not all(math.isfinite(v) and v >= 0 for v in shares.values()) or not sum(shares.values()) > 0:
+        raise ValueError(f"target shares must be finite, not negative, and not all zero: {shares}")
+    whole = math.fsum(shares.values())
+    return {k: v / whole for k, v in shares.items()}
 
 
 def mix_documents(
@@ -74,76 +113,89 @@ def mix_documents(
     tokens: Column,
     exponents: dict[str, float] | None = None,
     targets: dict[str, dict[str, float]] | None = None,
-    sweeps: int = SWEEPS,
-    least_share: float = 0.0,
+    keep: list[str] | None = None,
+    residual: float = RESIDUAL,
 ) -> DataFrame:
     """``docs`` with mix_tokens, one mix_<dimension> column each, mix_probability and mix_kept.
 
     Targets are shares by value (``targets[dimension]``), or tempered from the corpus by
     ``exponents``. Sampling keeps as much as it can without repeating a document: the cell
-    most in demand has probability 1, so the expected marginals are the targets. With
-    ``least_share``, cells below that share of the tokens do not count for this: more is
-    kept, but those of them in higher demand get probability 1 and miss their targets. The
-    draw depends on doc_id alone, so it is repeatable and equal for repeated rows.
+    most in demand has probability 1, so the expected marginals are the targets. The draw
+    depends on doc_id alone, so it is repeatable and equal for repeated rows. ``keep`` names
+    the columns of ``docs`` to return, by default all. Texts are parsed once: what is counted
+    and what is returned are the same written rows.
 
     Defined cases: a null dimension value is the value "(none)"; texts without tokens add
     nothing to the marginals, and a cell of only such texts is kept whole; a value without
-    a target share keeps none of its rows; an empty table gives no rows; columns of
-    these names are replaced.
+    a target share, or with one of 0, keeps none of its rows; a value with a share but no
+    tokens raises ValueError, as do shares that are negative, not finite or all zero, or that
+    cannot all be met; tempered targets that contradict one another, as in a handful of rows,
+    are met as nearly as TEMPERED_SWEEPS get; an empty table gives no rows; columns of these names are replaced.
     """
     spark = docs.sparkSession
     names = {k: f"mix_{k}" for k in dimensions}
     added = {v: F.coalesce(dimensions[k].cast("string"), F.lit(NONE)) for k, v in names.items()}
-    rows = docs.drop("mix_tokens", "mix_probability", "mix_kept", *added).withColumns(added | {"mix_tokens": tokens})
     dims = list(names.values())
-    cells = save(
-        rows.where("mix_tokens > 0").groupBy(*dims).agg(F.sum("mix_tokens").alias("tokens")), "cells"
-    )
-    goal = {}
+    held = docs.drop("mix_tokens", "mix_probability", "mix_kept", *dims)
+    mix_id = unused(held, "mix_id")
+    wanted = [c for c in (keep or held.columns) if c in held.columns]
+    counted = docs.withColumn("mix_tokens", tokens).withColumns(added)
+    rows = save(counted.select(*wanted, F.col("doc_id").alias(mix_id), "mix_tokens", *dims), "counted")
+    cells = save(rows.where("mix_tokens > 0").groupBy(*dims).agg(F.sum("mix_tokens").alias("tokens")), "cells")
+    goal, seen = {}, cells
     for k, column in names.items():
         if targets and k in targets:
-            pairs = [(str(v), float(s)) for v, s in targets[k].items()]
+            pairs = list(checked_targets(targets[k]).items())
             goal[column] = spark.createDataFrame(pairs, f"{column} string, target double")
+            missing = goal[column].where("target > 0").join(cells.select(column).distinct(), column, "left_anti")
+            if not cells.isEmpty() and not missing.isEmpty():
+                raise ValueError(f"no tokens for a target of {k}: {missing.first()[0]}")
+            seen = seen.join(goal[column].where("target > 0").select(column), column, "left_semi")
         else:
             goal[column] = tempered(cells, column, (exponents or EXPONENTS)[k])
-    whole = cells.agg(F.sum("tokens").alias("_all"))
-    share = (F.col("tokens").cast("double") / F.col("_all")).alias("_seen")
-    start = save(cells.join(F.broadcast(whole)).select(*dims, share, share.alias("_w")), "cells")
-    fitted = rake(start, goal, "_w", sweeps).withColumn("_mix_ratio", F.col("_w") / F.col("_seen"))
-    top = fitted.agg(F.coalesce(F.max(F.when(F.col("_seen") >= least_share, F.col("_mix_ratio"))), F.max("_mix_ratio")).alias("_mix_top"))
-    chance = save(
-        fitted.join(F.broadcast(top)).select(
-            *dims, F.round(F.least(F.lit(1.0), F.col("_mix_ratio") / F.col("_mix_top")), 9).alias("_mix_chance")
-        ),
-        "chances",
-    )
-    # a value left out of given targets has no fitted cell, and so no chance
-    known = start.select(*dims).join(chance, dims, "left").select(*dims, F.coalesce("_mix_chance", F.lit(0.0)).alias("_mix_chance"))
-    known = F.broadcast(known) if start.count() <= BROADCAST_CELLS else known
+    share = F.col("tokens").cast("double") / cells.select(F.sum("tokens")).scalar()
+    start = save(seen.select(*dims, share.alias("_seen"), share.alias("_w")), "cells")
+    fitted, off = rake(start, goal, "_w", residual, MOST_SWEEPS if targets else TEMPERED_SWEEPS)
+    if targets and off > residual:
+        raise ValueError(f"raking does not converge: a marginal is off by {off:.2g} of its target")
+    fitted = save(fitted.withColumn("_ratio", F.col("_w") / F.col("_seen")), "fitted")
+    top = fitted.select(F.max("_ratio")).scalar()
+    chance = unused(rows, "mix_chance")
+    known = cells.select(*dims).join(fitted, dims, "left")  # a value without a target has no chance
+    ratio = F.when(F.col("_ratio").isNull(), 0.0).otherwise(F.round(F.least(F.lit(1.0), F.col("_ratio") / top), 9))
+    known = known.select(*dims, ratio.alias(chance))
+    known = save(known, "chances")
+    if known.count() <= BROADCAST_CELLS:
+        rows = rows.join(F.broadcast(known), dims, "left")
+    else:  # by shuffle, with the documents of a cell dealt out
+        salt = unused(rows, "mix_salt")
+        known = known.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = rows.withColumn(salt, F.pmod(F.xxhash64(mix_id), F.lit(SALTS)).cast("int"))
+        rows = dealt.join(known, [*dims, salt], "left").drop(salt)
     return (
-        rows.join(known, dims, "left")
-        .withColumn("mix_probability", F.coalesce("_mix_chance", F.lit(1.0)))
-        .withColumn("mix_kept", unit_draw(F.col("doc_id")) < F.col("mix_probability"))
-        .drop("_mix_chance")
+        rows.withColumn("mix_probability", F.coalesce(chance, F.lit(1.0)))
+        .withColumn("mix_kept", unit_draw(F.col(mix_id)) < F.col("mix_probability"))
+        .drop(chance, mix_id)
     )
 
 
-def mix_corpus(docs: DataFrame, least_share: float = 0.0) -> DataFrame:
+def mix_corpus(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """mix_documents() over source, language and topic with the production exponents."""
-    tokens = token_count(F.col("text"))
-    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(F.col("text"), tokens)}
-    return mix_documents(docs, dims, tokens, least_share=least_share)
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(F.col("text"), F.col("mix_tokens"))}
+    return mix_documents(docs, dims, token_count(F.col("text")), keep=keep)
 
 
 def sample_mix(docs: DataFrame) -> DataFrame:
-    """The documents that the mix keeps, columns as they are."""
-    return mix_corpus(docs).where("mix_kept").select(*docs.columns)
+    """The documents that the mix keeps, columns as they are. A column of ``docs`` named as one
+    that mix_documents() adds is kept too. Defined cases as there."""
+    clash = {c: unused(docs, f"kept_{c}") for c in docs.columns if c.startswith("mix_")}
+    mixed = mix_corpus(docs.withColumnsRenamed(clash)).where("mix_kept")
+    return mixed.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
 
 
 def op6_raking(spark, sf_dir):
-    """Query: every document with its cell, its probability and whether it is kept. Its SQL
-    leaves small cells out of the sampling rate, so the query does too; sample_mix() doesn't."""
-    return mix_corpus(table(spark, sf_dir, "documents"), LEAST_SHARE).select(
+    """Query: every document with its cell, its probability and whether it is kept."""
+    return mix_corpus(table(spark, sf_dir, "documents"), ["doc_id"]).select(
         "doc_id",
         F.col("mix_source").alias("source"),
         F.col("mix_lang").alias("lang"),
@@ -159,10 +211,10 @@ def oracle(docs: str = "documents") -> str:
     out = [
         f"""WITH raw AS (
   SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, coalesce(text, '') AS text,
-    len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS n_tokens FROM {docs}),
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens FROM {docs}),
 d AS (
   SELECT doc_id, source, lang, n_tokens, CASE
-    WHEN regexp_matches(lower(text), 'license|licence|copyright|warranty') THEN 'legal'
+    WHEN regexp_matches(lower(text), '{'|'.join(LEGAL)}') THEN 'legal'
     WHEN length(regexp_replace(lower(text), '[^0-9]', '', 'g')) * 20 > length(lower(text)) THEN 'data'
     WHEN n_tokens < 100 THEN 'note' WHEN n_tokens < 500 THEN 'article' ELSE 'essay' END AS topic FROM raw),
 c AS (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM d WHERE n_tokens > 0 GROUP BY ALL),
@@ -173,7 +225,7 @@ k AS MATERIALIZED (SELECT source, lang, topic, tokens * 1.0::DOUBLE / sum(tokens
             f"t_{name} AS (SELECT {name}, pow(sum(tokens)::DOUBLE, {e}) AS x, x / sum(x) OVER () AS target FROM c GROUP BY {name})"
         )
     last, n = "k", 0
-    for _ in range(SWEEPS):
+    for _ in range(TEMPERED_SWEEPS):
         for name in EXPONENTS:
             n += 1
             out.append(
@@ -183,8 +235,7 @@ k AS MATERIALIZED (SELECT source, lang, topic, tokens * 1.0::DOUBLE / sum(tokens
             last = f"k{n}"
     out.append(
         f"""p AS (
-  SELECT source, lang, topic, round(least(1.0, w{n} / seen / (
-    SELECT coalesce(max(w{n} / seen) FILTER (WHERE seen >= {LEAST_SHARE}), max(w{n} / seen)) FROM {last})), 9) AS chance FROM {last})"""
+  SELECT source, lang, topic, round(least(1.0, w{n} / seen / (SELECT max(w{n} / seen) FROM {last})), 9) AS chance FROM {last})"""
     )
     return (
         ",\n".join(out)
