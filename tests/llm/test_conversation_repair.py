@@ -8,7 +8,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
-from conftest import SF_SMALL
+from llm_cases import SF_SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from orderscope.llm import conversation_repair as C

@@ -8,7 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
-from conftest import LONG, SF_SMALL
+from llm_cases import LONG, SF_SMALL
 from orderscope.llm import lexical_search as S
 from orderscope.llm.queries import ORACLE_SQL, QUERIES
 

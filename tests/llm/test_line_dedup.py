@@ -3,7 +3,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 
 import duckdb
-from conftest import SF_SMALL
+from llm_cases import SF_SMALL
 from orderscope.llm import line_dedup
 from orderscope.llm.line_dedup import drop_boilerplate, host_of, lines_of
 from orderscope.llm.queries import ORACLE_SQL, QUERIES

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import duckdb
 import pytest
-from conftest import SF_SMALL
+from llm_cases import SF_SMALL
 from orderscope.llm import mixing
 from orderscope.llm.mixing import EXPONENTS, mix_corpus, mix_documents, sample_mix, token_count
 from orderscope.llm.queries import ORACLE_SQL, QUERIES

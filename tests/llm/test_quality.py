@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import LONG
+from llm_cases import LONG
 from orderscope.llm import quality as Q
 from orderscope.llm.queries import QUERIES
 
