@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from conftest import SF_CHECK
+from builders import SF_CHECK
 from orderscope.plans.commerce import MATERIALIZED
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
+from builders import SF_SMALL
 from orderscope.testing.compare import compare, duckdb_connection
 
 SQL = entry.oracle_sql()

@@ -7,7 +7,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
+from builders import SF_SMALL
 from orderscope.plans.commerce import MATERIALIZED, OPERATOR_NAMES, CommerceModel
 from orderscope.testing.adapter import adapt_tables
 from orderscope.testing.plans import plan_text, summarize

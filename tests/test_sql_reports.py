@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from orderscope.plans.commerce import MATERIALIZED
 from orderscope.plans.sql_reports import MODEL_VIEWS, REPORT_VIEWS, register_views
 
-from conftest import SF_SMALL
+from builders import SF_SMALL
 
 
 @pytest.fixture(scope="module")
