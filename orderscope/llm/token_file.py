@@ -17,8 +17,8 @@ import io
 import struct
 import uuid
 import zlib
-from array import array
 from functools import lru_cache
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +32,12 @@ from tokenizers import Tokenizer
 
 from orderscope.llm.common import save, shuffle_partitions, table
 from orderscope.llm.token_counts import vocabulary
-from orderscope.llm.token_units import PLAIN, Cache, byte_letters, split_units, text_slices
+from orderscope.llm.token_units import PLAIN, byte_letters, split_units, text_slices
 from orderscope.session import scratch_path
 
 MAGIC = b"PLN1"
 BLOCK_IDS = 1 << 16
+CACHE_PIECES = 600_000  # pre-tokens whose ids a worker holds
 FOOTER = struct.Struct("<QQQQ4s")  # documents: offset, size; chunk index: offset, size; magic
 CHUNKS = pa.schema([("first", pa.int64()), ("ids", pa.int32()), ("offset", pa.int64()), ("planes", pa.list_(pa.int32()))])
 END_ID = 0
@@ -161,38 +162,96 @@ class Reader:
 # -- encoding -----------------------------------------------------------------------------
 
 
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, one run after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+class Pieces:
+    """The ids of pre-tokens, in one array; each is merged once, until too many are held."""
+
+    def __init__(self, merge):
+        self.merge = merge
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.ids, self.size, self.start = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.spaced = np.empty(0, bool)  # whether a piece begins with a space
+
+    def __call__(self, pieces: list[str]) -> np.ndarray:
+        """The numbers of pieces, valid until the next call."""
+        if len(self.index) > CACHE_PIECES:
+            self.clear()
+        index = self.index
+        new = list(set(pieces).difference(index))
+        if new:
+            found = self.merge(new)
+            index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
+            self.size = np.concatenate([self.size, np.fromiter(map(len, found), np.int64, len(found))])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32)])
+            self.start = np.cumsum(self.size) - self.size
+            self.spaced = np.concatenate([self.spaced, np.array([p[0] == " " for p in new])])
+        return np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
+
+
 class Encoder:
     """Ids of whole texts, as the library gives them for a byte-level BPE, with an end id.
 
     The pre-token pattern lets a space go with the word after it, so a text may be cut
     before each single space that has a character other than white space on either side.
-    Texts that cannot be cut so everywhere go to the library whole.
+    Texts that cannot be cut so everywhere go to the library whole. Of a slice of texts the
+    distinct units are cut into pre-tokens together, as one text, and only pre-tokens never
+    seen are merged.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.cache, self.pieces = Cache(), Cache()
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
-
-    def _merge(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", [t.id for t in self.model.tokenize(byte_letters(p))]).tobytes() for p in pieces]
-
-    def _encode(self, units: list[str]) -> list[bytes]:
-        cut = {u: PRETOKEN.findall(u) for u in units if PLAIN.fullmatch(u) and "<|" not in u}
-        self.pieces.fill({p for ps in cut.values() for p in ps}, self._merge)
-        odd = [u for u in units if u not in cut]
-        ids = dict(zip(odd, self._whole(odd), strict=True))
-        for u, ps in cut.items():
-            ids[u] = self.pieces[ps[0]] if len(ps) == 1 else b"".join([self.pieces[p] for p in ps])
-        return [ids[u] for u in units]
-
-    def _look_up(self, texts: list[str]) -> list[bytes]:
-        self.cache.fill(dict.fromkeys(texts), self._encode)
-        return [self.cache[t] for t in texts]
+        self.pieces = Pieces(self._merge)
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _merge(self, pieces: list[str]) -> list[list[int]]:
+        tokenize = self.model.tokenize
+        # no piece holds U+0000: PLAIN has none
+        return [[t.id for t in tokenize(p)] for p in byte_letters("\0".join(pieces)).split(byte_letters("\0"))]
+
+    def _units(self, units: list[str], solid: np.ndarray, heads: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids) of the units, each after a space, and then of the heads as they are.
+        ``solid`` units begin and end with other than white space."""
+        joined = " " + " ".join(units if solid.all() else list(compress(units, solid)))
+        if not PLAIN.fullmatch(joined) or "<|" in joined:
+            solid = np.array([s and PLAIN.fullmatch(u) is not None and "<|" not in u for u, s in zip(units, solid, strict=True)], bool)
+            joined = " " + " ".join(compress(units, solid))
+        pieces = PRETOKEN.findall(joined) if solid.any() else []
+        others = [(i, " " + units[i]) for i in np.flatnonzero(~solid).tolist()] + [(len(units) + i, u) for i, u in enumerate(heads)]
+        odd = {i: u for i, u in others if not PLAIN.fullmatch(u) or "<|" in u}
+        cut = {i: PRETOKEN.findall(u) for i, u in others if i not in odd}
+        number = self.pieces(pieces + [p for ps in cut.values() for p in ps])
+        # where each unit's pieces are; of a solid unit only the first one begins with a space
+        counts, where = np.zeros((2, len(units) + len(heads)), np.int64)
+        begins = np.flatnonzero(self.pieces.spaced[number[: len(pieces)]])
+        where[: len(units)][solid] = begins
+        counts[: len(units)][solid] = np.diff(np.r_[begins, len(pieces)])
+        at = len(pieces)
+        for i, ps in cut.items():
+            where[i], counts[i] = at, len(ps)
+            at += len(ps)
+        number = number[_spread(where, counts)]
+        owner = np.repeat(np.arange(len(counts)), counts)
+        piece_size = self.pieces.size[number]
+        size = np.bincount(owner, piece_size, len(counts)).astype(np.int64)
+        ids = self.pieces.ids[_spread(self.pieces.start[number], piece_size)]
+        if odd:
+            found = self._whole(list(odd.values()))
+            extra = np.fromiter(map(len, found), np.int64, len(found))
+            begin = np.cumsum(size) - size
+            begin[list(odd)] = len(ids) + np.cumsum(extra) - extra
+            size[list(odd)] = extra
+            ids = np.concatenate([ids, np.fromiter(chain.from_iterable(found), np.uint32)])[_spread(begin, size)]
+        return size, ids
 
     def __call__(self, texts: pa.Array):
         """(first, lengths, ids) for slices of the texts; each text ends with END_ID."""
@@ -204,35 +263,36 @@ class Encoder:
             rare = np.flatnonzero(~plain)
             plain[rare] = [not ends[i].isspace() for i in rare]
             opens, closes = plain[::2], plain[1::2]
-            empty = np.fromiter(map(len, units), np.int64, len(units)) == 0
+            empty = np.zeros(len(units), bool)
+            empty[[i for i, u in enumerate(units) if not u]] = True
             head = offsets[:-1]
             is_head = np.zeros(len(codes) + 1, bool)
             is_head[head] = True
             # the cut between part i and i + 1 of one text; before an empty first part it is at the start
             sound = closes[codes[:-1]] | opens[codes[1:]] | is_head[1:-1] | (is_head[:-2] & empty[codes[:-1]])
             broken = np.add.reduceat(np.r_[~sound, False].astype(np.int64), head) > 0
-            heads = [units[c] for c in codes[head]]
-            ids = self._look_up([" " + u for u in units]) + self._look_up(heads)
+            size, ids = self._units(units, opens & closes, [units[c] for c in codes[head]])
             item = codes.astype(np.int64).copy()
             item[head] = len(units) + np.arange(len(head))
             whole = np.flatnonzero(broken)
-            ids += self._whole([part[int(i)].as_py() for i in whole])
-            end = len(ids)
-            ids.append(array("I", [END_ID]).tobytes())
+            found = self._whole([part[int(i)].as_py() for i in whole])
+            size = np.r_[size, [len(f) for f in found], 1].astype(np.int64)
+            ids = np.concatenate([ids, np.fromiter(chain.from_iterable(found), np.uint32), np.array([END_ID], np.uint32)])
             # the items of each text in order, with the end id after its last one
             keep = ~np.repeat(broken, np.diff(offsets))
             keep[head[whole]] = True
             item[head[whole]] = len(units) + len(head) + np.arange(len(whole))
             text_of = np.repeat(np.arange(len(part)), np.diff(offsets))
-            items = np.insert(item, offsets[1:], end)
-            kept = np.insert(keep, offsets[1:], True)
-            owner = np.insert(text_of, offsets[1:], np.arange(len(part)))
+            places = np.arange(len(item)) + text_of
+            items = np.full(len(item) + len(part), len(size) - 1)
+            kept = np.ones(len(items), bool)
+            items[places], kept[places] = item, keep
+            owner = np.empty(len(items), np.int64)
+            owner[places] = text_of
+            owner[offsets[1:] + np.arange(len(part))] = np.arange(len(part))
             items, owner = items[kept], owner[kept]
-            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            start = np.r_[0, np.cumsum(size)[:-1]]
-            each = size[items]
-            shift = np.repeat(start[items] - (np.cumsum(each) - each), each)
-            yield first, np.bincount(owner, each, len(part)).astype(np.int64), np.frombuffer(b"".join(ids), np.uint32)[shift + np.arange(len(shift))]
+            start, each = (np.cumsum(size) - size)[items], size[items]
+            yield first, np.bincount(owner, each, len(part)).astype(np.int64), ids[_spread(start, each)]
 
 
 @lru_cache(maxsize=2)
