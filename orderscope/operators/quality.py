@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderscope.schemas import TABLES, TableSpec
-from orderscope.sources.csv import is_unparsed, number_pattern
+from orderscope.sources.csv import MALFORMED, Landed, is_malformed, is_unparsed, number_pattern
 
 
 AUDIT_SCHEMA = T.StructType([
@@ -178,33 +178,77 @@ def dq_join_keys(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def dq_unparsed(fields: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, column_name, unparsed_rows) of tables read as text
-    (``sources.csv.read_raw_fields``): number fields whose text cannot be read; expected 0."""
+    """(table_name, metric, column_name, unparsed_rows) of tables read as text
+    (``sources.csv.read_csv_fields``).
+
+    ``row``: rows with too few or too many fields, which are never typed (no column name);
+    ``number`` and ``timestamp``: fields of the other rows whose text cannot be read. Expected
+    0, but for timestamps, whose defined reading is NULL.
+    """
     frames = []
     for name, df in fields.items():
-        numbers = [f for f in TABLES[name].schema.fields if f.name in df.columns and number_pattern(f.dataType)]
-        if numbers:
-            wide = df.agg(*[F.count_if(is_unparsed(F.col(f.name), f.dataType)).alias(f.name) for f in numbers])
-            frames.append(
-                wide.unpivot([], [f.name for f in numbers], "column_name", "unparsed_rows").select(
-                    F.lit(name).alias("table_name"), "column_name", "unparsed_rows"
-                )
-            )
+        spec = TABLES[name]
+        parsed = [f for f in spec.schema.fields if f.name in df.columns and not isinstance(f.dataType, T.StringType)]
+        whole = F.col(MALFORMED).isNull() if MALFORMED in df.columns else F.lit(True)
+        counts = {("number" if number_pattern(f.dataType) else "timestamp", f.name): whole & is_unparsed(F.col(f.name), f.dataType) for f in parsed}
+        if MALFORMED in df.columns:
+            counts = {("row", None): is_malformed(df)} | counts
+        if not counts:
+            continue
+        found = df.agg(*[F.count_if(c).alias(f"n{i}") for i, c in enumerate(counts.values())])
+        entries = [
+            F.struct(F.lit(metric).alias("metric"), F.lit(column).cast("string").alias("column_name"), F.col(f"n{i}").alias("unparsed_rows"))
+            for i, (metric, column) in enumerate(counts)
+        ]
+        frames.append(found.select(F.inline(F.array(*entries))).select(F.lit(name).alias("table_name"), "metric", "column_name", "unparsed_rows"))
     return _union(frames)
 
 
-def _duplicate_rows(df: DataFrame) -> DataFrame:
-    """One value: the rows identical to an earlier one, NULLs equal.
+def _profile(rows: DataFrame, by: list[str], cells: list[Column]) -> DataFrame:
+    """(``by``, mask, n, repeats): rows, and rows equal to an earlier one, by which of the cells
+    are NULL, as a text of 0 and 1.
 
-    Only a 64-bit digest of each row is grouped; whole rows are compared where a digest
-    occurs more than once, so a clash of digests never counts.
+    One shuffle: equal rows are counted on a 128-bit digest of their cells and mask, combined
+    before it; the digest stands for the row, as two of 10 ** 12 rows share one by chance
+    with a probability under 10 ** -14.
     """
-    marked = df.withColumn("__digest__", F.xxhash64(*df.columns))
-    repeated = marked.groupBy("__digest__").agg(F.count(F.lit(1)).alias("__n__")).where("__n__ > 1")
-    groups = marked.join(repeated.select("__digest__"), "__digest__", "left_semi").groupBy(*df.columns)
-    return groups.agg(F.count(F.lit(1)).alias("__n__")).agg(
-        F.coalesce(F.sum(F.col("__n__") - F.lit(1)), F.lit(0)).cast("bigint").alias("value")
-    )
+    mask = F.concat(F.lit(""), *[c.isNull().cast("int").cast("string") for c in cells]) if cells else F.lit("")
+    digest = [F.xxhash64(*cells, F.col("mask")).alias("d1"), F.xxhash64(F.col("mask"), F.lit(1), *cells).alias("d2")]
+    equal = rows.withColumn("mask", mask).select(*by, "mask", *digest).groupBy(*by, "mask", "d1", "d2").agg(F.count(F.lit(1)).alias("n"))
+    return equal.groupBy(*by, "mask").agg(F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("repeats"))
+
+
+def _null_counts_of(profile: DataFrame, by: list[str]) -> DataFrame:
+    """(``by``, position from 0, value): NULLs of each cell that has any."""
+    places = F.expr("filter(sequence(0, length(mask) - 1), i -> substring(mask, i + 1, 1) = '1')")
+    found = profile.where(F.col("mask").contains("1")).select(*by, "n", F.explode(places).alias("position"))
+    return found.groupBy(*by, "position").agg(F.sum("n").cast("bigint").alias("value"))
+
+
+def dq_csv_audit(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """``dq_file_audit`` of all CSV files of a folder (``sources.csv.read_csv_dir``) in one plan:
+    file names as table_name. ``wide_rows``, where there are any, counts rows with a value
+    beyond the file's own columns."""
+    mask = F.array_join(F.transform("cells", lambda c: c.isNull().cast("int").cast("string")), "")
+    digest = [F.xxhash64("cells", mask).alias("d1"), F.xxhash64(mask, F.lit(1), "cells").alias("d2")]
+    equal = rows.select("file", mask.alias("mask"), *digest).groupBy("file", "mask", "d1", "d2").agg(F.count(F.lit(1)).alias("n"))
+    profile = equal.groupBy("file", "mask").agg(F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("repeats"))
+    own = profile.join(files.select("file", "names"), "file")
+    beyond = F.substring("mask", F.size("names") + 1, F.length("mask")).contains("0")
+    totals = own.groupBy("file").agg(F.sum("n").alias("rows"), F.sum("repeats").alias("repeats"), F.sum(F.when(beyond, F.col("n")).otherwise(0)).alias("wide"))
+    whole = files.join(totals, "file", "left").select("file", "names", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("rows", "repeats", "wide")])
+
+    def entry(metric: str, value: Column, column: Column | None = None) -> Column:
+        name = F.lit(None).cast("string") if column is None else column
+        return F.struct(F.lit(metric).alias("metric"), name.alias("column_name"), value.cast("bigint").alias("value"))
+
+    columns = F.transform("names", lambda name, i: entry("column", i + 1, name))
+    fixed = F.array(entry("rows", F.col("rows")), entry("duplicate_rows", F.col("repeats")), entry("columns", F.size("names")))
+    wide = F.filter(F.array(entry("wide_rows", F.col("wide"))), lambda e: e["value"] > 0)
+    per_file = whole.select(F.col("file").alias("table_name"), F.inline(F.concat(fixed, columns, wide)))
+    nulls = _null_counts_of(own.withColumn("mask", F.expr("substring(mask, 1, size(names))")), ["file", "names"])
+    nulls = nulls.select(F.col("file").alias("table_name"), F.lit("nulls").alias("metric"), F.col("names")[F.col("position")].alias("column_name"), "value")
+    return per_file.unionByName(nulls)
 
 
 def dq_file_audit(tables: dict[str, DataFrame]) -> DataFrame:
@@ -212,8 +256,8 @@ def dq_file_audit(tables: dict[str, DataFrame]) -> DataFrame:
 
     ``rows``; ``columns`` (value = number of columns); ``column`` (one per column,
     value = 1-based position); ``duplicate_rows`` (rows identical to an earlier row,
-    NULLs equal); ``nulls`` per column, only where some value is missing. No tables give
-    an empty result.
+    NULLs equal); ``nulls`` per column, only where some value is missing. Each table is
+    scanned once. No tables give an empty result.
     """
     frames = []
     layout_rows: list[tuple[str, str, str | None, int]] = []
@@ -227,29 +271,25 @@ def dq_file_audit(tables: dict[str, DataFrame]) -> DataFrame:
         cols = df.columns
         layout_rows.append((name, "columns", None, len(cols)))
         layout_rows.extend((name, "column", c, i) for i, c in enumerate(cols, start=1))
+        cells = df.toDF(*[f"cell{i}" for i in range(len(cols))])  # whatever the columns are called
+        profile = _profile(cells, [], [F.col(c) for c in cells.columns])
+        nulls = [
+            F.coalesce(F.sum(F.when(F.substring("mask", i, 1) == "1", F.col("n"))), F.lit(0)).cast("bigint").alias(f"nulls{i}")
+            for i in range(1, len(cols) + 1)
+        ]
+        totals = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("n", "repeats")]
 
         def entry(metric: str, column: str | None, value: str):
-            return F.struct(
-                F.lit(metric).alias("metric"),
-                F.lit(column).cast("string").alias("column_name"),
-                F.col(value).alias("value"),
-            )
+            return F.struct(F.lit(metric).alias("metric"), F.lit(column).cast("string").alias("column_name"), F.col(value).alias("value"))
 
-        stats = df.agg(F.count(F.lit(1)).alias("__rows__"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
-        entries = [entry("rows", None, "__rows__")] + [entry("nulls", c, c) for c in cols]
+        entries = [entry("rows", None, "n"), entry("duplicate_rows", None, "repeats")]
+        entries += [entry("nulls", c, f"nulls{i}") for i, c in enumerate(cols, start=1)]
         frames.append(
-            stats.select(F.inline(F.array(*entries)))
+            profile.agg(*totals, *nulls)
+            .select(F.inline(F.array(*entries)))
             .where((F.col("metric") != F.lit("nulls")) | (F.col("value") > F.lit(0)))
             .select(F.lit(name).alias("table_name"), "metric", "column_name", "value")
         )
-        frames.append(
-            _duplicate_rows(df).select(
-                F.lit(name).alias("table_name"),
-                F.lit("duplicate_rows").alias("metric"),
-                F.lit(None).cast("string").alias("column_name"),
-                "value",
-            )
-        )
     frames.append(present[0][1].sparkSession.createDataFrame(layout_rows, AUDIT_SCHEMA))
     return _union(frames)
 
@@ -260,7 +300,7 @@ class IntegrityError(ValueError):
 
 def integrity_violations(tables: dict[str, DataFrame], fields: dict[str, DataFrame] | None = None) -> DataFrame:
     """Every expected-zero check as (check, detail, violations), only the failing ones;
-    with ``fields``, the raw tables as text, also the numbers that cannot be read.
+    with ``fields``, the raw tables as text, also the rows and numbers that cannot be read.
 
     Duplicate keys (the uniqueness the model's one-to-one / many-to-one joins rely on),
     NULLs in key / NOT NULL columns, orphan items and orders, invalid review scores.
@@ -279,8 +319,10 @@ def integrity_violations(tables: dict[str, DataFrame], fields: dict[str, DataFra
     ]
     if fields:
         frames.append(
-            dq_unparsed(fields).select(
-                F.lit("unparsed").alias("check"),
+            dq_unparsed(fields)
+            .where("metric != 'timestamp'")
+            .select(
+                F.when(F.col("metric") == "row", "malformed").otherwise("unparsed").alias("check"),
                 F.concat_ws(".", "table_name", "column_name").alias("detail"),
                 F.col("unparsed_rows").alias("violations"),
             )
@@ -318,6 +360,30 @@ def _raise_failing(failing: list) -> None:
         raise IntegrityError(f"integrity checks failed: {lines}")
 
 
+def check_landed(landed: list[Landed]) -> None:
+    """Raise ``IntegrityError`` for what the landing write counted: rows that were rejected,
+    numbers that could not be read, and NULLs of required columns."""
+    failing = []
+    for t in landed:
+        numbers = {f.name for f in TABLES[t.table].schema.fields if number_pattern(f.dataType)}
+        found = [("malformed", t.table, t.malformed)]
+        found += [("unparsed", f"{t.table}.{c}", n) for c, n in t.unparsed.items() if c in numbers]
+        found += [("not_null", f"{t.table}.{c}", n) for c, n in t.nulls.items()]
+        failing += [{"check": c, "detail": d, "violations": n} for c, d, n in found if n]
+    _raise_failing(failing)
+
+
+def landing_report(spark: SparkSession, landed: list[Landed]) -> DataFrame:
+    """``dq_unparsed`` of a landing, from the counts of its writes: a few rows for each table."""
+    rows: list[tuple[str, str, str | None, int]] = []
+    for t in landed:
+        rows.append((t.table, "row", None, t.malformed))
+        for f in TABLES[t.table].schema.fields:
+            if f.name in t.unparsed:
+                rows.append((t.table, "number" if number_pattern(f.dataType) else "timestamp", f.name, t.unparsed[f.name]))
+    return spark.createDataFrame(rows, "table_name string, metric string, column_name string, unparsed_rows bigint")
+
+
 def check_integrity(tables: dict[str, DataFrame], fields: dict[str, DataFrame] | None = None) -> None:
     """Raise ``IntegrityError`` listing every failing expected-zero check.
 

@@ -6,10 +6,10 @@ import os
 
 from pyspark.sql import SparkSession
 
-from orderscope.operators.quality import check_integrity, dq_file_audit, dq_unparsed
+from orderscope.operators.quality import check_integrity, check_landed, dq_csv_audit, landing_report
 from orderscope.plans.commerce import CommerceModel, ModelParams
 from orderscope.session import write_concurrently
-from orderscope.sources.csv import ingest_csv_dir, list_csv_files, read_csv_as_text, read_raw_fields
+from orderscope.sources.csv import land_csv_dir, read_csv_dir
 from orderscope.sources.sinks import write_csv, write_outputs
 from orderscope.sources.tables import load_tables
 
@@ -26,10 +26,11 @@ DQ_REPORTS = (
 
 def run_file_audit(spark: SparkSession, raw_dir: str, out_dir: str) -> str:
     """Audit every CSV file of ``raw_dir`` as it is (its own header, text columns): rows,
-    columns, duplicate rows and NULLs per column, one long table keyed by file name."""
-    files = {os.path.basename(p): read_csv_as_text(spark, p) for p in list_csv_files(spark, raw_dir)}
+    columns, duplicate rows and NULLs per column, one long table keyed by file name. All files
+    are one plan."""
     path = os.path.join(out_dir, "data_audit")
-    write_csv(dq_file_audit(files), path, single_file=True)
+    audit = dq_csv_audit(*read_csv_dir(spark, raw_dir)).orderBy("table_name", "metric", "column_name")
+    write_csv(audit, path, single_file=True)
     return path
 
 
@@ -45,19 +46,20 @@ def run_build(
     """Land the raw CSV files (when ``raw_dir`` is given; ``<table>.csv`` or the names in
     ``file_names``), check them, build the model once and write every report, the summary
     document and the payload tables. With ``strict`` the build stops before any report
-    when a key is duplicated or missing, an item or order is orphaned, or a number in a raw
-    file cannot be read; such numbers are counted in ``quality/dq_unparsed`` in any case."""
+    when a key is duplicated or missing, an item or order is orphaned, or a row or a number in a
+    raw file cannot be read; these and unreadable timestamps are counted in
+    ``quality/dq_unparsed`` in any case, from the landing writes themselves."""
     written: dict[str, str] = {}
-    fields = None
     if raw_dir:
-        fields = read_raw_fields(spark, raw_dir, file_names=file_names)
+        landed = land_csv_dir(spark, raw_dir, landed_dir, file_names=file_names)
         path = os.path.join(out_dir, "quality", "dq_unparsed")
-        write_csv(dq_unparsed(fields), path, single_file=True)
+        write_csv(landing_report(spark, landed), path, single_file=True)
         written["quality/dq_unparsed"] = path
-        ingest_csv_dir(spark, raw_dir, landed_dir, file_names=file_names)
+        if strict:
+            check_landed(landed)
     tables = load_tables(spark, landed_dir)
     if strict:
-        check_integrity(tables, fields)
+        check_integrity(tables)
     model = CommerceModel(tables, params or ModelParams()).materialize()
     jobs = []
     for name in DQ_REPORTS:

@@ -13,23 +13,28 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from orderscope.schemas import TABLES
-from orderscope.sources.csv import MULTI_LINE_TABLES, text_schema, typed_rows
+from orderscope.sources.csv import MALFORMED, MULTI_LINE_TABLES, text_schema, typed_rows
 
 
 def csv_stream(spark: SparkSession, landing_dir: str, table: str) -> DataFrame:
-    """A streaming DataFrame over the CSV files dropped in ``landing_dir``. A number that
-    cannot be read stops the stream: there is no later check of what it appended."""
+    """A streaming DataFrame over the CSV files dropped in ``landing_dir``. A row with a wrong
+    number of fields, or a number that cannot be read, stops the stream: there is no later
+    check of what it appended."""
+    schema = T.StructType([*text_schema(TABLES[table]).fields, T.StructField(MALFORMED, T.StringType())])
     text = (
-        spark.readStream.schema(text_schema(TABLES[table]))
+        spark.readStream.schema(schema)
         .option("header", True)
         .option("enforceSchema", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", table in MULTI_LINE_TABLES)
         .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", MALFORMED)
+        .option("columnPruning", False)
         .csv(landing_dir)
     )
     return typed_rows(text, table, fail=True)

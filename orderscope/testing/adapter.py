@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderscope.session import scratch_path
+from orderscope.sources.csv import read_csv_fields
+
 SOURCE_TABLES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
@@ -172,11 +175,44 @@ def adapt_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def adapted_raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The item lines' money columns as text, with values no file should hold: words, a comma
-    for the decimal point, more digits than the column has, a third decimal, empty fields."""
-    line = read_source(spark, sf_dir, "lineitem")
-    last = F.col("l_orderkey") % 10
-    price = F.when(last == 0, "abc").when(last == 1, "10,00").when(last == 2, "99999999999.00").when(last == 3, "")
-    freight = F.when(F.col("l_linenumber") == 2, F.lit(None)).when(F.col("l_linenumber") == 3, "1.005").otherwise("7")
-    return line.select(price.otherwise("12.50").alias("price"), freight.alias("freight_value"))
+def adapted_raw_lines(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """CSV text (column ``value``, no header) of items, payments and reviews, one line for each
+    line item, order and event, with what no file should hold: words, a comma for the decimal
+    point, more digits than a column has, a third decimal, impossible times, missing and
+    surplus fields; and, rightly, empty fields and quoted commas, quotes and newlines."""
+
+    def line(*fields: Column) -> Column:
+        return F.concat_ws(",", *fields)
+
+    key, number = F.col("l_orderkey"), F.col("l_linenumber")
+    price = F.when(key % 10 == 0, "abc").when(key % 10 == 1, "10,00").when(key % 10 == 2, "99999999999.00").when(key % 10 == 3, "").otherwise("12.50")
+    freight = F.when(number == 2, "").when(number == 3, "1.005").otherwise("7")
+    limit = F.when(key % 19 == 0, "not a date").when(key % 23 == 0, "").otherwise("2018-01-03 00:00:00")
+    start = line(key.cast("string"), number.cast("string"), F.lit("p"), F.lit("s"), limit, price)
+    items = read_source(spark, sf_dir, "lineitem").select(F.when(key % 17 == 0, start).otherwise(line(start, freight)).alias("value"))
+
+    key = F.col("o_orderkey")
+    value = F.when(key % 13 == 0, '"1,5"').otherwise(F.col("o_totalprice").cast("decimal(12,2)").cast("string"))
+    parts = F.when(key % 29 == 0, "one").otherwise("1")
+    start = line(key.cast("string"), F.lit("1"), F.lower("o_orderpriority"), parts, value)
+    payments = read_source(spark, sf_dir, "orders").select(F.when(key % 11 == 0, line(start, F.lit("surplus"))).otherwise(start).alias("value"))
+
+    key = F.col("event_id")
+    score = F.when(key % 7 == 0, "five").otherwise("5")
+    message = F.when(key % 3 == 0, '"one, ""two""\nand three"').otherwise("plain")
+    answered = F.when(key % 5 == 0, "2018-13-01 00:00:00").otherwise("2018-01-02 10:00:00")
+    start = line(key.cast("string"), key.cast("string"), score, F.lit(""), message)
+    reviews = read_source(spark, sf_dir, "events").select(
+        F.when(key % 31 == 0, start).otherwise(line(start, F.lit("2018-01-01 00:00:00"), answered)).alias("value")
+    )
+    return {"order_items": items, "order_payments": payments, "order_reviews": reviews}
+
+
+def raw_fields(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """``adapted_raw_lines`` written as CSV files and read as the ingest reads them."""
+    folder = scratch_path(spark, "raw-csv")
+    fields = {}
+    for name, lines in adapted_raw_lines(spark, sf_dir).items():
+        lines.write.text(f"{folder}/{name}")
+        fields[name] = read_csv_fields(spark, f"{folder}/{name}", name, header=False)
+    return fields

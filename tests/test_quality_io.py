@@ -235,8 +235,14 @@ def test_numbers_that_cannot_be_read_are_counted_not_guessed(spark, tmp_dir):
     assert [r["freight_value"] for r in typed] == [1, 2, 3, None, 4, None, None]
     assert {r["shipping_limit_date"] for r in typed} == {None}
     fields = read_csv_fields(spark, path, "order_items")
-    bad = {r["column_name"]: r["unparsed_rows"] for r in quality.dq_unparsed({"order_items": fields}).collect()}
-    assert bad == {"order_item_id": 0, "price": 4, "freight_value": 2}
+    bad = {(r["metric"], r["column_name"]): r["unparsed_rows"] for r in quality.dq_unparsed({"order_items": fields}).collect()}
+    assert bad == {
+        ("row", None): 0,
+        ("number", "order_item_id"): 0,
+        ("number", "price"): 4,
+        ("number", "freight_value"): 2,
+        ("timestamp", "shipping_limit_date"): 7,
+    }
     with _pytest.raises(Exception, match="cannot read"):
         typed_rows(fields, "order_items", fail=True).collect()
     with _pytest.raises(quality.IntegrityError, match="unparsed order_items.price=4"):
@@ -276,3 +282,169 @@ def test_all_statuses_and_null_freight(spark):
     )
     assert model.kpi_extended().first()["orders_all_statuses"] == 3
     assert abs(model.state_performance().first()["freight_burden"] - 2 / 42) < 1e-12
+
+
+def write_files(folder, files):
+    os.makedirs(folder, exist_ok=True)
+    for name, text in files.items():
+        with open(os.path.join(folder, name), "w", encoding="utf-8") as fh:
+            fh.write(text)
+
+
+PAYMENTS = "order_id,payment_sequential,payment_type,payment_installments,payment_value\n"
+
+
+def test_malformed_rows_are_counted_kept_apart_and_never_typed(spark, tmp_dir):
+    from decimal import Decimal
+
+    import pytest as _pytest
+    from orderscope.plans.jobs import run_build
+    from orderscope.sources.csv import land_csv_dir, read_csv_fields, rejected_rows, typed_rows
+    from test_jobs import RAW
+
+    raw = os.path.join(tmp_dir, "raw")
+    rows = ["a,1,ca,1", "b,1,ca,1,10,00", "c,1,ca,rd,1,10.00", "d,1,ca,1,12.50", "", "e,1,ca,1,"]
+    write_files(raw, RAW | {"order_payments.csv": PAYMENTS + "\n".join(rows) + "\n"})
+    path = os.path.join(raw, "order_payments.csv")
+    for multi_line in (None, False, True):
+        fields = read_csv_fields(spark, path, "order_payments", multi_line)
+        typed = {r["order_id"]: r["payment_value"] for r in typed_rows(fields, "order_payments").collect()}
+        assert typed == {"d": Decimal("12.50"), "e": None}
+        assert typed_rows(fields, "order_payments").count() == 2  # no column of the file is asked for
+        kept = {tuple(r) for r in rejected_rows(fields, "order_payments").collect()}
+        assert kept == {("order_payments", r) for r in rows[:3]}
+        found = {(r["metric"], r["column_name"]): r["unparsed_rows"] for r in quality.dq_unparsed({"order_payments": fields}).collect()}
+        assert found[("row", None)] == 3 and found[("number", "payment_value")] == 0
+    with _pytest.raises(Exception, match="wrong number of fields"):
+        typed_rows(fields, "order_payments", fail=True).collect()
+    landed = {t.table: t for t in land_csv_dir(spark, raw, os.path.join(tmp_dir, "landed"), ("order_payments", "orders", "category_translation"))}
+    assert (landed["order_payments"].rows, landed["order_payments"].malformed) == (2, 3)
+    assert landed["orders"].malformed == 0 and landed["orders"].rows == 2
+    assert landed["orders"].nulls == {"order_id": 0, "customer_id": 0}
+    assert spark.read.parquet(os.path.join(tmp_dir, "landed", "_rejected", "order_payments")).count() == 3
+    out = os.path.join(tmp_dir, "out")
+    with _pytest.raises(quality.IntegrityError, match="malformed order_payments=3"):
+        run_build(spark, raw, os.path.join(tmp_dir, "strict"), out, strict=True)
+    report = spark.read.option("header", True).csv(os.path.join(out, "quality", "dq_unparsed"))
+    assert report.where("metric = 'row' and table_name = 'order_payments'").first()["unparsed_rows"] == "3"
+    run_build(spark, raw, os.path.join(tmp_dir, "lenient"), out)
+
+
+def test_null_keys_are_counted_by_the_landing_write(spark, tmp_dir):
+    import pytest as _pytest
+    from orderscope.plans.jobs import run_build
+    from test_jobs import RAW
+
+    raw = os.path.join(tmp_dir, "raw")
+    write_files(raw, RAW | {"sellers.csv": RAW["sellers.csv"] + ",1,x,SP\n"})
+    with _pytest.raises(quality.IntegrityError, match="not_null sellers.seller_id=1"):
+        run_build(spark, raw, os.path.join(tmp_dir, "landed"), os.path.join(tmp_dir, "out"), strict=True)
+
+
+def test_malformed_rows_stop_the_stream(spark, tmp_dir):
+    import pytest as _pytest
+
+    write_files(os.path.join(tmp_dir, "landing"), {"a.csv": PAYMENTS + "a,1,ca,1,1.00\nb,1,ca,1\n"})
+    with _pytest.raises(Exception, match="wrong number of fields"):
+        land_table(spark, os.path.join(tmp_dir, "landing"), os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck"), "order_payments").awaitTermination()
+
+
+def test_files_without_quoted_newlines_keep_their_splits(spark, tmp_dir):
+    from orderscope.sources.csv import read_csv_fields, rejected_rows
+
+    head, *rows = CSV_REVIEWS.split("\n", 1)
+    plain = head + "\n" + "".join(f'r{i},o{i},5,,"one, ""line"" only",2018-01-01 00:00:00,2018-01-02 10:00:00\n' for i in range(3000))
+    write_files(os.path.join(tmp_dir, "plain"), {"a.csv": plain})
+    write_files(os.path.join(tmp_dir, "both"), {"a.csv": plain, "b c.csv": CSV_REVIEWS})
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        plain = read_csv_fields(spark, os.path.join(tmp_dir, "plain"), "order_reviews")
+        assert plain.rdd.getNumPartitions() > 5 and plain.count() == 3000
+        both = read_csv_fields(spark, os.path.join(tmp_dir, "both"), "order_reviews")
+        assert both.count() == 3003 and rejected_rows(both, "order_reviews").count() == 0
+        assert both.where("review_id = 'r1' and review_comment_message like '%two'").count() == 1
+        whole = read_csv_fields(spark, os.path.join(tmp_dir, "both", "b c.csv"), "order_reviews")
+        assert whole.rdd.getNumPartitions() == 1 and whole.count() == 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_audit_of_many_files_is_one_plan(spark, tmp_dir):
+    from orderscope.sources.csv import read_csv_dir
+    from orderscope.testing.plans import plan_text
+
+    folder = os.path.join(tmp_dir, "many")
+    files = {f"f{i}.csv": f"a,b{i}\n1,\n1,\n,{i}\n" for i in range(150)}
+    files["odd name+1.csv"] = 'x,"y, z",\n"two\nlines",,3\n"two\nlines",,3\n1,2,3,4\n'
+    files["empty.csv"] = ""
+    files["header.csv"] = "only,header"
+    write_files(folder, files)
+    audit = quality.dq_csv_audit(*read_csv_dir(spark, folder))
+    assert plan_text(audit).count("Scan csv") <= 8  # with and without quoted newlines, totals and nulls, each printed twice
+    got = {}
+    for r in audit.collect():
+        got.setdefault(r["table_name"], {})[(r["metric"], r["column_name"])] = r["value"]
+    assert len(got) == 152 and "empty.csv" not in got
+    for i in (0, 7, 149):
+        assert got[f"f{i}.csv"] == {
+            ("rows", None): 3, ("duplicate_rows", None): 1, ("columns", None): 2,
+            ("column", "a"): 1, ("column", f"b{i}"): 2, ("nulls", "a"): 1, ("nulls", f"b{i}"): 2,
+        }
+    assert got["odd name+1.csv"] == {
+        ("rows", None): 3, ("duplicate_rows", None): 1, ("columns", None): 3, ("wide_rows", None): 1,
+        ("column", "x"): 1, ("column", "y, z"): 2, ("column", ""): 3, ("nulls", "y, z"): 2,
+    }
+    assert got["header.csv"][("rows", None)] == 0 and got["header.csv"][("column", "header")] == 2
+
+
+def test_audit_of_columns_with_any_names(spark):
+    rows = [(None, "a", "m"), ("a", None, "m"), ("a", None, "m")]
+    df = spark.createDataFrame(rows, "n string, mask string, d1 string").withColumnRenamed("d1", "cell0")
+    got = {(r["metric"], r["column_name"]): r["value"] for r in quality.dq_file_audit({"t": df}).collect()}
+    assert got[("rows", None)] == 3 and got[("duplicate_rows", None)] == 1
+    assert got[("nulls", "n")] == 1 and got[("nulls", "mask")] == 2 and ("nulls", "cell0") not in got
+
+
+def test_strict_nulls_at_any_depth(spark, tmp_dir):
+    schema = "id int, s struct<x: double, t: struct<y: float>>, a array<double>, m map<string, struct<z: double>>, k map<double, int>, `dotted.name` double"
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (1, (nan, (nan,)), [1.0, nan, None, inf], {"p": (nan,), "q": (2.0,)}, {nan: 1, 1.0: 2}, -inf),
+        (2, None, None, None, None, 1.0),
+        (3, (None, None), [], {}, {}, None),
+    ]
+    path = os.path.join(tmp_dir, "json")
+    sinks.write_json_lines(spark.createDataFrame(rows, schema), path, single_file=True)
+
+    def no_constant(name):
+        raise AssertionError(name)
+
+    text = "".join(open(f).read() for f in glob.glob(os.path.join(path, "*.json")))
+    found = {r["id"]: r for r in (json.loads(x, parse_constant=no_constant) for x in text.splitlines())}
+    assert found[1] == {
+        "id": 1, "s": {"x": None, "t": {"y": None}}, "a": [1.0, None, None, None], "m": {"p": {"z": None}, "q": {"z": 2.0}},
+        "k": {"1.0": 2}, "dotted.name": None,
+    }
+    assert found[2] == {"id": 2, "s": None, "a": None, "m": None, "k": None, "dotted.name": 1.0}
+    assert found[3]["s"] == {"x": None, "t": None} and found[3]["a"] == [] and found[3]["m"] == {}
+
+
+def test_readers_see_whole_builds_only(spark, tmp_dir, monkeypatch):
+    import pytest as _pytest
+
+    with _pytest.raises(FileNotFoundError):
+        sinks.read_manifest(spark, tmp_dir)
+    first = sinks.write_outputs(build_model(spark, orders=[order("o1")]), tmp_dir)
+    assert sinks.read_manifest(spark, tmp_dir) == first
+    broken = build_model(spark, orders=[order("o1"), order("o2")])
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "write_document", lambda *a, **k: 1 / 0)
+        with _pytest.raises(ZeroDivisionError):
+            sinks.write_outputs(broken, tmp_dir)
+    assert sinks.read_manifest(spark, tmp_dir) == first  # the tables of the failed build are not seen
+    second = sinks.write_outputs(broken, tmp_dir)
+    assert sinks.read_manifest(spark, tmp_dir) == second and second["delay_impact"] != first["delay_impact"]
+    assert set(second) >= {"analysis_summary", "payload/delay_impact", "order_fact"}
+    assert sinks.remove_builds(spark, tmp_dir, keep=1) == [os.path.basename(os.path.dirname(first["order_fact"]))]
+    assert not os.path.exists(first["order_fact"]) and os.path.exists(second["order_fact"])
