@@ -19,6 +19,24 @@ DELIVERED_STATUS = "delivered"
 LOW_REVIEW_MAX = 2
 
 
+DUPLICATE_KEY = "duplicate join key"
+
+
+def unique_rows(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df``, whose rows must differ in ``key``: a value held by two rows fails the query, with
+    ``name`` and the value in its message, before it can multiply money in a join.
+
+    Rows with a NULL key are left out: they join with nothing. The rows are grouped by the
+    key, which is the exchange and the sort order that the join after it needs anyway.
+    """
+    others = [c for c in df.columns if c != key]
+    row = F.any_value(F.struct(*others)) if others else F.any_value(F.lit(1))
+    grouped = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_held"), row.alias("_row"))
+    message = F.concat(F.lit(f"{DUPLICATE_KEY} {name}.{key}="), F.col(key).cast("string"))
+    single = F.when(F.col("_held") > F.lit(1), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return grouped.where(single).select(*[F.col(key) if c == key else F.col("_row").getField(c).alias(c) for c in df.columns])
+
+
 def latest_review(reviews: DataFrame) -> DataFrame:
     """One review per order: the most recently answered; ties -> larger review_id.
 
@@ -41,13 +59,10 @@ def product_category(products: DataFrame, translation: DataFrame) -> DataFrame:
     dimension and is broadcast when its measured size is under the broadcast
     threshold, otherwise this is a sort-merge join.
     """
+    names = translation.select("product_category_name", "product_category_name_english")
     return (
-        products.select("product_id", "product_category_name")
-        .join(
-            translation.select("product_category_name", "product_category_name_english"),
-            "product_category_name",
-            "left",
-        )
+        unique_rows(products.select("product_id", "product_category_name"), "product_id", "products")
+        .join(unique_rows(names, "product_category_name", "category_translation"), "product_category_name", "left")
         .select(
             "product_id",
             F.coalesce("product_category_name_english", F.lit(UNKNOWN_CATEGORY)).alias("category"),
@@ -86,6 +101,14 @@ def payment_order(payments: DataFrame) -> DataFrame:
     return payments.groupBy("order_id").agg(M.money_sum("payment_value").alias("customer_payment"))
 
 
+def order_payment_money(payments: DataFrame) -> DataFrame:
+    """(order, payment type) records and value: what both the fact and the payment mix need of
+    the payments, however many rows one order has."""
+    return payments.groupBy("order_id", "payment_type").agg(
+        F.count(F.lit(1)).alias("payment_records"), M.money_sum("payment_value").alias("payment_value")
+    )
+
+
 ORDER_FACT_COLUMNS = [
     "order_id",
     "customer_id",
@@ -125,14 +148,17 @@ def order_fact(
     reviews: DataFrame,
     low_review_max: int = LOW_REVIEW_MAX,
     item_orders: DataFrame | None = None,
+    payment_money: DataFrame | None = None,
 ) -> DataFrame:
     """One row per order (any status) with its customer, money, review and delivery outcome.
 
     ``item_orders`` may supply the per-order item aggregate (e.g. built from a stored
-    (order, seller) pre-aggregate); by default it is ``item_order(items)``.
+    (order, seller) pre-aggregate); by default it is ``item_order(items)``. ``payment_money`` may
+    supply ``order_payment_money``.
 
     Orders without a customer row are dropped (inner join); ``dq_orphan_orders`` reports
-    them. Derived columns:
+    them, and ``dq_not_null`` those without an id. An order, an order's customer or a customer
+    that occurs twice fails the query (``unique_rows``). Derived columns:
       delivered_seconds / delivered_days  exact elapsed time purchase -> delivery
       delivered_days_hours                whole hours / 24 (the SQL-dialect variant)
       delay_days                          delivery date - promised date, in calendar days
@@ -156,10 +182,11 @@ def order_fact(
     purchased = F.col("order_purchase_timestamp")
     delivered = F.col("order_delivered_customer_date")
     promised = F.col("order_estimated_delivery_date")
+    both = unique_rows(o, "customer_id", "orders").join(unique_rows(c, "customer_id", "customers"), "customer_id", "inner")
     fact = (
-        o.join(c, "customer_id", "inner")
+        unique_rows(both, "order_id", "orders")
         .join(item_orders if item_orders is not None else item_order(items), "order_id", "left")
-        .join(payment_order(payments), "order_id", "left")
+        .join(payment_order(payments if payment_money is None else payment_money), "order_id", "left")
         .join(latest_review(reviews), "order_id", "left")
         .withColumns(
             {
@@ -216,20 +243,26 @@ def _item_money() -> list:
 
 
 def order_category(
-    items: DataFrame, products: DataFrame, translation: DataFrame, delivered: DataFrame
+    items: DataFrame,
+    products: DataFrame,
+    translation: DataFrame,
+    delivered: DataFrame,
+    categories: DataFrame | None = None,
+    outcomes: DataFrame | None = None,
 ) -> DataFrame:
     """(order, category) money and item counts, with the order's outcome attached.
 
     Items are reduced to the (order, category) grain before meeting the outcomes, so
-    each order's outcome counts once per category it contains.
+    each order's outcome counts once per category it contains. ``categories`` and ``outcomes``
+    may supply a stored ``product_category`` and ``order_outcomes``.
     """
     detail = items.select("order_id", "product_id", "price", "freight_value").join(
-        product_category(products, translation), "product_id", "left"
+        product_category(products, translation) if categories is None else categories, "product_id", "left"
     )
     per_pair = detail.groupBy(
         "order_id", F.coalesce("category", F.lit(UNKNOWN_CATEGORY)).alias("category")
     ).agg(*_item_money())
-    return per_pair.join(order_outcomes(delivered), "order_id", "inner")
+    return per_pair.join(order_outcomes(delivered) if outcomes is None else outcomes, "order_id", "inner")
 
 
 def order_seller_money(items: DataFrame) -> DataFrame:
@@ -237,22 +270,28 @@ def order_seller_money(items: DataFrame) -> DataFrame:
     return items.groupBy("order_id", "seller_id").agg(*_item_money())
 
 
-def order_seller_outcomes(pairs: DataFrame, delivered: DataFrame) -> DataFrame:
+def order_seller_outcomes(pairs: DataFrame, delivered: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
     """(order, seller) money (``order_seller_money``) with the order's outcome attached
     (delivered orders only)."""
-    return pairs.join(order_outcomes(delivered), "order_id", "inner")
+    return pairs.join(order_outcomes(delivered) if outcomes is None else outcomes, "order_id", "inner")
 
 
-def order_seller(items: DataFrame, sellers: DataFrame, delivered: DataFrame,
-                 pairs: DataFrame | None = None) -> DataFrame:
+def order_seller(
+    items: DataFrame,
+    sellers: DataFrame,
+    delivered: DataFrame,
+    pairs: DataFrame | None = None,
+    outcomes: DataFrame | None = None,
+) -> DataFrame:
     """(order, seller) money with the order's outcome and the seller's state.
 
-    ``pairs`` may supply a stored ``order_seller_money``; by default it is computed.
+    ``pairs`` and ``outcomes`` may supply a stored ``order_seller_money`` and
+    ``order_outcomes``; by default they are computed.
     """
     money = pairs if pairs is not None else order_seller_money(items)
     return (
-        order_seller_outcomes(money, delivered)
-        .join(sellers.select("seller_id", "seller_state"), "seller_id", "left")
+        order_seller_outcomes(money, delivered, outcomes)
+        .join(unique_rows(sellers.select("seller_id", "seller_state"), "seller_id", "sellers"), "seller_id", "left")
         .select(
             "order_id",
             "seller_id",

@@ -19,6 +19,8 @@ from orderscope.functions import buckets as B
 from orderscope.functions import metrics as M
 from orderscope.functions import timeutil as TU
 from orderscope.operators import model
+from orderscope.operators.model import unique_rows
+from orderscope.operators.ranking import ranked
 
 # The published report thresholds and windows.
 MIN_STATE_ORDERS = 500
@@ -267,14 +269,11 @@ def priority_categories(
     median GMV of scaled categories (an interpolated median)."""
     overall_review = delivered.select(F.avg("review_score")).scalar()
     gmv = F.col("merchandise_gmv_brl").cast("double")
-    # the median runs over the grouped category rows only (one row per category)
-    scaled = categories.where(F.col("orders") >= F.lit(min_orders)).withColumn(
-        "_median_gmv", F.median(gmv).over(Window.partitionBy())
-    )
+    scaled = categories.where(F.col("orders") >= F.lit(min_orders))
+    # an aggregate, combined before it meets in one place: counts of the distinct values
+    median_gmv = scaled.select(F.median(gmv)).scalar()
     out = (
-        scaled.where(
-            (F.col("average_review") < overall_review) & (gmv >= F.col("_median_gmv"))
-        )
+        scaled.where((F.col("average_review") < overall_review) & (gmv >= median_gmv))
         .orderBy(F.desc("merchandise_gmv_brl"), "category")
         .select("category", "orders", "merchandise_gmv_brl", "average_review", "late_delivery_rate")
     )
@@ -337,12 +336,14 @@ def monthly_report(
 
 
 def payment_mix(payments: DataFrame, delivered: DataFrame) -> DataFrame:
-    """Payment records and value by type, over delivered orders only (semi join)."""
+    """Payment records and value by type, over delivered orders only (semi join). ``payments``
+    are rows or their (order, type) sums (``model.order_payment_money``)."""
+    records = F.sum("payment_records") if "payment_records" in payments.columns else _count()
     g = (
         payments.join(delivered.select("order_id"), "order_id", "left_semi")
         .groupBy("payment_type")
         .agg(
-            _count().alias("payment_records"),
+            records.alias("payment_records"),
             M.money_sum("payment_value").alias("payment_value_brl"),
         )
     )
@@ -406,7 +407,7 @@ def seller_performance(
     delay_risk = F.col("late_delivery_rate") > overall_late
     review_risk = F.col("low_review_rate") > overall_low
     return (
-        g.join(sellers.select("seller_id", "seller_state"), "seller_id", "left")
+        g.join(unique_rows(sellers.select("seller_id", "seller_state"), "seller_id", "sellers"), "seller_id", "left")
         .withColumns(
             {
                 "freight_burden": M.freight_burden("freight_value_brl", "merchandise_gmv_brl"),
@@ -423,24 +424,11 @@ def seller_performance(
 def seller_report(sellers_perf: DataFrame) -> DataFrame:
     """All sellers, flagged ones first, then by low-review orders and orders, with ``rank``.
 
-    Sellers are unbounded, so their rank is not one sort in one task: the few different
-    (flag, low-review orders, orders) values are counted and accumulated, and sellers are
-    numbered inside their own value.
+    Sellers are unbounded and most share the same values, so neither a sort in one task nor
+    a window by value ranks them: see ``ranking.ranked``, which writes the sorted rows once.
     """
-    value = ["priority_flag", "low_review_orders", "orders"]
-    order = [F.desc(c) for c in value]
-    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    counts = sellers_perf.groupBy(*value).agg(_count().alias("_n"))
-    offsets = counts.select(*value, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*value).orderBy("seller_id"))
-    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"o.{c}")) for c in value]
-    return (
-        sellers_perf.withColumn("_inside", inside)
-        .alias("s")
-        .join(offsets.alias("o"), same)
-        .select((F.col("_before") + F.col("_inside")).cast("bigint").alias("rank"), *[f"s.{c}" for c in SELLER_COLUMNS])
-        .orderBy("rank")
-    )
+    order = [F.desc("priority_flag"), F.desc("low_review_orders"), F.desc("orders"), F.asc("seller_id")]
+    return ranked(sellers_perf, order).select("rank", *SELLER_COLUMNS).orderBy("rank")
 
 
 def priority_sellers(sellers_perf: DataFrame, limit: int | None = None) -> DataFrame:

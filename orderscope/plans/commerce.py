@@ -11,10 +11,13 @@ Nothing here caches in executor memory or on local disk.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from orderscope.functions import buckets as B
@@ -35,20 +38,48 @@ REQUIRED_TABLES = (
 # Intermediate tables materialize() writes once: groups in dependency order, the tables
 # of one group as concurrent jobs.
 MATERIALIZE_STEPS: tuple[tuple[str, ...], ...] = (
-    ("order_seller_money",),
+    ("order_seller_money", "order_payment_money", "product_category"),
     ("order_fact",),
+    ("order_outcomes",),
     ("order_category", "order_seller"),
 )
+# Stored tables that later joins and groupings meet by one key: written in buckets of it, so
+# those joins and groupings read them without an exchange. All hold one row for each (key,
+# something of few values), so no bucket is much larger than another.
+BUCKETED: dict[str, str] = {
+    "order_seller_money": "order_id",
+    "order_payment_money": "order_id",
+    "order_outcomes": "order_id",
+    "product_category": "product_id",
+}
+MOST_BUCKETS = 4_096
 MATERIALIZED: tuple[str, ...] = tuple(n for step in MATERIALIZE_STEPS for n in step)
 
 
+def _bucket_table(name: str, path: str) -> str:
+    """The catalog name of a bucketed table: buckets are known to the catalog only."""
+    return f"orderscope_{name}_{hashlib.md5(path.encode()).hexdigest()[:12]}"
+
+
 def _write_stored(df: DataFrame, name: str, path: str) -> None:
     if name == "order_fact":
         df.hint("rebalance", "purchase_month").write.mode("overwrite").partitionBy("purchase_month").parquet(path)
+    elif name in BUCKETED:
+        key = BUCKETED[name]
+        buckets = min(MOST_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        rows = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+        rows.option("path", path).format("parquet").saveAsTable(_bucket_table(name, path))
     else:
         df.write.mode("overwrite").parquet(path)
 
 
+def _read_stored(df: DataFrame, name: str, path: str) -> DataFrame:
+    spark = df.sparkSession
+    if name in BUCKETED:
+        return spark.table(_bucket_table(name, path)).select(*df.columns)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 @dataclass
 class ModelParams:
     """Thresholds and windows; the defaults are the published ones."""
@@ -86,13 +117,27 @@ class CommerceModel:
         return model.latest_review(self.t("order_reviews"))
 
     def product_category(self) -> DataFrame:
+        if "product_category" in self.stored:
+            return self.stored["product_category"]
         return model.product_category(self.t("products"), self.t("category_translation"))
 
     def item_order(self) -> DataFrame:
         return model.item_order_from_pairs(self.order_seller_money())
 
     def payment_order(self) -> DataFrame:
-        return model.payment_order(self.t("order_payments"))
+        return model.payment_order(self.order_payment_money())
+
+    def order_payment_money(self) -> DataFrame:
+        """(order, payment type) records and value: the one aggregation of the payments."""
+        if "order_payment_money" in self.stored:
+            return self.stored["order_payment_money"]
+        return model.order_payment_money(self.t("order_payments"))
+
+    def order_outcomes(self) -> DataFrame:
+        """The outcome of each delivered order, which money tables meet by order."""
+        if "order_outcomes" in self.stored:
+            return self.stored["order_outcomes"]
+        return model.order_outcomes(self.delivered)
 
     def order_seller_money(self) -> DataFrame:
         """(order, seller) money of every order: the one aggregation of the item table."""
@@ -110,6 +155,7 @@ class CommerceModel:
             self.t("order_reviews"),
             low_review_max=self.params.low_review_max,
             item_orders=model.item_order_from_pairs(self.order_seller_money()),
+            payment_money=self.order_payment_money(),
         )
 
     def order_fact(self) -> DataFrame:
@@ -129,21 +175,26 @@ class CommerceModel:
         if "order_category" in self.stored:
             return self.stored["order_category"]
         return model.order_category(
-            self.t("order_items"), self.t("products"), self.t("category_translation"), self.delivered
+            self.t("order_items"),
+            self.t("products"),
+            self.t("category_translation"),
+            self.delivered,
+            self.product_category(),
+            self.order_outcomes(),
         )
 
     def order_seller(self) -> DataFrame:
         if "order_seller" in self.stored:
             return self.stored["order_seller"]
         return model.order_seller(
-            self.t("order_items"), self.t("sellers"), self.delivered, self.order_seller_money()
+            self.t("order_items"), self.t("sellers"), self.delivered, self.order_seller_money(), self.order_outcomes()
         )
 
     def seller_pairs(self) -> DataFrame:
         """(order, seller) rows with outcomes, without the seller's state."""
         if "order_seller" in self.stored:
             return self.stored["order_seller"].drop("seller_state")
-        return model.order_seller_outcomes(self.order_seller_money(), self.delivered)
+        return model.order_seller_outcomes(self.order_seller_money(), self.delivered, self.order_outcomes())
 
     def customer_orders(self) -> DataFrame:
         return model.customer_orders(self.delivered)
@@ -185,7 +236,7 @@ class CommerceModel:
         return reports.monthly_report(self.delivered, self.params.month_from, self.params.month_to)
 
     def payment_mix(self) -> DataFrame:
-        return reports.payment_mix(self.t("order_payments"), self.delivered)
+        return reports.payment_mix(self.order_payment_money(), self.order_outcomes())
 
     def seller_performance(self) -> DataFrame:
         return reports.seller_performance(
@@ -263,9 +314,9 @@ class CommerceModel:
         self, path: str | None = None, names: tuple[str, ...] = MATERIALIZED
     ) -> CommerceModel:
         """Write the model's intermediate tables once and return a model whose reports
-        read them back. Tables already stored are kept. Before anything is written, a key
-        that a join relies on and that several rows hold raises ``IntegrityError``: it
-        would multiply money.
+        read them back. Tables already stored are kept. A key that a join relies on and that
+        several rows hold raises ``IntegrityError``, from the join itself (``model.unique_rows``):
+        it would multiply money.
 
         ``order_seller_money`` is the single aggregation of the item table; the order fact
         (all statuses) takes its item totals from it and feeds every report -- the
@@ -277,8 +328,6 @@ class CommerceModel:
         folder is on
         shared storage and survives the loss of any executor.
         """
-        if not self.stored:
-            quality.check_join_keys(self.tables)
         base = path or scratch_path(self.spark, "model")
         current = self
         wanted = set(names) - set(self.stored)
@@ -288,31 +337,36 @@ class CommerceModel:
             for name in group:
                 frames[name] = getattr(current, name)()
             paths = {name: f"{base.rstrip('/')}/{name}" for name in group}
-            write_concurrently([lambda n=name, df=df: _write_stored(df, n, paths[n]) for name, df in frames.items()])
-            stored = {
-                name: self.spark.read.schema(df.schema).parquet(paths[name]).select(*df.columns)
-                for name, df in frames.items()
-            }
+            try:
+                write_concurrently([lambda n=name, df=df: _write_stored(df, n, paths[n]) for name, df in frames.items()])
+            except PySparkException as failed:
+                found = re.search(rf"{model.DUPLICATE_KEY} [^\n]*", str(failed))
+                if found:
+                    raise quality.IntegrityError(found.group(0)) from failed
+                raise
+            stored = {name: _read_stored(df, name, paths[name]) for name, df in frames.items()}
             current = CommerceModel(self.tables, self.params, {**current.stored, **stored})
         return current
 
 
 # The stored tables that make a report cheap, by name; all other operators read the raw tables.
+_FACT = ("order_seller_money", "order_payment_money", "order_fact")
 STORED_FOR: dict[str, tuple[str, ...]] = {
     **dict.fromkeys(
         (
             "order_fact", "delivered_fact", "customer_orders", "kpi_summary", "kpi_extended", "delay_impact",
-            "state_performance", "state_report", "repeat_customers", "monthly_performance", "monthly_report", "payment_mix",
+            "state_performance", "state_report", "repeat_customers", "monthly_performance", "monthly_report",
         ),
-        ("order_seller_money", "order_fact"),
+        _FACT,
     ),
+    "payment_mix": (*_FACT, "order_outcomes"),
     **dict.fromkeys(
         ("order_category", "category_performance", "category_report", "priority_categories", "findings_summary"),
-        ("order_seller_money", "order_fact", "order_category"),
+        (*_FACT, "product_category", "order_outcomes", "order_category"),
     ),
     **dict.fromkeys(
         ("order_seller", "seller_performance", "seller_report", "priority_sellers", "seller_risk_summary"),
-        ("order_seller_money", "order_fact", "order_seller"),
+        (*_FACT, "order_outcomes", "order_seller"),
     ),
     **dict.fromkeys(("summary_document", "summary_rows"), MATERIALIZED),
 }

@@ -8,6 +8,7 @@ import pytest
 
 from orderscope.__main__ import main as cli_main
 from orderscope.plans.jobs import run_build, run_file_audit
+from orderscope.sources.sinks import read_manifest
 from test_quality_io import CSV_PRODUCTS, CSV_REVIEWS
 
 RAW = {
@@ -92,5 +93,5 @@ def test_cli_build_with_file_name_map(spark, raw_dir, tmp_dir, capsys):
               os.path.join(tmp_dir, "cli_landed"), out])
     printed = capsys.readouterr().out
     assert "seller_performance" in printed
-    sellers = _read(spark, os.path.join(out, "seller_performance")).collect()
+    sellers = _read(spark, read_manifest(spark, out)["seller_performance"]).collect()
     assert [r["seller_state"] for r in sellers] == ["PR"]

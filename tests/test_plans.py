@@ -100,9 +100,14 @@ def test_full_scale_shuffle_budget(landed, no_broadcast):
     for i, name in enumerate(MATERIALIZED):
         before = {k: model.stored[k] for k in MATERIALIZED[:i]}
         jobs[name] = shuffles(getattr(CommerceModel(model.tables, model.params, before), name)())
-    # items are aggregated once to (order, seller); the fact adds orders/customers/
-    # payments/reviews and one re-key to order_id; attribution joins outcomes by order_id
-    assert jobs == {"order_seller_money": 1, "order_fact": 6, "order_category": 7, "order_seller": 4}
+    # items and payments are aggregated once and put into buckets of their order; the fact adds
+    # orders, customers and reviews and one re-key to order_id, and attribution meets outcomes
+    # in their buckets: what is left are items by product, pairs by (order, category) and by order
+    assert jobs == {
+        "order_seller_money": 1, "order_payment_money": 1, "product_category": 3, "order_fact": 4,
+        "order_outcomes": 0, "order_category": 3, "order_seller": 2,
+    }
+    assert shuffles(model.payment_mix()) == 1
     assert shuffles(model.kpi_extended()) == 1
     assert shuffles(model.kpi_summary()) == 0
     assert shuffles(model.state_performance()) == 1
