@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import orderscope
-from orderscope.session import app_id, scratch_path
+from orderscope.session import app_id, remove_path, scratch_path
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -25,7 +28,21 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, f"llm-{name}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    saved = df.sparkSession.read.schema(df.schema).parquet(path)
+    _SAVED[saved] = path
+    return saved
+
+
+_SAVED: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def free(*saved: DataFrame | None) -> None:
+    """Delete what save() wrote for these frames: only where nothing will read it any more,
+    which holds when all that was derived from them is itself saved."""
+    for df in saved:
+        path = _SAVED.pop(df, None) if df is not None else None
+        if path:
+            remove_path(df.sparkSession, path)
 
 
 _SHIPPED: set[str] = set()
@@ -51,6 +68,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def tidy(run):
+    """A task's generator function that gives memory back when the task ends: Python workers are
+    reused, and else keep what the largest of their tasks needed."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of ``df`` has it."""
     held = {c.lower() for c in df.columns}
