@@ -12,9 +12,11 @@ part of the corpus), on top of a short seed list; so do the weights of the claus
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from dataclasses import dataclass
+from math import log2
 
 import ahocorasick
 import numpy as np
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderscope.llm.common import remainder, save, table
+from orderscope.llm.common import remainder, save, table, tidy, unused
 
 # Seed words of the grammar. Insults are extended and weighted by the labels.
 INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb imbecile bastard jerk".split()
@@ -35,10 +37,10 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 SYMBOLS = 6
 KINDS = ("aimed", "bare", "threat", "negated", "reported")
 CLAUSE_END = re.compile(r"[.!?;:\n]")
-MAX_LEXICON = 20_000  # learnt words and stems kept, the strongest first: a bound on the model
+MAX_LABELLED = 1_000_000  # labelled rows that the model is fitted to, chosen by hash beyond it
 BROADCAST_LABELS = 2_000_000  # 16 bytes each
-CLAUSE_CAP = 2.0  # the weight of the matches of one kind in a clause
-CAP = 4  # clauses of a kind that the calibration tells apart
+STEP = 4  # parts of one in which the calibration counts log weights
+MARKS = ".!?;:\n"
 
 
 # -- transducers --------------------------------------------------------------------------
@@ -127,7 +129,7 @@ _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 @dataclass(frozen=True)
 class Model:
-    """What scoring needs: at most MAX_LEXICON (text, is_stem, weight), and the clause weights."""
+    """What scoring needs: (text, is_stem, weight) of the lexicon, and the clause weights."""
 
     lexicon: tuple[tuple[str, bool, float], ...]
     bias: float
@@ -166,7 +168,8 @@ class Reader:
         for at, _ in self.find.iter(text):
             if out and at < out[-1][1]:
                 continue
-            start = max(text.rfind(c, 0, at) for c in ".!?;:\n") + 1
+            behind = out[-1][1] if out else 0  # looked through before, so long texts take time in proportion
+            start = max(behind - (not out), *(text.rfind(c, behind, at) for c in MARKS)) + 1
             stop = CLAUSE_END.search(text, at)
             span = (start, stop.start() if stop else len(text))
             if not out or span != out[-1]:
@@ -174,8 +177,8 @@ class Reader:
         return out
 
     def __call__(self, text: str | None) -> list[tuple[str, float, str]]:
-        """(kind, weight, clause) for each kind of pattern matched in a clause; matches of one
-        kind add up to CLAUSE_CAP."""
+        """(kind, weight, clause) for each kind of pattern matched in a clause; the weights of
+        matches of one kind add up, and count with their logarithm."""
         low = (text or "").lower()
         found = []
         for a, b in self.clauses(low):
@@ -188,15 +191,21 @@ class Reader:
                     threat = weight
                 if out:
                     kind = KINDS[out - 1]
-                    best[kind] = min(CLAUSE_CAP, best.get(kind, 0.0) + (weight if symbol == INSULT else threat))
-            found.extend((kind, w, low[a:b]) for kind, w in best.items())
+                    best[kind] = best.get(kind, 0.0) + (weight if symbol == INSULT else threat)
+            found.extend((kind, log2(1 + w), low[a:b]) for kind, w in best.items())
         return found
 
     def features(self, text: str | None) -> np.ndarray:
-        total = np.zeros(len(KINDS))
-        for kind, weight, _ in self(text):
-            total[KINDS.index(kind)] += weight
-        return total
+        return features_of(self(text))
+
+
+def features_of(found: list[tuple[str, float, str]]) -> np.ndarray:
+    """The weight of each kind in a text: log2 of one and the sum over its clauses, so the first
+    clauses count most, a plain one counts 1, and none is left out."""
+    total = np.zeros(len(KINDS))
+    for kind, weight, _ in found:
+        total[KINDS.index(kind)] += weight
+    return np.log2(1 + total)
 
 
 # -- learning -----------------------------------------------------------------------------
@@ -215,12 +224,13 @@ def _word_counts(labelled: DataFrame) -> DataFrame:
                 {"word": words, "toxic": [counts[1][w] for w in words], "clean": [counts[0][w] for w in words]}
             )
 
-    rows = labelled.mapInPandas(run, "word string, toxic long, clean long")
+    rows = labelled.mapInPandas(tidy(run), "word string, toxic long, clean long")
     return rows.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def learn_lexicon(labelled: DataFrame, min_documents: int = 3, min_contexts: int = 3, min_odds: float = 2.5) -> list[tuple[str, bool, float]]:
-    """Words and stems that mark toxic texts, with their log odds, at most MAX_LEXICON.
+    """Words and stems that mark toxic texts, with their log odds; those of at most MAX_LABELLED
+    rows, so few enough for the driver and the model.
 
     The evidence of a word (its log likelihood ratio against the share of toxic texts)
     must exceed what the best of all the words tested would show by chance. What counts is
@@ -243,8 +253,7 @@ def learn_lexicon(labelled: DataFrame, min_documents: int = 3, min_contexts: int
     def odds(t: float, c: float) -> float:
         return float(np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1)))
 
-    # Candidates: more toxic documents than min_odds asks for, on evidence beyond chance; the
-    # ones with the most evidence first.
+    # Candidates: more toxic documents than min_odds asks for, on evidence beyond chance.
     rate = (F.col("toxic") + 0.5) / (toxic + 1.0) * (clean + 1.0) / (F.col("clean") + 0.5)
     likely = (F.col("toxic") >= min_documents) & (rate >= float(np.exp(min_odds)))
     parts = [
@@ -263,9 +272,7 @@ def learn_lexicon(labelled: DataFrame, min_documents: int = 3, min_contexts: int
         .union(stems.where(likely & (F.col("forms") >= 3)).select(F.col("stem").alias("word"), F.lit(True), "toxic", "clean"))
         .withColumn("evidence", parts[0] + parts[1])
         .where(F.col("evidence") >= chance)
-        .orderBy(F.desc("evidence"), "word", "is_stem")
-        .limit(4 * MAX_LEXICON)
-        .collect()
+        .collect()  # words beyond chance in a bounded number of rows
     )
     clean_of = {(r["word"], r["is_stem"]): r["clean"] for r in found}
     whole = {w for w, s in clean_of if not s}
@@ -282,13 +289,14 @@ def learn_lexicon(labelled: DataFrame, min_documents: int = 3, min_contexts: int
                     hits = [(word, False)] if word in whole else []
                     hits += [(word[:n], True) for n in sizes if len(word) > n and word[:n] in stem]
                     if hits:
-                        beside = f"{words[i - 1][:12]} {words[i + 1][:12]}"
+                        near = f"{words[i - 1]} {words[i + 1]}".encode("utf-8", "surrogatepass")
+                        beside = int.from_bytes(hashlib.blake2b(near, digest_size=8).digest(), "big", signed=True)
                         out.update((w, s, beside) for w, s in hits)
             yield pd.DataFrame(list(out), columns=["word", "is_stem", "beside"])
 
     beside = (
         labelled.where("toxic = 1")
-        .mapInPandas(contexts, "word string, is_stem boolean, beside string")
+        .mapInPandas(tidy(contexts), "word string, is_stem boolean, beside long")
         .distinct()
         .groupBy("word", "is_stem")
         .count()
@@ -305,7 +313,7 @@ def learn_lexicon(labelled: DataFrame, min_documents: int = 3, min_contexts: int
     kept = [(w, s, o / strongest) for w, s, o in kept]
     seen = {w for w, s, _ in kept if not s}
     kept += [(w, False, 1.0) for w in INSULTS if w not in seen]
-    return sorted(kept, key=lambda x: (-x[2], x[0], x[1]))[:MAX_LEXICON]
+    return sorted(kept, key=lambda x: (-x[2], x[0], x[1]))
 
 
 # Weights of the clause kinds, and the bias, before any label is seen.
@@ -339,19 +347,19 @@ def train(labelled: DataFrame) -> Model:
     def counted(frames):
         reader = Reader(lexicon)
         for frame in frames:
-            x = [np.minimum(np.round(2 * reader.features(t)), 2 * CAP).astype(int) for t in frame["text"]]
+            x = [np.round(STEP * reader.features(t)).astype(int) for t in frame["text"]]
             out = pd.DataFrame(x, columns=list(KINDS))
             out["toxic"] = frame["toxic"].to_numpy()
             yield out.groupby([*KINDS, "toxic"]).size().rename("n").reset_index()
 
     kinds = ", ".join(f"{k} int" for k in KINDS)
-    rows = (  # capped counts: at most 2 * 9 ** 5 rows whatever the input
-        labelled.mapInPandas(counted, f"{kinds}, toxic int, n long").groupBy(*KINDS, "toxic").agg(F.sum("n").alias("n")).collect()
+    rows = (  # logarithms in steps: few different rows, and at most as many as labelled ones
+        labelled.mapInPandas(tidy(counted), f"{kinds}, toxic int, n long").groupBy(*KINDS, "toxic").agg(F.sum("n").alias("n")).collect()
     )
     y = np.array([r["toxic"] for r in rows], float)
     if len(set(y)) < 2:
         return Model(tuple(lexicon), PRIOR[-1], PRIOR[:-1])
-    x = np.array([[r[k] / 2 for k in KINDS] for r in rows], float)
+    x = np.array([[r[k] / STEP for k in KINDS] for r in rows], float)
     w = _logistic(x, y, np.array([r["n"] for r in rows], float))
     return Model(tuple(lexicon), float(w[-1]), tuple(map(float, w[:-1])))
 
@@ -373,15 +381,12 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             score, clauses = [], []
             for text in series:
                 found = reader(text)
-                x = np.zeros(len(KINDS))
-                for kind, weight, _ in found:
-                    x[KINDS.index(kind)] += weight
-                z = model.bias + float(np.minimum(x, CAP) @ w)
+                z = model.bias + float(features_of(found) @ w)
                 score.append(1 / (1 + np.exp(-z)))
                 clauses.append([{"kind": k, "weight": float(v), "text": t} for k, v, t in found])
             yield pd.DataFrame({"toxicity": np.array(score, float), "clauses": clauses})
 
-    scored = F.pandas_udf(run, "toxicity double, clauses array<struct<kind: string, weight: double, text: string>>", F.PandasUDFType.SCALAR_ITER)
+    scored = F.pandas_udf(tidy(run), "toxicity double, clauses array<struct<kind: string, weight: double, text: string>>", F.PandasUDFType.SCALAR_ITER)
     return (
         keep.withColumn("_tox_found", scored(F.col("text")))
         .select(*keep.columns, "_tox_found.toxicity", F.size("_tox_found.clauses").alias("matches"), "_tox_found.clauses")
@@ -389,13 +394,19 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts of the rows the model may learn from: crc32(doc_id as text) mod 5 is not 0.
+    """Texts of the rows the model may learn from: crc32(doc_id as text) mod 5 is not 0; of more
+    than MAX_LABELLED labelled ids about as many, chosen by hash.
 
-    Several labels of one id count once, as toxic where any is.
+    Defined cases: several labels of one id count once, as toxic where any is; null ids and
+    null labels teach nothing; ids without a document are left out; an empty table gives
+    no rows.
     """
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     one = save(one, "labels")
-    if one.count() <= BROADCAST_LABELS:  # else the texts are joined by shuffle
+    n = one.count()
+    if n > MAX_LABELLED:
+        one = one.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 32) < int((1 << 32) * MAX_LABELLED / n))
+    if min(n, MAX_LABELLED) <= BROADCAST_LABELS:  # else the texts are joined by shuffle
         one = F.broadcast(one)
     return docs.select("doc_id", "text").where(remainder(F.col("doc_id")) != 0).join(one, "doc_id").select("text", "toxic")
 
@@ -414,6 +425,11 @@ def op2_toxicity(spark, sf_dir):
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents scored below the threshold, columns as they are."""
+    """The documents scored below the threshold, columns as they are, whatever their names.
+
+    Defined cases: as score_documents(); without labels the seed lists decide.
+    """
     model = train(labelled_rows(docs, labels))
-    return score_documents(docs, model).where(F.col("toxicity") < threshold).select(*docs.columns)
+    clash = {c: unused(docs, f"kept_{c}") for c in docs.columns if c.lower() in ("toxicity", "matches", "clauses")}
+    scored = score_documents(docs.withColumnsRenamed(clash), model).where(F.col("toxicity") < threshold)
+    return scored.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])

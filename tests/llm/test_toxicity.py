@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import random
+import time
+import zlib
 
 import pytest
-
 from orderscope.llm import toxicity
 from orderscope.llm.queries import QUERIES
 from orderscope.llm.toxicity import KINDS, PRIOR, Model, Reader, learn_lexicon, reject_toxic, score_documents, train
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
 PLAIN = Model((("idiot", False, 1.0), ("scum", False, 1.0), ("zork", True, 1.0)), PRIOR[-1], PRIOR[:-1])
@@ -53,17 +55,58 @@ def test_reader_equals_a_scan_of_every_clause():
         assert sorted(reader(text)) == sorted(slow(text))
 
 
-def test_a_bounded_lexicon_keeps_the_words_with_most_evidence(spark, monkeypatch):
-    """Five frequent words that clean texts use too, and a rarer one that they never use."""
-    monkeypatch.setattr(toxicity, "MAX_LEXICON", 1)
+def test_long_texts_take_time_in_proportion():
+    """Clauses are found by looking through a text once, however many there are."""
+    reader = Reader(PLAIN.lexicon)
+    text = "you idiot, said nobody. plain words in a clause! " * 100_000  # 5 MB
+    start = time.process_time()
+    found = reader(text)
+    assert time.process_time() - start < 8
+    assert len(found) == 100_000
+    once = "plain words and nothing of the list here. " * 100_000 + "you idiot"
+    start = time.process_time()
+    assert len(reader(once)) == 1
+    assert time.process_time() - start < 2
+
+
+def test_no_match_is_cut_off():
+    """More insults, more clauses: more weight, without an end."""
+    reader = Reader(PLAIN.lexicon)
+    weights = [reader.features("you idiot. " * n)[0] for n in (1, 2, 10, 100, 10_000)]
+    assert weights == sorted(set(weights)) and weights[0] == 1
+    weights = [reader.features("you " + "idiot scum " * n).sum() for n in (1, 2, 10, 100)]
+    assert weights == sorted(set(weights))
+
+
+def test_the_whole_lexicon_is_kept(spark):
+    """Strong and weak words beyond chance, all of them, by their odds."""
     rng = random.Random(2)
     word = lambda: "".join(rng.choices("bcdefgh", k=8))
-    texts = [(w, 1, 60) for w in ("weakb", "weakc", "weakd", "weake", "weakf")] + [("aaargle", 1, 40)]
-    texts += [(w, 0, 40) for w in ("weakb", "weakc", "weakd", "weake", "weakf")]
+    weak = [f"weak{c}" for c in "bcdef"]
+    texts = [(w, 1, 60) for w in weak] + [("aaargle", 1, 40)] + [(w, 0, 40) for w in weak]
     rows = [(f"{word()} {w} {word()}", toxic) for w, toxic, n in texts for _ in range(n)]
     rows += [(f"{word()} {word()}", 0) for _ in range(3000)]
     words = [w for w, _, _ in learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))]
-    assert words == ["aaargle"]
+    assert set(words) >= {"aaargle", *weak} and words.index("aaargle") < min(words.index(w) for w in weak)
+
+
+def test_neighbours_are_told_apart_by_whole_words(spark):
+    """Words that differ after many characters are different neighbourhoods."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows = [(f"averylongsharedprefix{i} grunk {word()[:0]}anotherlongprefix{i}", 1) for i in range(60)]
+    rows += [(" ".join(word() for _ in range(6)), 0) for _ in range(400)]
+    words = {w for w, _, _ in learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))}
+    assert "grunk" in words
+
+
+def test_bounded_labelled_rows(spark, monkeypatch):
+    docs = spark.range(2_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("toxic"))
+    whole = toxicity.labelled_rows(docs, labels).count()
+    assert whole == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(2_000))
+    monkeypatch.setattr(toxicity, "MAX_LABELLED", 500)
+    assert 0.15 * whole < toxicity.labelled_rows(docs, labels).count() < 0.35 * whole
 
 
 def test_lexicon_ignores_words_of_copied_sentences(spark):
