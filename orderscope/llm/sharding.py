@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from orderscope.llm.common import hash62, save, shuffle_partitions
 
 KEY_BITS = 62
+WHOLE = 0.25  # of a shard: a group up to this size is not parted
 G, O, N = "_hs_group", "_hs_order", "_hs_size"  # noqa: E741
 
 
@@ -63,14 +64,19 @@ def _histogram(keys: DataFrame, active: list[_Search], probes: int) -> dict[int,
     return out
 
 
-def find_splitters(keys: DataFrame, total: int, n_shards: int, tolerance: float, probes: int) -> list[tuple[int, int]]:
+def find_splitters(
+    keys: DataFrame, total: int, n_shards: int, tolerance: float, probes: int, whole: float = WHOLE
+) -> list[tuple[int, int]]:
     """The n_shards - 1 splitters, ascending, each within tolerance * total / n_shards bytes.
 
-    A boundary between two groups is taken where one is within the tolerance; otherwise
-    the group is split by its order key. Rows with the same group and order key cannot be
-    parted; their splitter goes to the nearer end.
+    A boundary between two groups is taken where one is within the tolerance, or where the
+    group that the splitter falls into is at most ``whole`` of a shard: its nearer end, so a
+    shard misses its size by half of that at most. A larger group is split by its order
+    key. Rows with the same group and order key cannot be parted; their splitter goes to
+    the nearer end.
     """
     slack = tolerance * total / n_shards
+    kept = whole * total / n_shards
     found = [_Search(target=total * i // n_shards) for i in range(1, n_shards)]
     while active := [s for s in found if s.found is None]:
         seen = _histogram(keys, active, probes)
@@ -83,9 +89,10 @@ def find_splitters(keys: DataFrame, total: int, n_shards: int, tolerance: float,
                 cum = end
             at = (lambda k, s=s: (k, 0)) if s.level == G else (lambda k, s=s: (s.group, k))
             near, gap = min(((at(r["first"]), s.target - cum), (at(r["last"] + 1), end - s.target)), key=lambda x: abs(x[1]))
-            if abs(gap) <= slack or (s.level == O and r["first"] == r["last"]):
+            one = r["first"] == r["last"]
+            if abs(gap) <= slack or (one and (s.level == O or r["bytes"] <= kept)):
                 s.found = near
-            elif r["first"] == r["last"]:
+            elif one:
                 s.level, s.group, s.lo, s.hi, s.below = O, r["first"], 0, 1 << KEY_BITS, cum
             else:
                 s.lo, s.hi, s.below = r["first"], r["last"] + 1, cum
@@ -118,19 +125,21 @@ def histogram_sort(
     """``df`` with ``shard`` (0 to n_shards - 1, near equal sums of ``size``) and ``slot``.
 
     Slots count from 0 without gaps inside each shard, in key order. Rows of one group
-    (equal ``group`` columns) are neighbours and share a shard, unless a splitter falls
-    deeper inside the group than the tolerance allows.
+    (equal ``group`` columns) are neighbours and share a shard, unless the group is larger
+    than a quarter of a shard (WHOLE) and a splitter falls into it.
 
     Defined cases: a null size counts as 0, null group or order values are values like any
     other; repeated rows keep one slot each; fewer rows than shards leave shards empty; an
-    empty table gives an empty result; columns of ``df`` named shard or slot are replaced.
+    empty table gives an empty result; columns of ``df`` named shard or slot are replaced,
+    all others kept, whatever their names.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
     spark = df.sparkSession
-    rows = df.drop("shard", "slot").withColumns(
-        {G: hash62(*group), O: hash62(*order), N: F.coalesce(size.cast("long"), F.lit(0))}
-    )
+    own = [c for c in df.columns if c.lower() not in ("shard", "slot")]
+    held = {c: f"_hs_{i}" if c.startswith("_hs_") else c for i, c in enumerate(own)}  # own names in the way
+    sort_keys = hash62(*group).alias(G), hash62(*order).alias(O), F.coalesce(size.cast("long"), F.lit(0)).alias(N)
+    rows = df.select(*[F.col(f"`{c}`").alias(held[c]) for c in own], *sort_keys)
     keys = save(rows.select(G, O, N), "shard-keys")
     count, total = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(N), F.lit(0))).first()
     splitters = find_splitters(keys, total, n_shards, tolerance, probes) if total else []
@@ -166,11 +175,13 @@ def histogram_sort(
         .withColumn("slot", F.row_number().over(inside) - 1)
         .join(F.broadcast(offsets), piece)
         .withColumn("slot", (F.col("slot") + F.col("_hs_before")).cast("long"))
-        .drop(G, O, N, "_hs_high", "_hs_low", "_hs_before")
+        .select(*[F.col(f"`{held[c]}`").alias(c) for c in own], "shard", "slot")
     )
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 40, tolerance: float = 0.005) -> DataFrame:
-    """Documents in shards of near equal bytes (UTF-8 text plus 16 for each row)."""
+    """Documents in shards of near equal bytes (UTF-8 text plus 16 for each row); equal texts are
+    a group. Defined cases: as histogram_sort(); a null text has no bytes and is equal to
+    other null ones."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(16)
     return histogram_sort(docs, n_shards, size, [F.col("text")], [F.col("doc_id")], tolerance)

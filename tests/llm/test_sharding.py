@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -69,6 +70,32 @@ def test_query(spark):
     assert {r["law"] for r in rows} == {"bytes"} and {r["grown_shard"] for r in rows} == {None}
 
 
+def test_query_values(spark):
+    """Sizes, hashes, gapless slots, and no group parted that is at most a quarter of a shard."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    rows = QUERIES["op1_histogram_sort"](spark, "/root/testdata/sf0.1").collect()
+    assert len(rows) == len(text)
+    slots, shards, size = defaultdict(list), defaultdict(set), defaultdict(int)
+    for r in rows:
+        t = text[r["doc_id"]]
+        assert (r["size"], r["text_crc32"]) == (len(t) + 16, zlib.crc32(t))
+        slots[r["shard"]].append(r["slot"])
+        shards[t].add(r["shard"])
+        size[r["shard"]] += r["size"]
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert {t for t, s in shards.items() if len(s) > 1} == set()
+    mean = sum(size.values()) / 40
+    assert max(abs(s - mean) for s in size.values()) <= 0.25 * mean
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", "a", "b", "c") for i in range(50)], "doc_id long, text string, _hs_high string, _hs_group string, `x.y` string")
+    out = shard_documents(docs, 3)
+    assert out.columns == [*docs.columns, "shard", "slot"]
+    assert {tuple(r)[2:5] for r in out.collect()} == {("a", "b", "c")}
+
+
 def test_query_shards_whole_documents(spark, monkeypatch):
     """What the query reports is what shard_documents() wrote, texts included."""
     written = []
