@@ -12,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderscope.llm.common import ascii_lower, save
+from orderscope.llm.common import ascii_lower, save, unused
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 POSITION_BITS = 31  # of a packed fingerprint; the 32 bits above hold the hash
 BROADCAST_ROWS = 1_000_000  # item fingerprints (16 bytes each) sent to every executor at most
+BROADCAST_BYTES = 256 << 20  # characters of four bytes at most
 
 
 def words(text: Column) -> Column:
@@ -72,8 +73,12 @@ def _unpacked(df: DataFrame, packed: Column, position: str, *keep: str) -> DataF
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """Broadcast where the (saved) table is proven small; else Spark joins by shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Broadcast where the (saved) table is proven small, in rows and in bytes of all its words;
+    else Spark joins by shuffle."""
+    words = [F.size(c) + F.coalesce(F.length(F.array_join(c, "")), F.lit(0)) for c, t in df.dtypes if t == "array<string>"]
+    size = F.lit(64) + sum(words, F.lit(0))
+    n, most = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and 4 * most <= BROADCAST_BYTES else df
 
 
 def decontaminate(
@@ -179,11 +184,15 @@ def same_row_columns(a: str, b: str) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
-    """The documents without a hit, all columns as they are."""
+    """The documents without a hit, all columns as they are, whatever their names.
+
+    Defined cases: as decontaminate(); texts without words stay; an empty table gives no rows.
+    """
+    key, found, text_hash = (unused(docs, c) for c in ("_dc_id", "_dc_hash", "_dc_text"))
     hit = decontaminate(docs, benchmark, window, k).where("contaminated")
-    hit = save(hit.select(F.col("doc_id").alias("_dc_id"), F.col("_rk").alias("_dc_hash")).distinct(), "contaminated")
-    same = (F.col("_dc_hash") == F.col("_dc_text")) & F.col("_dc_id").eqNullSafe(F.col("doc_id"))
-    return docs.withColumn("_dc_text", F.xxhash64("text")).join(hit, same, "left_anti").drop("_dc_text")
+    hit = save(hit.select(F.col("doc_id").alias(key), F.col("_rk").alias(found)).distinct(), "contaminated")
+    same = (F.col(found) == F.col(text_hash)) & F.col(key).eqNullSafe(F.col("doc_id"))
+    return docs.withColumn(text_hash, F.xxhash64("text")).join(hit, same, "left_anti").drop(text_hash)
 
 
 def op10_winnowing(spark, sf_dir):

@@ -89,3 +89,23 @@ def test_no_python_in_the_plan(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     plan = decontaminate(docs, spark.read.parquet(f"{SF_SMALL}/benchmark.parquet")).select(F.count("*"))
     assert "Python" not in plan._jdf.queryExecution().toString()
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven", "x", "y", "z")], "doc_id long, text string, _dc_id string, _dc_text string, _dc_hash string")
+    other = spark.createDataFrame([(2, "a b c d e f g h i j k l m")], "item_id long, text string")
+    kept = drop_contaminated(docs, other)
+    assert kept.columns == docs.columns and [tuple(r)[2:] for r in kept.collect()] == [("x", "y", "z")]
+    assert drop_contaminated(docs, docs.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+def test_items_too_large_to_broadcast(spark, monkeypatch):
+    from orderscope.llm import decontamination
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(30)], "doc_id long, text string")
+    items = docs.where("doc_id % 3 = 0").withColumnRenamed("doc_id", "item_id")
+    call = lambda: {(r["doc_id"], r["n_hit"], tuple(r["items"])) for r in decontamination.decontaminate(docs, items).collect()}
+    found = call()
+    assert sum(n == 40 for _, n, _ in found) == 10
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 100)
+    assert call() == found
