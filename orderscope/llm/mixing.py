@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderscope.llm.common import save, table, unused
+from orderscope.llm.common import free, save, table, unused
 
 NONE = "(none)"  # the cell of rows without a value
 SPACES = "\t\n\x0b\x0c\r"  # these and U+0020 part words
@@ -62,34 +62,34 @@ def unit_draw(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def _off(cells: DataFrame, targets: dict[str, DataFrame], weight: str) -> float:
-    """By how much the marginals are off, as a share of their targets at most."""
-    found = [
-        cells.groupBy(name).agg(F.sum(weight).alias("have")).join(target, name).where("target > 0").agg(F.max(F.abs(F.col("have") / F.col("target") - 1)).alias("off"))
-        for name, target in list(targets.items())[: max(1, len(targets) - 1)]  # the last one was scaled last, so it is met
-    ]
-    return reduce(DataFrame.unionByName, found).agg(F.max("off")).first()[0] or 0.0
-
-
 def rake(cells: DataFrame, targets: dict[str, DataFrame], weight: str, residual: float, most_sweeps: int) -> tuple[DataFrame, float]:
     """``cells`` with ``weight`` scaled to the target shares (column ``target``) of each
     dimension in turn, until no marginal is off by more than ``residual`` or ``most_sweeps``
-    are over; and by how much a marginal is off at most. Targets may contradict the cells: a
-    value's only cell may be another's only one.
+    are over; and by how much a marginal was off at most before the last sweep. Targets may
+    contradict the cells: a value's only cell may be another's only one.
 
-    Each step is a partial sum over the cells and a join; a sweep is written out, so the plan
-    stays short however many there are.
+    Each step is a partial sum over the cells and a join, and is written out: plans stay as
+    short as one step, however many there are.
     """
+    columns = cells.columns
+    for i, (name, target) in enumerate(targets.items()):
+        cells = cells.join(target.withColumnRenamed("target", f"_target{i}"), name)
+    cells = save(cells.withColumn("_off", F.lit(0.0)), "raked")
     off = 0.0
     for _ in range(most_sweeps):
-        for name, target in targets.items():
-            total = cells.groupBy(name).agg(F.sum(weight).alias("_sum")).join(target, name)
-            cells = cells.join(total, name).withColumn(weight, F.col(weight) * F.col("target") / F.col("_sum")).drop("_sum", "target")
-        cells = save(cells, "raked")
-        off = _off(cells, targets, weight)
+        for i, name in enumerate(targets):
+            before, total = cells, cells.groupBy(name).agg(F.sum(weight).alias("_sum"))
+            factor = F.coalesce(F.try_divide(f"_target{i}", "_sum"), F.lit(0.0))
+            off_here = F.abs(factor - 1)
+            cells = before.join(total, name).withColumns(
+                {weight: F.col(weight) * factor, "_off": F.greatest("_off", off_here) if i else off_here}
+            )
+            cells = save(cells.drop("_sum"), "raked")
+            free(before)
+        off = cells.agg(F.max("_off")).first()[0] or 0.0
         if off <= residual:
             break
-    return cells, off
+    return cells.select(columns), off
 
 
 def tempered(cells: DataFrame, name: str, exponent: float) -> DataFrame:
