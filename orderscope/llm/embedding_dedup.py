@@ -4,21 +4,23 @@ Every vector is described by its nearest reference points (pivots), in order. Tw
 are compared when they share enough of them: an inverted list for each pivot holds the
 vectors that posted it, shared pivots are counted on bit sets, and candidates are verified
 by cosine in double precision. Posting only the first ``near - shared + 1`` pivots of a
-vector, in one global order, loses no pair that shares ``shared`` of them. The more pivots,
+vector, in one global order, loses no pair that shares ``shared`` of them; long lists are
+split by a second and a third pivot in the same way. The more pivots,
 the fewer of them two vectors at the threshold share, so the number of nearest pivots is
 widened until pairs made at the threshold are found.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderscope.llm.common import save, table
+from orderscope.llm.common import save, table, tidy
 from orderscope.llm.graph import components
 
 THRESHOLD = 0.9
@@ -28,7 +30,7 @@ MAX_PIVOTS = 65_536  # the bound on the sample that the index is fitted on
 APART = 0.8  # pivots have cosines below it with one another
 RECALL = 0.97  # of pairs right at the threshold, for which the number of near pivots is widened
 TRIALS = 1024  # such pairs
-BLOCK = 256  # vectors of one list that are compared with one another at once
+BLOCK = 256  # vectors of one list that are compared with one another at once; longer lists are split
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -112,23 +114,107 @@ def _widened(sample: np.ndarray, pivots: np.ndarray, near: int, shared: int, thr
     return len(pivots)
 
 
-def _describe(vectors: DataFrame, pivots: np.ndarray, dim: int, near: int, posts: int) -> DataFrame:
-    """(id, v, w, nearest: pivots by closeness, posted: those under which it is listed)."""
+def _describe(vectors: DataFrame, pivots: np.ndarray, dim: int, near: int) -> DataFrame:
+    """(id, w, own): the nearest pivots of each vector, ascending by number."""
     near = min(near, len(pivots))
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                nearest = _nearest(_unit(_matrix(part.column("v"), dim)), pivots, near)
-                posted = np.sort(nearest, axis=1)[:, :posts]
+                own = np.sort(_nearest(_unit(_matrix(part.column("v"), dim)), pivots, near), axis=1)
+                place = pa.array(np.arange(0, own.size + 1, own.shape[1], dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("v"), part.column("w"), pa.array(list(nearest), pa.list_(pa.int32())), pa.array(list(posted), pa.list_(pa.int32()))],
-                    names=["id", "v", "w", "nearest", "posted"],
+                    [part.column("id"), part.column("w"), pa.ListArray.from_arrays(place, pa.array(own.ravel(), pa.int32()))],
+                    names=["id", "w", "own"],
                 )
 
-    element = vectors.schema["v"].dataType.simpleString()
-    return vectors.mapInArrow(run, f"id long, v {element}, w long, nearest array<int>, posted array<int>")
+    return vectors.mapInArrow(run, "id long, w long, own array<int>")
+
+
+# -- lists --------------------------------------------------------------------------------
+
+
+def _keys(shared: int) -> list[str]:
+    return [f"k{i}" for i in range(shared)]
+
+
+def _narrower(rows: DataFrame, level: int, near: int, shared: int) -> DataFrame:
+    """Rows of lists keyed by ``level`` pivots, in the lists of one pivot more: each larger
+    pivot of the vector that leaves enough larger ones for a pair to share ``shared``."""
+    at = F.array_position("own", F.col(f"k{level - 1}")).cast("int") if level else F.lit(0)
+    count = F.lit(near - shared + level + 1) - at
+    return rows.withColumn(f"k{level}", F.explode(F.slice("own", at + 1, F.greatest(count, F.lit(0)))))
+
+
+def inverted_lists(described: DataFrame, near: int, shared: int) -> DataFrame:
+    """(k0, k1, ..., i, j, chunk, id, w, own): every vector in the lists it is compared in.
+
+    A list holds the vectors that have its pivots among their nearest. A list of more than
+    BLOCK vectors is split by a second pivot, then by a third, where that saves at least
+    half of the comparisons; else, and after ``shared`` pivots, it is cut into chunks, and
+    each pair of chunks is a group of its own. Only ids and pivots are in the lists.
+    """
+    keys = _keys(shared)
+    done: list[DataFrame] = []
+    rows = save(_narrower(described, 0, near, shared), "lists")
+    for level in range(1, shared + 1):
+        held = keys[:level]
+        size = rows.groupBy(*held).agg(F.count(F.lit(1)).alias("n"))
+        long = save(size.where(F.col("n") > BLOCK), "long-lists")
+        if long.isEmpty():
+            done.append(_grouped(rows, keys, level, None))
+            break
+        done.append(_grouped(rows.join(long, held, "left_anti"), keys, level, None))
+        rows = save(rows.join(long, held), "long-rows")
+        if level == shared:
+            done.append(_grouped(rows, keys, level, F.ceil(F.col("n") / BLOCK).cast("int")))
+            break
+        split = save(_narrower(rows, level, near, shared), "split-rows")
+        after = split.groupBy(*held, f"k{level}").agg(F.count(F.lit(1)).alias("m")).groupBy(*held)
+        after = after.agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("cost"))
+        worth = long.join(after, held).where(F.col("cost") * 2 <= F.col("n").cast("double") * F.col("n")).select(*held)
+        worth = save(worth, "worth-splitting")
+        done.append(_grouped(rows.join(worth, held, "left_anti"), keys, level, F.ceil(F.col("n") / BLOCK).cast("int")))
+        rows = split.join(worth, held).drop("n")
+    return reduce(DataFrame.unionByName, done)
+
+
+def _grouped(rows: DataFrame, keys: list[str], level: int, chunks: Column | None) -> DataFrame:
+    rows = rows.withColumns({k: F.lit(-1) for k in keys[level:]})
+    if chunks is None:
+        return rows.select(*keys, *[F.lit(0).alias(c) for c in ("i", "j", "chunk")], "id", "w", "own")
+    chunk = F.pmod(F.xxhash64("id"), chunks).cast("int")
+    rows = rows.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    return rows.select(*keys, F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "w", "own")
+
+
+def _by_group(rows: DataFrame, shared: int, work, schema: str) -> DataFrame:
+    """``work`` on each group of equal keys, i and j of the rows, as (names, rows) -> table or
+    None; a task holds one group at a time."""
+    names = [*_keys(shared), "i", "j"]
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            part = part if rest is None else pa.concat_tables([rest, part])
+            columns = np.stack([part.column(c).to_numpy() for c in names])
+            cuts = np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(axis=0)) + 1
+            edges = np.r_[0, cuts].tolist()
+            for first, stop in zip(edges, edges[1:], strict=False):
+                yield from finished(part.slice(first, stop - first))
+            rest = part.slice(edges[-1])
+        if rest is not None:
+            yield from finished(rest)
+
+    def finished(group):
+        if group.num_rows > 1:
+            out = work([group.column(c)[0].as_py() for c in names], group)
+            if out is not None and out.num_rows:
+                yield from out.combine_chunks().to_batches()
+
+    return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(tidy(run), schema)
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -145,24 +231,24 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _compare(pivot: int, i: int, j: int, rows: pa.Table, dim: int, shared: int, threshold: float) -> pa.Table:
-    """Links inside one list, or between two of its chunks: for each vector the weight of
-    those it is linked to, and one of them it is joined with. A pair is looked at in the
-    list of the smallest pivot that both have, and nowhere else."""
+def _candidates(key: list[int], rows: pa.Table, shared: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The rows by id, and the pairs of them that share ``shared`` pivots. A pair is looked at
+    in the list of the smallest pivots that both have, and nowhere else."""
+    *pivots, i, j = key
+    pivots = [p for p in pivots if p >= 0]
     rows = rows.combine_chunks()
     node = rows.column("id").to_numpy()
-    order = np.argsort(node, kind="stable")
-    rows, node = rows.take(pa.array(order)), node[order]
-    chunk, weight = rows.column("chunk").to_numpy(), rows.column("w").to_numpy()
-    own = _matrix(rows.column("nearest").combine_chunks(), len(rows.column("nearest")[0])).astype(np.int64)
+    rows = rows.take(pa.array(np.argsort(node, kind="stable")))
+    chunk = rows.column("chunk").to_numpy()
+    lists = rows.column("own").combine_chunks()
+    own = lists.flatten().to_numpy().reshape(len(rows), -1).astype(np.int64)
     used, column = np.unique(own, return_inverse=True)
-    words = (len(used) + 63) // 64
-    bits = np.zeros((len(node), words), np.uint64)
     column = column.reshape(own.shape)
+    words = (len(used) + 63) // 64
+    bits = np.zeros((len(rows), words), np.uint64)
     for k in range(own.shape[1]):
-        bits[np.arange(len(node)), column[:, k] // 64] |= np.uint64(1) << (column[:, k] % 64).astype(np.uint64)
-    x = np.flatnonzero(chunk == i)
-    y = np.flatnonzero(chunk == j)
+        bits[np.arange(len(rows)), column[:, k] // 64] |= np.uint64(1) << (column[:, k] % 64).astype(np.uint64)
+    x, y = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
     common = np.zeros((len(x), len(y)), np.uint16)
     for k in range(words):
         common += np.bitwise_count(bits[x, k][:, None] & bits[y, k][None, :])
@@ -170,13 +256,27 @@ def _compare(pivot: int, i: int, j: int, rows: pa.Table, dim: int, shared: int,
     a, b = x[a], y[b]
     if i == j:
         a, b = a[a < b], b[a < b]
-    first = int(np.searchsorted(used, pivot))  # columns before it are smaller pivots
+    upto = int(np.searchsorted(used, pivots[-1]))  # columns before it are smaller pivots
     below = np.zeros(words, np.uint64)
-    below[: first // 64] = ~np.uint64(0)
-    if first % 64:
-        below[first // 64] = (np.uint64(1) << np.uint64(first % 64)) - np.uint64(1)
-    alone = ~((bits[a] & bits[b] & below).any(axis=1))
-    a, b = a[alone], b[alone]
+    below[: upto // 64] = ~np.uint64(0)
+    if upto % 64:
+        below[upto // 64] = (np.uint64(1) << np.uint64(upto % 64)) - np.uint64(1)
+    smaller = np.bitwise_count(bits[a] & bits[b] & below).sum(axis=1)
+    first = smaller == len(pivots) - 1  # the key's other pivots and no more
+    return rows, a[first], b[first]
+
+
+def _met(key: list[int], rows: pa.Table, shared: int) -> pa.Table | None:
+    """Of a group, the rows that have a candidate in it."""
+    rows, a, b = _candidates(key, rows, shared)
+    return rows.take(pa.array(np.unique(np.r_[a, b]))) if len(a) else None
+
+
+def _compare(key: list[int], rows: pa.Table, dim: int, shared: int, threshold: float) -> pa.Table:
+    """Links of a group: for each vector the weight of those it is linked to, and one of them
+    it is joined with."""
+    rows, a, b = _candidates(key, rows, shared)
+    node, weight = rows.column("id").to_numpy(), rows.column("w").to_numpy()
     unit = _unit(_matrix(rows.column("v").combine_chunks(), dim))
     keep = np.zeros(len(a), bool)
     for at in range(0, len(a), 1 << 16):
@@ -229,27 +329,21 @@ def embedding_links(
     if count:
         pivots = _pivots(classes, count, dim)
         near = _widened(_sample(classes, TRIALS, dim, 18), pivots, near, shared, threshold)
-        described = save(_describe(classes, pivots, dim, near, max(1, near - shared + 1)), "described")
-        posts = described.select("id", "v", "w", "nearest", F.explode("posted").alias("pivot"))
-        sizes = described.select(F.explode("posted").alias("pivot")).groupBy("pivot").count()
-        sizes = save(sizes.select("pivot", F.ceil(F.col("count") / BLOCK).cast("int").alias("chunks")), "lists")
-        # A long list is cut into chunks, and each pair of chunks is a group of its own.
-        chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-        blocks = (
-            posts.join(F.broadcast(sizes), "pivot")  # one row for each pivot
-            .withColumn("chunk", chunk)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-            .withColumn("i", F.least("chunk", "other"))
-            .withColumn("j", F.greatest("chunk", "other"))
-            .select("pivot", "i", "j", "chunk", "id", "v", "w", "nearest")
-        )
+        near = min(near, len(pivots))
+        shared = min(shared, near)
+        described = save(_describe(classes, pivots, dim, near), "described")
+        lists = inverted_lists(described, near, shared)
+        names = [*_keys(shared), "i", "j", "chunk", "id", "w", "own"]
+        listed = ", ".join(f"{c} {t}" for c, t in lists.select(*names).dtypes)
+        # First ids and pivots alone; vectors go only where they have a candidate.
+        met = _by_group(lists.select(*names), shared, lambda key, rows: _met(key, rows, shared), listed)
+        met = save(met, "met")
+        met = met.join(classes.select("id", "v"), "id").select(*names, "v")
 
         def compare(key, rows):
-            pivot, i, j = (k.as_py() for k in key)
-            return _compare(pivot, i, j, rows, dim, shared, threshold)
+            return _compare(key, rows, dim, shared, threshold)
 
-        found = blocks.groupBy("pivot", "i", "j").applyInArrow(compare, "id long, links long, joined long")
-        found = save(found, "links")
+        found = save(_by_group(met, shared, compare, "id long, links long, joined long"), "links")
         links = found.groupBy("id").agg(F.sum("links").alias("links"))
         groups = components(found, "id", "joined").withColumnsRenamed({"node": "id", "root": "group"})
         member = member.join(links, "id", "left").join(groups, "id", "left")

@@ -5,6 +5,7 @@ import pytest
 
 from orderscope.llm import embedding_dedup
 from orderscope.llm.embedding_dedup import _labels, embedding_links
+from orderscope.llm.queries import QUERIES
 
 INF, NAN = float("inf"), float("nan")
 
@@ -17,7 +18,7 @@ def brute(ids, vectors, threshold=0.9):
     return close, np.asarray(ids)[label]
 
 
-@pytest.mark.parametrize("block", [256, 16])
+@pytest.mark.parametrize("block", [256, 16, 4])
 def test_recall_and_precision(spark, block, monkeypatch):
     """Families with cosines spread around the threshold, and one large family."""
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
@@ -71,3 +72,58 @@ def test_recall_with_as_many_pivots_as_a_large_table_has(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
     found = embedding_links(df).where("n_links > 0").count()
     assert found >= 0.94 * len(vectors)
+
+
+def with_links(n, families, dim=64, seed=6):
+    """Vectors in no cluster, families of copies at cosines around the threshold, and one
+    large cluster."""
+    rng = np.random.default_rng(seed)
+    parts = [rng.normal(size=(n, dim))]
+    for _ in range(families):
+        parts.append(rng.normal(size=dim) + rng.normal(size=(rng.integers(2, 6), dim)) * rng.uniform(0.05, 0.36))
+    parts.append(rng.normal(size=dim) + rng.normal(size=(400, dim)) * 0.1)
+    vectors = np.concatenate(parts).astype(np.float32)
+    return vectors[rng.permutation(len(vectors))]
+
+
+def test_query_recall_of_every_twentieth_vector(spark, tmp_path):
+    """The registered query on a table with links: the vectors whose id is divisible by 20,
+    against all rows."""
+    vectors = with_links(3_000, 700)
+    d = str(tmp_path)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5).write.parquet(f"{d}/embeddings.parquet")
+    got = {r["vec_id"]: r for r in QUERIES["op4_pivot_index"](spark, d).collect()}
+    unit = vectors.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    asked = np.arange(0, len(unit), 20)
+    close = unit[asked] @ unit.T >= 0.9
+    true = close.sum(axis=1) - 1
+    found = np.array([got[int(i)]["n_links"] for i in asked])
+    assert (found <= true).all() and true.sum() > 500
+    assert found.sum() >= 0.95 * true.sum()
+    alone = true == 0
+    assert all(got[int(i)]["kept"] for i in asked[alone])
+
+
+def test_long_lists_are_split_without_losing_pairs(spark, monkeypatch):
+    """Comparisons of split lists against all pairs that share three of ten pivots."""
+    rng = np.random.default_rng(8)
+    own = np.sort(np.array([rng.choice(40, 10, replace=False) for _ in range(500)]), axis=1)
+    own[300:] = own[0]  # one cluster with the same pivots
+    df = spark.createDataFrame([(i, 1, o.tolist()) for i, o in enumerate(own)], "id long, w long, own array<int>")
+    sets = [set(o.tolist()) for o in own]
+    want = {(a, b) for a in range(500) for b in range(a + 1, 500) if len(sets[a] & sets[b]) >= 3}
+    for block in (1_000, 20):
+        monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+        groups = {}
+        for r in embedding_dedup.inverted_lists(df, 10, 3).collect():
+            groups.setdefault((r["k0"], r["k1"], r["k2"], r["i"], r["j"]), []).append(r)
+        seen = []
+        for key, rows in groups.items():
+            part = embedding_dedup.pa.table({c: [r[c] for r in rows] for c in ("id", "chunk", "own", "w")})
+            out, a, b = embedding_dedup._candidates(list(key), part, 3)
+            ids = out.column("id").to_numpy()
+            seen += [(min(p), max(p)) for p in zip(ids[a].tolist(), ids[b].tolist(), strict=True)]
+        assert len(seen) == len(set(seen)) and set(seen) == want
+        assert block == 1_000 or max(map(len, groups.values())) <= 4 * block
