@@ -224,6 +224,20 @@ def _statistics(docs: DataFrame, class_of: np.ndarray, bias=None, weights=None)
     return out / scale
 
 
+def head_threshold(words: DataFrame) -> int:
+    """The least count with which at most HEAD words have it or more: from a histogram of the
+    logarithms of counts, so no task ranks words."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    found = words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).collect()
+    held, least = 0, 1 << 62
+    for r in sorted(found, key=lambda r: -r["step"]):  # eight steps for each power of two
+        held += r["words"]
+        if held > HEAD:
+            break
+        least = r["least"]
+    return least
+
+
 def train(docs: DataFrame, updates: int = UPDATES) -> tuple[Model, DataFrame]:
     """The model of the texts of ``docs``, and the table (word, n) of all word counts."""
     counts = _counts(docs)
@@ -249,7 +263,7 @@ def train(docs: DataFrame, updates: int = UPDATES) -> tuple[Model, DataFrame]:
         expected = _statistics(docs, class_of, bias, weights)
         weights = (weights + STEP * np.log((observed + prior) / (expected + prior))).astype(np.float32)
 
-    top = words.orderBy(F.desc("n"), "word").limit(HEAD).select("word", "n").toArrow()
+    top = words.where(F.col("n") >= head_threshold(words)).select("word", "n").toArrow()  # HEAD rows at most
     head = top.column("word").to_numpy().view(np.uint64)
     order = np.argsort(head)
     model = Model(
