@@ -354,6 +354,9 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, path: str, doc_ty
 
     The crc is of the ids as little-endian unsigned 32-bit integers. A task holds the blocks
     of one document and the one after them.
+
+    Defined cases: a document without ids but its end has n_tokens 1; repeated ids are rows of
+    their own; an empty manifest gives no rows; a file that is not of the format raises.
     """
 
     def run(batches):
