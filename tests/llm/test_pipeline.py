@@ -12,7 +12,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 def test_stages_and_registration():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert names["pipeline"] is corpus_pipeline.run
     assert set(entry.oracle_sql()) <= set(names)
