@@ -397,7 +397,9 @@ def jaccard_groups(
     )
     copies = save(index.select("id", "set_key").join(copies, "set_key").where("id != node").select("id", "node"), "copies")
 
-    rows = index.select("id", "sigs").join(copies, "id", "left_anti").select(F.explode("sigs").alias("code"), "id")
+    # counted before they are broadcast; beyond the bound the signatures move for it
+    gone = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
+    rows = index.select("id", "sigs").join(gone, "id", "left_anti").select(F.explode("sigs").alias("code"), "id")
     rows = rows.repartitionByRange("code", "id").sortWithinPartitions("code", "id")
     met = save(rows.mapInArrow(tidy(_buckets), "sig long, id long, guest long, center long, edge boolean"), "buckets")
     split = met.where("edge").select("sig", "center").distinct()  # two rows for each task
