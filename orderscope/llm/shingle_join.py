@@ -36,6 +36,7 @@ SKETCH_WORDS = 8  # words of 64 parity bits of the smallest sketch
 SKETCH_LOAD = 128  # tokens for each word of larger ones
 SIGNATURE_MASK = np.uint64((1 << 48) - 1)
 BROADCAST_ROWS = 1_000_000
+BROADCAST_LOST = 4_000_000  # ids and text hashes of documents to drop, 16 bytes each
 SLICE_ROWS = 512  # texts turned into sets at once
 _U = np.uint64
 
@@ -547,10 +548,13 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     in_group = rows.join(best, "group")
     lost = save(in_group.where(~same("_rk")).select(F.col("doc_id").alias(key), F.col("_rk").alias(rank)).distinct(), "lost")
     twice = in_group.where(same("_rk")).groupBy("doc_id", "_rk").count().where("count > 1")
+    # texts stay where they are as long as the rows to drop are proven few
+    lost = F.broadcast(lost) if lost.count() <= BROADCAST_LOST else lost
     hashed = docs.withColumn(text_hash, F.xxhash64("text"))
     kept = hashed.join(lost, same(text_hash), "left_anti")
     if not twice.isEmpty():
         again = save(twice.select(F.col("doc_id").alias(key), F.col("_rk").alias(rank)), "twice")
+        again = F.broadcast(again) if again.count() <= BROADCAST_LOST else again
         kept = kept.join(again, same(text_hash), "left_anti").union(
             hashed.join(again, same(text_hash), "left_semi").dropDuplicates(["doc_id", text_hash])
         )
