@@ -22,16 +22,20 @@ LOW_REVIEW_MAX = 2
 DUPLICATE_KEY = "duplicate join key"
 
 
-def unique_rows(df: DataFrame, key: str, name: str) -> DataFrame:
+def unique_rows(df: DataFrame, key: str, name: str, partitions: int | None = None) -> DataFrame:
     """``df``, whose rows must differ in ``key``: a value held by two rows fails the query, with
     ``name`` and the value in its message, before it can multiply money in a join.
 
     Rows with a NULL key are left out: they join with nothing. The rows are grouped by the
-    key, which is the exchange and the sort order that the join after it needs anyway.
+    key, which is the exchange and the sort order that the join after it needs anyway. They
+    move first: unique keys leave nothing to combine before the exchange, and sorting whole
+    scan splits for it would spill. ``partitions`` is their number, if not Spark's.
     """
     others = [c for c in df.columns if c != key]
     row = F.any_value(F.struct(*others)) if others else F.any_value(F.lit(1))
-    grouped = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_held"), row.alias("_row"))
+    known = df.where(F.col(key).isNotNull())
+    moved = known.repartition(partitions, key) if partitions else known.repartition(F.col(key))
+    grouped = moved.groupBy(key).agg(F.count(F.lit(1)).alias("_held"), row.alias("_row"))
     message = F.concat(F.lit(f"{DUPLICATE_KEY} {name}.{key}="), F.col(key).cast("string"))
     single = F.when(F.col("_held") > F.lit(1), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
     return grouped.where(single).select(*[F.col(key) if c == key else F.col("_row").getField(c).alias(c) for c in df.columns])
@@ -138,6 +142,17 @@ ORDER_FACT_COLUMNS = [
     "freight_burden",
     "purchase_month",
 ]
+# What outcome_columns() derives from the other columns of the fact.
+OUTCOME_COLUMNS = (
+    "delivered_seconds",
+    "delivered_days",
+    "delivered_days_hours",
+    "delay_days",
+    "is_late",
+    "low_review",
+    "customer_outlay",
+    "freight_burden",
+)
 
 
 def order_fact(
@@ -149,12 +164,14 @@ def order_fact(
     low_review_max: int = LOW_REVIEW_MAX,
     item_orders: DataFrame | None = None,
     payment_money: DataFrame | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """One row per order (any status) with its customer, money, review and delivery outcome.
 
     ``item_orders`` may supply the per-order item aggregate (e.g. built from a stored
     (order, seller) pre-aggregate); by default it is ``item_order(items)``. ``payment_money`` may
-    supply ``order_payment_money``.
+    supply ``order_payment_money``; ``partitions`` is the number of buckets of these, which the
+    orders meet without a further exchange.
 
     Orders without a customer row are dropped (inner join); ``dq_orphan_orders`` reports
     them, and ``dq_not_null`` those without an id. An order, an order's customer or a customer
@@ -179,16 +196,26 @@ def order_fact(
     c = customers.select(
         "customer_id", "customer_unique_id", "customer_zip_code_prefix", "customer_city", "customer_state"
     )
+    known = unique_rows(c, "customer_id", "customers", partitions)
+    both = unique_rows(o, "customer_id", "orders", partitions).join(known, "customer_id", "inner")
+    rows = (
+        unique_rows(both, "order_id", "orders", partitions)
+        .join(item_orders if item_orders is not None else item_order(items), "order_id", "left")
+        .join(payment_order(payments if payment_money is None else payment_money), "order_id", "left")
+        .join(latest_review(reviews), "order_id", "left")
+        .withColumn("purchase_month", TU.month_key(F.col("order_purchase_timestamp")))
+    )
+    return outcome_columns(rows, low_review_max)
+
+
+def outcome_columns(rows: DataFrame, low_review_max: int = LOW_REVIEW_MAX) -> DataFrame:
+    """The order fact from its rows without ``OUTCOME_COLUMNS``, which follow from the others:
+    rows that move need not carry them."""
     purchased = F.col("order_purchase_timestamp")
     delivered = F.col("order_delivered_customer_date")
     promised = F.col("order_estimated_delivery_date")
-    both = unique_rows(o, "customer_id", "orders").join(unique_rows(c, "customer_id", "customers"), "customer_id", "inner")
     fact = (
-        unique_rows(both, "order_id", "orders")
-        .join(item_orders if item_orders is not None else item_order(items), "order_id", "left")
-        .join(payment_order(payments if payment_money is None else payment_money), "order_id", "left")
-        .join(latest_review(reviews), "order_id", "left")
-        .withColumns(
+        rows.withColumns(
             {
                 "delivered_seconds": TU.seconds_between(purchased, delivered),
                 "delivered_days_hours": TU.hours_between(purchased, delivered) / F.lit(24.0),
@@ -198,7 +225,6 @@ def order_fact(
                 "customer_outlay": (F.col("merchandise_gmv") + F.col("freight_value")).cast(
                     M.MONEY_SUM_TYPE
                 ),
-                "purchase_month": TU.month_key(purchased),
             }
         )
         .withColumns(
@@ -242,6 +268,19 @@ def _item_money() -> list:
     ]
 
 
+def category_items(items: DataFrame, categories: DataFrame) -> DataFrame:
+    """The items' money with the category of their product."""
+    detail = items.select("order_id", "product_id", "price", "freight_value").join(categories, "product_id", "left")
+    return detail.select(
+        "order_id", F.coalesce("category", F.lit(UNKNOWN_CATEGORY)).alias("category"), "price", "freight_value"
+    )
+
+
+def order_category_money(detail: DataFrame) -> DataFrame:
+    """(order, category) money and item counts of ``category_items``."""
+    return detail.groupBy("order_id", "category").agg(*_item_money())
+
+
 def order_category(
     items: DataFrame,
     products: DataFrame,
@@ -256,12 +295,8 @@ def order_category(
     each order's outcome counts once per category it contains. ``categories`` and ``outcomes``
     may supply a stored ``product_category`` and ``order_outcomes``.
     """
-    detail = items.select("order_id", "product_id", "price", "freight_value").join(
-        product_category(products, translation) if categories is None else categories, "product_id", "left"
-    )
-    per_pair = detail.groupBy(
-        "order_id", F.coalesce("category", F.lit(UNKNOWN_CATEGORY)).alias("category")
-    ).agg(*_item_money())
+    detail = category_items(items, product_category(products, translation) if categories is None else categories)
+    per_pair = order_category_money(detail)
     return per_pair.join(order_outcomes(delivered) if outcomes is None else outcomes, "order_id", "inner")
 
 

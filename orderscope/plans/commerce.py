@@ -18,7 +18,8 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from orderscope.functions import buckets as B
 from orderscope.operators import model, quality, reports
@@ -53,6 +54,16 @@ BUCKETED: dict[str, str] = {
     "product_category": "product_id",
 }
 MOST_BUCKETS = 4_096
+# The tables that sum raw rows by (BUCKETED key, something): raw table and aggregation.
+SUMMED: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
+    "order_seller_money": ("order_items", model.order_seller_money),
+    "order_payment_money": ("order_payments", model.order_payment_money),
+}
+# A key with this many raw rows is combined before it moves, for at most so many keys.
+HEAVY_ROWS = 100_000
+MOST_HEAVY = 1_000
+# Buckets become more, not larger, as the tables grow: what a task sorts and sums stays in memory.
+ROWS_PER_BUCKET = 500_000
 MATERIALIZED: tuple[str, ...] = tuple(n for step in MATERIALIZE_STEPS for n in step)
 
 
@@ -61,13 +72,49 @@ def _bucket_table(name: str, path: str) -> str:
     return f"orderscope_{name}_{hashlib.md5(path.encode()).hexdigest()[:12]}"
 
 
-def _write_stored(df: DataFrame, name: str, path: str) -> None:
+@dataclass(frozen=True)
+class RowCounts:
+    """How many rows a table holds, and the keys that hold very many of them."""
+
+    rows: int
+    heavy: tuple
+
+
+def _count_rows(rows: DataFrame, key: str) -> RowCounts:
+    """At most ``MOST_HEAVY`` keys, those with the most rows, are heavy: any other holds under
+    ``HEAVY_ROWS`` rows, or less than one row in ``MOST_HEAVY``."""
+    seen = Observation()
+    counts = rows.select(key).observe(seen, F.count(F.lit(1)).alias("rows")).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    many = counts.where(F.col(key).isNotNull() & (F.col("n") >= F.lit(HEAVY_ROWS)))
+    heavy = tuple(r[key] for r in many.orderBy(F.desc("n")).limit(MOST_HEAVY).collect())
+    return RowCounts(seen.get["rows"], heavy)
+
+
+def _in_buckets(
+    rows: DataFrame, aggregate: Callable[[DataFrame], DataFrame], key: str, heavy: tuple, buckets: int
+) -> tuple[DataFrame, DataFrame]:
+    """``aggregate(rows)``, which groups by ``key`` and more, put into buckets of ``key``: the
+    light keys' rows, and those of heavy keys and of no key.
+
+    Few rows share a light key, so combining them first saves nothing: they move to their bucket
+    and are aggregated there, in one exchange. Only the others are combined before they move.
+    """
+    held = F.col(key).isNull() | F.col(key).isin(list(heavy))
+    return (
+        aggregate(rows.where(~held).repartition(buckets, key)),
+        aggregate(rows.where(held)).repartition(buckets, key),
+    )
+
+
+def _write_stored(df: DataFrame, name: str, path: str, buckets: int, low_review_max: int) -> None:
     if name == "order_fact":
-        df.hint("rebalance", "purchase_month").write.mode("overwrite").partitionBy("purchase_month").parquet(path)
+        moved = df.drop(*model.OUTCOME_COLUMNS).hint("rebalance", "purchase_month")
+        rows = model.outcome_columns(moved, low_review_max)
+        rows.write.mode("overwrite").partitionBy("purchase_month").parquet(path)
     elif name in BUCKETED:
         key = BUCKETED[name]
-        buckets = min(MOST_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        rows = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+        put = df if name in SUMMED else df.repartition(buckets, key)
+        rows = put.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
         rows.option("path", path).format("parquet").saveAsTable(_bucket_table(name, path))
     else:
         df.write.mode("overwrite").parquet(path)
@@ -99,6 +146,8 @@ class CommerceModel:
     params: ModelParams = field(default_factory=ModelParams)
     # intermediate tables written by materialize(), read back from the shared folder
     stored: dict[str, DataFrame] = field(default_factory=dict)
+    # rows and heavy orders of the raw tables, counted by materialize()
+    counted: dict[str, RowCounts] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         missing = [t for t in REQUIRED_TABLES if t not in self.tables]
@@ -156,6 +205,7 @@ class CommerceModel:
             low_review_max=self.params.low_review_max,
             item_orders=model.item_order_from_pairs(self.order_seller_money()),
             payment_money=self.order_payment_money(),
+            partitions=self._buckets() if "order_seller_money" in self.stored else None,
         )
 
     def order_fact(self) -> DataFrame:
@@ -337,17 +387,62 @@ class CommerceModel:
             for name in group:
                 frames[name] = getattr(current, name)()
             paths = {name: f"{base.rstrip('/')}/{name}" for name in group}
+            low = self.params.low_review_max
+            if set(group) & {*BUCKETED, "order_category"}:
+                current._count_tables()
+            buckets = current._buckets()
+            written = {name: current._written(name, df, buckets, base.rstrip("/")) for name, df in frames.items()}
             try:
-                write_concurrently([lambda n=name, df=df: _write_stored(df, n, paths[n]) for name, df in frames.items()])
+                write_concurrently(
+                    [lambda n=name, df=df: _write_stored(df, n, paths[n], buckets, low) for name, df in written.items()]
+                )
             except PySparkException as failed:
                 found = re.search(rf"{model.DUPLICATE_KEY} [^\n]*", str(failed))
                 if found:
                     raise quality.IntegrityError(found.group(0)) from failed
                 raise
             stored = {name: _read_stored(df, name, paths[name]) for name, df in frames.items()}
-            current = CommerceModel(self.tables, self.params, {**current.stored, **stored})
+            current = CommerceModel(self.tables, self.params, {**current.stored, **stored}, current.counted)
         return current
 
+    def _count_tables(self) -> None:
+        """Count the tables that are summed by order, side by side and once."""
+        tables = [t for t, _ in SUMMED.values() if t not in self.counted]
+
+        def count(table: str) -> None:
+            self.counted[table] = _count_rows(self.t(table), "order_id")
+
+        write_concurrently([lambda t=t: count(t) for t in tables])
+
+    def _buckets(self) -> int:
+        """One number of buckets for all stored tables, so that they meet without an exchange."""
+        rows = max((c.rows for c in self.counted.values()), default=0)
+        least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return min(MOST_BUCKETS, max(least, -(-rows // ROWS_PER_BUCKET)))
+
+    def _written(self, name: str, df: DataFrame, buckets: int, base: str) -> DataFrame:
+        """The rows of ``df``, the stored table ``name``, by the way that moves the least of them."""
+        if name in SUMMED:
+            table, aggregate = SUMMED[name]
+            few, many = _in_buckets(self.t(table), aggregate, "order_id", self.counted[table].heavy, buckets)
+            return few.unionByName(many)
+        if name == "order_category":
+            detail = model.category_items(self.t("order_items"), self.product_category())
+            heavy = self.counted["order_items"].heavy
+            few, many = _in_buckets(
+                detail.where(F.col("order_id").isNotNull()), model.order_category_money, "order_id", heavy, buckets
+            )
+            outcomes = self.order_outcomes()
+            met = few.join(outcomes, "order_id", "inner")
+            return met.unionByName(many.join(outcomes, "order_id", "inner")) if heavy else met
+        if name == "order_seller":
+            # as a file the sellers have a known size: if small, they go to the pairs, not the pairs to them
+            sellers = self.t("sellers").select("seller_id", "seller_state")
+            sellers.write.mode("overwrite").parquet(f"{base}/sellers")
+            known = {**self.tables, "sellers": self.spark.read.schema(sellers.schema).parquet(f"{base}/sellers")}
+            return CommerceModel(known, self.params, self.stored).order_seller()
+        return df
+
 
 # The stored tables that make a report cheap, by name; all other operators read the raw tables.
 _FACT = ("order_seller_money", "order_payment_money", "order_fact")
