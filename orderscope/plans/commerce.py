@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderscope.functions import buckets as B
@@ -83,11 +83,10 @@ class RowCounts:
 def _count_rows(rows: DataFrame, key: str) -> RowCounts:
     """At most ``MOST_HEAVY`` keys, those with the most rows, are heavy: any other holds under
     ``HEAVY_ROWS`` rows, or less than one row in ``MOST_HEAVY``."""
-    seen = Observation()
-    counts = rows.select(key).observe(seen, F.count(F.lit(1)).alias("rows")).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     many = counts.where(F.col(key).isNotNull() & (F.col("n") >= F.lit(HEAVY_ROWS)))
     heavy = tuple(r[key] for r in many.orderBy(F.desc("n")).limit(MOST_HEAVY).collect())
-    return RowCounts(seen.get["rows"], heavy)
+    return RowCounts(rows.count(), heavy)
 
 
 def _in_buckets(
